@@ -18,6 +18,7 @@ from cytoquilt.functions.genes import is_mitochondrial
 from cytoquilt.functions.numbers import is_finite
 from cytoquilt.operators.joining import sized_join
 from cytoquilt.operators.matrix import CELL, resolve_panel, with_every_cell
+from cytoquilt.session import materialize
 
 
 def total_hits() -> Column:
@@ -55,7 +56,7 @@ def group_scores(
     The score is log1p(1e4 * (sum over the group / genes found) / max(total, 1)).
     """
     symbols = sorted({g for genes in panels.values() for g in genes})
-    panel = resolve_panel(var, symbols, by, exact=True)
+    panel = materialize(resolve_panel(var, symbols, by, exact=True))
     keys = [*by, *[c for c in cell if c not in by]]
     work = sized_join(counts, panel, [*by, "gene"], "left")
     is_mt = is_mitochondrial("gene") if mito is None else mito

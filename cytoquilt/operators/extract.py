@@ -13,6 +13,7 @@ from cytoquilt.functions.genes import canonical_symbol_py
 from cytoquilt.functions.text import matches_any
 from cytoquilt.operators.joining import sized_join
 from cytoquilt.operators.matrix import cell_profile, panel_name, resolve_panel, with_every_cell
+from cytoquilt.session import materialize
 
 
 def annotation_flags(
@@ -72,7 +73,7 @@ def marker_profile(
     the dataset has; it is 0 where it has none.
     """
     symbols = sorted({canonical_symbol_py(g) for genes in panels.values() for g in genes})
-    panel = resolve_panel(var, symbols, by)
+    panel = materialize(resolve_panel(var, symbols, by))
     keys = [*by, *[c for c in cell if c not in by]]
     wide = with_every_cell(obs, cell_profile(counts, panel, symbols, by, cell), keys)
     wide = sized_join(wide, availability(panel, panels, by), list(by), "left")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cytoquilt.session import materialize
+
 BROADCAST_ROWS = 200_000
 
 
@@ -19,13 +21,18 @@ def sized_join(
     on,
     how: str = "inner",
     max_rows: int = BROADCAST_ROWS,
+    computed: bool = False,
 ) -> DataFrame:
     """Join a large left side to a side that is usually small.
 
     The right side is broadcast only after its row count was checked against
     ``max_rows``. Above that the plain join stands, which shuffles on the key
     and lets adaptive execution split skewed partitions of the left side.
+    ``computed`` says that the right side is worth keeping rather than working
+    out once for the check and again for the join.
     """
+    if computed:
+        right = materialize(right)
     if is_small(right, max_rows):
         return left.join(F.broadcast(right), on, how)
     return left.join(right, on, how)

@@ -97,11 +97,13 @@ def attach_filling(
     return out.drop(*[f"_m_{c}" for c in fill])
 
 
-def lookup_map(cells: DataFrame, table: DataFrame, key: str, value: str, out: str, fallback: str | None = None) -> DataFrame:
+def lookup_map(
+    cells: DataFrame, table: DataFrame, key: str, table_key: str, value: str, out: str, fallback: str | None = None
+) -> DataFrame:
     """Dictionary-style lookup; no hit gives the key itself or ``fallback``."""
     from cytoquilt.operators.joining import sized_join
 
-    side = table.select(F.col(key).alias("_k"), F.col(value).alias("_v")).groupBy("_k").agg(F.max("_v").alias("_v"))
+    side = table.select(F.col(table_key).alias("_k"), F.col(value).alias("_v")).groupBy("_k").agg(F.max("_v").alias("_v"))
     joined = sized_join(cells.withColumn("_k", F.col(key)), side, ["_k"], "left")
     rest = F.col(key) if fallback is None else F.lit(fallback)
     return joined.withColumn(out, F.coalesce(F.nullif(F.col("_v"), F.lit("")), rest)).drop("_k", "_v")

@@ -60,7 +60,7 @@ def grouped_row_number(
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order_by)
     numbered = work.withColumn("_inside", F.row_number().over(inside))
     return (
-        sized_join(numbered, offsets, [*keys, "_bucket"], "inner")
+        sized_join(numbered, offsets, [*keys, "_bucket"], "inner", computed=True)
         .withColumn(name, F.col("_inside") + F.col("_before"))
         .drop("_inside", "_before", "_bucket")
     )
@@ -92,7 +92,7 @@ def take_lowest_hash(
         .where("_take > 0")
         .select(*keys, "_bucket", "_take", (F.col("_take") == F.col("_n")).alias("_all"))
     )
-    marked = sized_join(work, takes, [*keys, "_bucket"], "inner", max_rows=2_000_000)
+    marked = sized_join(work, takes, [*keys, "_bucket"], "inner", max_rows=2_000_000, computed=True)
     whole = marked.where("_all")
     inside = Window.partitionBy(*keys, "_bucket").orderBy("_digest", *id_cols)
     cut = (
@@ -129,4 +129,4 @@ def distributed_min_rank(df: DataFrame, value: str, name: str, buckets: int = 40
         .join(F.broadcast(offsets), "_bucket")
         .select(value, (F.col("_run") + F.col("_before") + F.lit(1)).alias(name))
     )
-    return sized_join(df, ranks, value, "inner")
+    return sized_join(df, ranks, value, "inner", computed=True)

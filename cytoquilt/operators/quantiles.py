@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cytoquilt.operators.joining import sized_join
 from cytoquilt.operators.ordering import bucket_offsets, value_bucket
+from cytoquilt.session import materialize
 
 BUILTIN_ROWS = 2_000_000
 
@@ -72,7 +73,7 @@ def _by_histogram(rows, keys, value, probs, weight, buckets):
     asked = asked.select(
         "*", F.explode(F.array_distinct(F.array(F.floor("_pos"), F.ceil("_pos")))).alias("_rank")
     ).where("_rank >= _before and _rank < _before + _n")
-    wanted = asked.select(*keys, "_bucket", "_before", "_name", "_pos", "_rank")
+    wanted = materialize(asked.select(*keys, "_bucket", "_before", "_name", "_pos", "_rank"))
     candidates = wanted.select(*keys, "_bucket").distinct()
     kept = sized_join(work, candidates, [*keys, "_bucket"], "left_semi")
     values = kept.groupBy(*keys, "_bucket", "_v").agg(F.sum("_w").alias("_c"))

@@ -98,6 +98,7 @@ def standardize_wide(
     fields: dict[str, Sequence[str]],
     clone: str | None = None,
     chains: Sequence[str] = ("TRA", "TRB"),
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Wide receptor tables of any layout in the canonical schema.
 
