@@ -104,9 +104,10 @@ def standardize_wide(
 
     ``fields`` maps a canonical column to source columns in order of preference
     (Alpha1 before Alpha2, expr before umis before reads); what is not listed or
-    not there is '' or 0.
+    not there is '' or 0. ``keep`` takes further columns along, such as the row order.
     """
     cols = [
+        *[F.col(quote(c)) for c in keep],
         clean_intake(F.col(quote(sample))).alias("sample_id"),
         barcode_core(full_barcode(F.col(quote(barcode)))).alias("barcode_core"),
     ]

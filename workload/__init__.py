@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("matrix", "extraction", "cleaning", "auditing", "scoring", "text", "metadata", "receptors")
+MODULES = ("matrix", "extraction", "cleaning", "auditing", "scoring", "text", "metadata", "receptors",
+           "rules", "sampling", "clusters", "summaries", "genes")
 
 
 def load_all():
