@@ -16,6 +16,7 @@ from cytoquilt.functions.numbers import log1p_clipped
 from cytoquilt.operators.joining import sized_join
 from cytoquilt.operators.matrix import CELL, normalized
 from cytoquilt.operators.quantiles import grouped_quantiles
+from cytoquilt.session import materialize
 
 
 def sparse_medians(
@@ -65,7 +66,7 @@ def cluster_marker_summary(
     med = med.groupBy(by).agg(*[F.max(F.when(F.col("_score") == s, F.col("_m"))).alias(f"{s}_median") for s in scores])
     values = sized_join(normalized(counts, totals, cell, keep=panel), panel.select("gene", "panel_symbol"), ["gene"])
     values = values.drop("gene").withColumnRenamed("panel_symbol", "gene")
-    values = values.join(obs.select(*cell, by), list(cell)).select(by, "gene", "value")
+    values = materialize(values.join(obs.select(*cell, by), list(cell)).select(by, "gene", "value"))
     marker = sparse_medians(values, base.select(by, "n_cells"), by, genes)
     means = marker.groupBy(by).agg(
         *[

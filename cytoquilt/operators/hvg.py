@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cytoquilt.functions.genes import variable_gene_flags
 from cytoquilt.operators.joining import sized_join
 from cytoquilt.operators.matrix import CELL
+from cytoquilt.session import materialize
 
 
 def exclusion_table(var: DataFrame, symbol: str = "gene") -> DataFrame:
@@ -41,7 +42,7 @@ def batch_moments(counts: DataFrame, obs: DataFrame, batch: str, cell: Sequence[
     sums = rows.groupBy(batch, "gene").agg(
         F.sum("count").alias("s1"), F.sum(F.col("count") * F.col("count")).alias("s2")
     )
-    out = sized_join(sums, sizes, [batch])
+    out = sized_join(sums, sizes, [batch], computed=True)
     mean = F.col("s1") / F.col("n")
     var = F.when(F.col("n") > 1, (F.col("s2") - F.col("s1") * mean) / (F.col("n") - 1))
     return out.select(batch, "gene", "n", mean.alias("mean"), F.greatest(var, F.lit(0.0)).alias("variance"))
@@ -96,7 +97,7 @@ def normalized_variance(
         f"{batch} {dict(moments.dtypes)[batch]}, gene {dict(moments.dtypes)['gene']}, n long, mean double, "
         "reg_std double, clip double, constant boolean"
     )
-    fitted = moments.groupBy(batch).applyInPandas(lambda pdf: _trend(pdf, batch, span, grid), schema)
+    fitted = materialize(moments.groupBy(batch).applyInPandas(lambda pdf: _trend(pdf, batch, span, grid), schema))
     rows = counts.join(obs.select(*cell, batch), list(cell))
     clipped = F.least(F.col("count"), F.col("clip"))
     sums = (

@@ -108,7 +108,8 @@ def distributed_min_rank(df: DataFrame, value: str, name: str, buckets: int = 40
     """``rank`` with ties taking the lowest place, over the whole table.
 
     Distinct values are counted first, so any number of ties is one row; the
-    running sums then work on one value bucket at a time.
+    running sums then work on one value bucket at a time. ``df`` is read several
+    times, so hand in a written table where it is costly to work out.
     """
     low = df.select(F.min(value)).scalar()
     high = df.select(F.max(value)).scalar()

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from cytoquilt.functions.columns import quote
 from cytoquilt.functions.text import clean, contains_any, match_text, match_text_tissue
 from cytoquilt.operators.joining import sized_join
+from cytoquilt.session import materialize
 
 
 @dataclass(frozen=True)
@@ -58,29 +59,40 @@ def _search(text: Column, pattern: str) -> Column:
     return text.rlike(f"(?i)(?:{pattern})")
 
 
-def compile_rules(rules: dict, layout: RuleLayout, dataset: Column, fields: dict[str, Column], mode: str) -> Column:
-    """Struct(value, source, reason) for one row.
+def prepared_fields(rules: dict, layout: RuleLayout, fields: dict[str, Column]) -> dict[str, Column]:
+    """Cleaned (``_raw_x``) and normalised (``_norm_x``) text of every rule field.
+
+    These become columns of their own, so that a text is normalised once per row
+    and not once per branch of the chain.
+    """
+    ignore = rules.get("ignore_if_contains", [])
+    out = {}
+    for name, c in fields.items():
+        raw = clean(c)
+        seen = raw
+        if name in layout.screened and ignore:
+            seen = F.when(contains_any(raw, ignore), F.lit("")).otherwise(raw)
+        out[f"_raw_{name}"] = raw
+        out[f"_norm_{name}"] = layout.normalizer(seen)
+    return out
+
+
+def compile_rules(rules: dict, layout: RuleLayout, dataset: Column, fields: Sequence[str], mode: str) -> Column:
+    """Struct(value, source, reason) for one row holding :func:`prepared_fields`.
 
     ``mode='raw'``: dataset rules see the raw text, blank fields skipped.
     ``mode='normalized'``: dataset rules see normalised text with screened file
     names blanked and blank fields kept; letters and digits are then split, so a
     pattern such as ``hd[0-9]+`` cannot match there.
     """
-    ignore = rules.get("ignore_if_contains", [])
-    raw = {n: clean(c) for n, c in fields.items()}
-
-    def screened(name: str) -> Column:
-        if name in layout.screened and ignore:
-            return F.when(contains_any(raw[name], ignore), F.lit("")).otherwise(raw[name])
-        return raw[name]
-
-    norm = {n: layout.normalizer(screened(n)) for n in fields}
+    raw = {n: F.col(f"_raw_{n}") for n in fields}
+    norm = {n: F.col(f"_norm_{n}") for n in fields}
     branches: list[tuple[Column, str | Column, str, str]] = []
 
     for gse, ruleset in rules.get("gse_specific_rules", {}).items():
         here = dataset == gse
         for rule in ruleset:
-            used = [n for n in rule["fields"] if n in fields]
+            used = [n for n in rule["fields"] if n in raw]
             if mode == "raw":
                 hay = F.concat_ws(" || ", *[F.nullif(raw[n], F.lit("")) for n in used])
                 hit = (hay != "") & _search(hay, rule["pattern"])
@@ -91,7 +103,7 @@ def compile_rules(rules: dict, layout: RuleLayout, dataset: Column, fields: dict
 
     exact = {k: v for k, v in rules.get("global_exact_map", {}).items() if v != ""}
     for name in layout.fields:
-        if name not in fields:
+        if name not in norm:
             continue
         source = layout.column(name) if mode == "normalized" else name
         text = norm[name]
@@ -144,10 +156,9 @@ def apply_rules(
     ])
 
     def resolve(frame: DataFrame) -> DataFrame:
-        chain = compile_rules(
-            rules, layout, clean(F.col(quote(dataset))), {n: F.col(quote(c)) for n, c in used.items()}, mode
-        )
-        return frame.withColumn("_r", chain)
+        ready = frame.withColumns(prepared_fields(rules, layout, {n: F.col(quote(c)) for n, c in used.items()}))
+        chain = compile_rules(rules, layout, clean(F.col(quote(dataset))), list(used), mode)
+        return ready.withColumn("_r", chain).drop(*[f"_{k}_{n}" for n in used for k in ("raw", "norm")])
 
     names = {"value": layout.out, "source": f"{layout.out}_source", "reason": f"{layout.out}_reason"}
     if not distinct_inputs:
@@ -158,7 +169,7 @@ def apply_rules(
     answers = resolve(inputs.dropDuplicates(["_key"])).select(
         "_key", *[F.col(f"_r.{part}").alias(out) for part, out in names.items()]
     )
-    return sized_join(keyed, answers, ["_key"], "left").drop("_key")
+    return sized_join(keyed, answers, ["_key"], "left", computed=True).drop("_key")
 
 
 def series_titles(bundles: DataFrame, normalizer: Callable[[Column], Column] = match_text) -> DataFrame:
@@ -225,7 +236,7 @@ def attach_bundles(
     present = [f for f in fields if f in df.columns]
     gse = clean(F.col(quote(dataset))).alias("gse_id")
     values = df.select(gse, F.explode(F.array(*[clean(F.col(quote(f))) for f in present])).alias("value"))
-    found = resolve_bundles(values.distinct(), bundles, normalizer).where("bundle <> ''")
+    found = materialize(resolve_bundles(values.distinct(), bundles, normalizer).where("bundle <> ''"))
     out = df.withColumn("_g", clean(F.col(quote(dataset))))
     for i, f in enumerate(present):
         side = found.select(

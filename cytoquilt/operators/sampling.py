@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cytoquilt.operators.joining import sized_join
 from cytoquilt.operators.ordering import grouped_row_number, seeded_hash, take_lowest_hash
+from cytoquilt.session import materialize
 
 
 def fixed_sample(df: DataFrame, n: int, id_cols: Sequence[str], seed: int | str = 1) -> DataFrame:
@@ -34,7 +35,7 @@ def per_group_sample(df: DataFrame, by: Sequence[str], n: int, id_cols: Sequence
 
 
 def _with_targets(df: DataFrame, targets: DataFrame, by: Sequence[str]) -> DataFrame:
-    return sized_join(df, targets.select(*by, "_want"), list(by))
+    return sized_join(df, targets.select(*by, "_want"), list(by), computed=True)
 
 
 def floor_sample(
@@ -66,7 +67,7 @@ def strata_targets(df: DataFrame, by: Sequence[str], n: int, per_stratum: int =
     largest strata that have more than one.
     """
     by = list(by)
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("cells"))
+    sizes = materialize(df.groupBy(*by).agg(F.count(F.lit(1)).alias("cells")))
     total = sizes.select(F.sum("cells")).scalar()
     share = F.floor(F.lit(n) * F.col("cells") / total)
     first = F.least(F.col("cells"), F.greatest(F.lit(1), F.least(F.lit(per_stratum), share)))

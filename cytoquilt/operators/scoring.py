@@ -59,6 +59,8 @@ def expression_bins(means: DataFrame, bins: int = CONTROL_BINS, digits: int | No
     work = means.where(~F.isnan("mean_expr"))
     if digits is not None:
         work = work.withColumn("mean_expr", F.round("mean_expr", digits))
+    # one row per gene, read several times below
+    work = materialize(work)
     per_bin = work.select(F.rint(F.count(F.lit(1)) / F.lit(bins - 1))).scalar()
     ranked = distributed_min_rank(work, "mean_expr", "_rank")
     return ranked.select("gene", "mean_expr", F.floor(F.col("_rank") / per_bin).alias("bin"))

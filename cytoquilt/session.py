@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,10 +37,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the reliable checkpoint folder and read it from there.
+    """Write ``df`` once as a table in the shared checkpoint folder and read it from there.
 
     Used where one result feeds several later steps (gene means, group sizes,
-    iteration state), so that a lost executor costs a re-read and not a re-run.
+    panel maps), so that a lost executor costs a re-read and not a re-run. The
+    copy is columnar: later steps read only the columns they need, and its known
+    size lets the planner choose the join.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

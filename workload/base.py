@@ -99,7 +99,8 @@ def dataset_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def dataset_var(spark: SparkSession, d: str) -> DataFrame:
     """Gene axis of every dataset: the genes seen in it."""
-    seen = dataset_counts(spark, d).select("gse_id", "gene").distinct()
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("cell_id"), F.col("l_partkey").alias("gene"))
+    seen = li.join(obs(spark, d).select("cell_id", "gse_id"), "cell_id").select("gse_id", "gene").distinct()
     return seen.join(var(spark, d), "gene")
 
 

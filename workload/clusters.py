@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from cytoquilt.operators import clusters as C
 from cytoquilt.operators import matrix, summaries, validate
+from cytoquilt.session import materialize
 from workload import base as b
 from workload.base import register, rounded, s6, sql_list, with_ctes
 
@@ -34,16 +35,10 @@ def cells(spark, d):
     return out.withColumn("trd_minus_trab", F.col("trd_score") - F.col("trab_score"))
 
 
-def panel(spark, d):
-    v = b.var(spark, d)
-    # every part of a name counts as that gene: several keys per symbol are allowed here
-    return v.where(F.col("symbol").isin(*GENES)).select("gene", F.col("symbol").alias("panel_symbol"))
-
-
 def symbol_values(spark, d):
     """Counts per cell and gene name, so that a name is one gene."""
     c = b.counts(spark, d).join(b.var(spark, d).select("gene", "symbol"), "gene")
-    return c.groupBy("cell_id", F.col("symbol").alias("gene")).agg(F.sum("count").alias("count"))
+    return materialize(c.groupBy("cell_id", F.col("symbol").alias("gene")).agg(F.sum("count").alias("count")))
 
 
 def name_panel(spark):
@@ -87,7 +82,7 @@ def summary(spark, d):
 
 
 def labelled(spark, d):
-    return C.classify_clusters(summary(spark, d))
+    return materialize(C.classify_clusters(summary(spark, d)))
 
 
 @register("cluster_marker_summary", with_ctes(SHARED, "SELECT * FROM rs", LABEL_CTES))

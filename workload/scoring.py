@@ -64,7 +64,7 @@ def totals(c):
 
 
 def means(spark, d):
-    c = b.counts(spark, d)
+    c = materialize(b.counts(spark, d))
     n = b.table(spark, d, "orders").select(F.count(F.lit(1))).scalar()
     return scoring.gene_means(c, totals(c), b.var(spark, d), n)
 
@@ -72,7 +72,7 @@ def means(spark, d):
 def scores(spark, d):
     cells = b.obs(spark, d).select("cell_id", "gse_id", "leiden", "tissue")
     return scoring.score_cells(
-        cells, b.counts(spark, d), b.var(spark, d), modules(spark, d), bins=BINS, control_size=SIZE, seed=SEED, digits=DIGITS
+        cells, materialize(b.counts(spark, d)), b.var(spark, d), modules(spark, d), bins=BINS, control_size=SIZE, seed=SEED, digits=DIGITS
     )
 
 
