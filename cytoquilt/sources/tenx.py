@@ -14,7 +14,7 @@ from cytoquilt.sources.files import exists
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of one list file with their 1-based number (barcodes or features of one library)."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     lines = whole.select(F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
     return lines.where("line <> ''").select((F.col("pos") + 1).cast("long").alias("number"), "line")
 
