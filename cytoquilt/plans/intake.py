@@ -85,7 +85,9 @@ def prepare_cells(obs: DataFrame, alias: str, name: str, position: str, bucket_r
     work = work.select(
         "*", *[c.alias(f"_new_{i}") for i, c in enumerate(cols.values())]
     )
-    keep_old = [c for c in work.columns if not c.startswith("_new_") and c not in cols]
+    # Spark reads names without regard to case, so "Tissue" makes way for "tissue"
+    made = {n.lower() for n in cols}
+    keep_old = [c for c in work.columns if not c.startswith("_new_") and c.lower() not in made]
     work = work.select(
         *[F.col(quote(c)) for c in keep_old], *[F.col(f"_new_{i}").alias(n) for i, n in enumerate(cols)]
     )
