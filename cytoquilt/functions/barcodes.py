@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from cytoquilt.functions.text import as_col, blank_to_null, clean, clean_intake, strip
 
 
-def barcode_core(c: Column | str) -> Column:
-    """Sequence before the lane suffix: ``AAAC-1`` and ``lib:aaac-1-0`` give ``AAAC``."""
-    text = F.upper(clean_intake(c))
+def barcode_core(c: Column | str, cleaned: bool = False) -> Column:
+    """Sequence before the lane suffix: ``AAAC-1`` and ``lib:aaac-1-0`` give ``AAAC``.
+
+    ``cleaned`` says that missing-like text was blanked before.
+    """
+    text = F.upper(as_col(c) if cleaned else clean_intake(c))
     at_end = F.nullif(F.regexp_extract(text, r"([ACGTN]+)-\d+$", 1), F.lit(""))
     anywhere = F.nullif(F.regexp_extract(text, r"([ACGTN]+)-\d+", 1), F.lit(""))
     return F.coalesce(at_end, anywhere, F.substring_index(text, "-", 1))
@@ -20,7 +23,7 @@ def full_barcode(c: Column | str) -> Column:
     """Barcode with its lane suffix where there is one, else the cleaned text."""
     text = clean_intake(c)
     hit = F.regexp_extract(text, r"(?i)([ACGTN]+-\d+)", 1)
-    return F.when(hit != "", F.upper(hit)).otherwise(text)
+    return F.coalesce(F.nullif(F.upper(hit), F.lit("")), text)
 
 
 def stripped_core(c: Column | str) -> Column:

@@ -27,7 +27,7 @@ def strip(c: Column | str) -> Column:
 def clean(c: Column | str, missing: Iterable[str] = MISSING_RULES) -> Column:
     """Stripped text, with NULL and missing-like words turned into ''."""
     text = strip(c)
-    return F.when(text.isNull() | F.lower(text).isin(*missing), F.lit("")).otherwise(text)
+    return F.coalesce(F.when(~F.lower(text).isin(*missing), text), F.lit(""))
 
 
 def clean_intake(c: Column | str) -> Column:

@@ -17,7 +17,7 @@ from cytoquilt.constants import (
 from cytoquilt.functions.genes import is_mitochondrial
 from cytoquilt.functions.numbers import is_finite
 from cytoquilt.operators.joining import sized_join
-from cytoquilt.operators.matrix import CELL, resolve_panel, with_every_cell
+from cytoquilt.operators.matrix import CELL, resolve_panel, with_every_cell, with_group_flags
 from cytoquilt.session import materialize
 
 
@@ -58,12 +58,9 @@ def group_scores(
     symbols = sorted({g for genes in panels.values() for g in genes})
     panel = materialize(resolve_panel(var, symbols, by, exact=True))
     keys = [*by, *[c for c in cell if c not in by]]
-    work = sized_join(counts, panel, [*by, "gene"], "left")
+    work = sized_join(counts, with_group_flags(panel, panels), [*by, "gene"], "left")
     is_mt = is_mitochondrial("gene") if mito is None else mito
-    sums = [
-        F.sum(F.when(F.col("panel_symbol").isin(*genes), F.col("count")).otherwise(0.0)).alias(f"_s_{name}")
-        for name, genes in panels.items()
-    ]
+    sums = [F.coalesce(F.sum(F.col(f"in_{name}") * F.col("count")), F.lit(0.0)).alias(f"_s_{name}") for name in panels]
     profile = work.groupBy(*keys).agg(
         F.sum("count").alias("total"),
         F.count_if(F.col("count") != 0).alias("n_genes"),
@@ -93,14 +90,13 @@ def group_scores(
     return wide.select(*out)
 
 
-def dominant_group(names: Sequence[str] = tuple(CLEANUP_PANELS)) -> tuple[Column, Column]:
-    """(label, score) of the highest group; the earlier name wins a tie."""
-    top = F.greatest(*[F.col(f"{n}_score") for n in names])
+def dominant_label(top: Column, names: Sequence[str] = tuple(CLEANUP_PANELS)) -> Column:
+    """Group whose score equals the highest one; the earlier name wins a tie."""
     label = None
     for n in names:
         hit = F.col(f"{n}_score") == top
         label = F.when(hit, n) if label is None else label.when(hit, n)
-    return label, top
+    return label
 
 
 def second_pass_reasons(scored: DataFrame) -> DataFrame:
@@ -108,11 +104,21 @@ def second_pass_reasons(scored: DataFrame) -> DataFrame:
 
     Input: output of :func:`group_scores` with extraction scores and hits.
     """
-    support = F.greatest("t_score", "gd_score", "nk_score")
-    hits = total_hits()
-    label, top = dominant_group()
-    weak = (support <= 0.75) & (hits <= 1)
-    gate = (top >= 1.20) & weak & (top >= support + 0.35)
+    # one projection per step: later steps refer to columns, so that no expression
+    # is copied into every place it is used in
+    work = scored.withColumns(
+        {
+            "support": F.greatest("t_score", "gd_score", "nk_score"),
+            "total_hits": total_hits(),
+            "dominant_score": F.greatest(*[F.col(f"{n}_score") for n in CLEANUP_PANELS]),
+        }
+    )
+    support, hits, top = F.col("support"), F.col("total_hits"), F.col("dominant_score")
+    work = work.withColumns(
+        {"dominant_label": dominant_label(top), "_weak": (support <= 0.75) & (hits <= 1)}
+    )
+    weak, label = F.col("_weak"), F.col("dominant_label")
+    work = work.withColumn("_gate", (top >= 1.20) & weak & (top >= support + 0.35))
 
     def own(name: str) -> Column:
         s = F.col(f"{name}_score")
@@ -123,22 +129,14 @@ def second_pass_reasons(scored: DataFrame) -> DataFrame:
         | (F.col("total") < 150)
         | ((F.col("pct_mt") >= 0.30) & (F.col("n_genes") < 200)),
         "extreme_contam": (F.col("contam_score") >= 1.75) & (support <= 0.50) & (hits == 0),
-        "myeloid_conflict": gate & (label == "myeloid"),
-        "bcell_conflict": gate & (label == "bcell"),
+        "myeloid_conflict": F.col("_gate") & (label == "myeloid"),
+        "bcell_conflict": F.col("_gate") & (label == "bcell"),
         "epithelial_conflict": own("epithelial"),
         "erythroid_conflict": own("erythroid"),
         "platelet_conflict": own("platelet"),
     }
     reason = F.coalesce(*[F.when(flags[name], F.lit(name)) for name in REASON_PRIORITY], F.lit("kept"))
-    return scored.withColumns(
-        {
-            "support": support,
-            "total_hits": hits,
-            "dominant_label": label,
-            "dominant_score": top,
-            "remove_reason": reason,
-        }
-    )
+    return work.withColumn("remove_reason", reason).drop("_weak", "_gate")
 
 
 def cells_per_gene(counts: DataFrame, kept: DataFrame, cell: Sequence[str] = CELL) -> DataFrame:

@@ -12,7 +12,7 @@ from cytoquilt.functions.columns import quote
 from cytoquilt.functions.genes import canonical_symbol_py
 from cytoquilt.functions.text import matches_any
 from cytoquilt.operators.joining import sized_join
-from cytoquilt.operators.matrix import cell_profile, panel_name, resolve_panel, with_every_cell
+from cytoquilt.operators.matrix import cell_profile, resolve_panel, with_every_cell, with_group_flags
 from cytoquilt.session import materialize
 
 
@@ -72,20 +72,27 @@ def marker_profile(
     The score averages log1p(1e4 * count / total) over the group's genes that
     the dataset has; it is 0 where it has none.
     """
-    symbols = sorted({canonical_symbol_py(g) for genes in panels.values() for g in genes})
-    panel = materialize(resolve_panel(var, symbols, by))
+    groups = {n: [canonical_symbol_py(g) for g in genes] for n, genes in panels.items()}
+    panel = materialize(resolve_panel(var, sorted({g for gs in groups.values() for g in gs}), by))
     keys = [*by, *[c for c in cell if c not in by]]
-    wide = with_every_cell(obs, cell_profile(counts, panel, symbols, by, cell), keys)
+    # cell totals from all counts; the few panel rows are cut out before they meet
+    # them, and both sides are then partitioned by cell
+    totals = cell_profile(counts, by=by, cell=cell)
+    rows = sized_join(counts, with_group_flags(panel, groups), [*by, "gene"])
+    logs = F.log1p(F.col("count") * F.lit(1e4) / F.when(F.col("total") == 0, 1.0).otherwise(F.col("total")))
+    found = F.when(F.col("count") > 0, 1.0).otherwise(0.0)
+    sums = []
+    for name in groups:
+        sums.append(F.sum(F.col(f"in_{name}") * found).cast("int").alias(f"{name}_hits"))
+        sums.append(F.sum(F.col(f"in_{name}") * logs).alias(f"_s_{name}"))
+    marked = rows.join(totals.drop("n_genes"), keys).groupBy(*keys).agg(*sums)
+    wide = with_every_cell(with_every_cell(obs, totals, keys), marked, keys)
     wide = sized_join(wide, availability(panel, panels, by), list(by), "left")
-    scale = F.lit(1e4) / F.when(F.col("total") == 0, 1.0).otherwise(F.col("total"))
     out = [F.col(quote(c)) for c in obs.columns] + ["total", "n_genes"]
-    for name, genes in panels.items():
-        cols = [F.coalesce(F.col(panel_name(canonical_symbol_py(g))), F.lit(0.0)) for g in genes]
+    for name in groups:
         k = F.coalesce(F.col(f"k_{name}"), F.lit(0))
-        hits = sum(((c > 0).cast("int") for c in cols), F.lit(0))
-        logs = sum((F.log1p(c * scale) for c in cols), F.lit(0.0))
-        out.append(hits.alias(f"{name}_hits"))
-        out.append(F.when(k > 0, logs / k).otherwise(0.0).alias(f"{name}_score"))
+        out.append(F.col(f"{name}_hits"))
+        out.append(F.when(k > 0, F.col(f"_s_{name}") / k).otherwise(0.0).alias(f"{name}_score"))
     return wide.select(*out)
 
 

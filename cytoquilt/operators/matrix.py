@@ -46,6 +46,13 @@ def resolve_panel(
     return hits.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", position)
 
 
+def with_group_flags(panel: DataFrame, groups: dict[str, Sequence[str]]) -> DataFrame:
+    """Panel genes with one 0/1 column ``in_<group>`` per marker group."""
+    return panel.withColumns(
+        {f"in_{n}": F.when(F.col("panel_symbol").isin(*gs), 1.0).otherwise(0.0) for n, gs in groups.items()}
+    )
+
+
 def cell_profile(
     counts: DataFrame,
     panel: DataFrame | None = None,

@@ -43,7 +43,7 @@ def standardize_contigs(
     """Contig rows in one schema; rows without barcode or with other chains go."""
     out = contigs.select(
         clean_intake(F.col(quote(sample))).alias("sample_id"),
-        barcode_core(full_barcode("barcode")).alias("barcode_core"),
+        barcode_core(full_barcode("barcode"), cleaned=True).alias("barcode_core"),
         F.upper(F.col("chain").cast("string")).alias("chain"),
         _text(contigs, "cdr3").alias("cdr3"),
         _text(contigs, "v_gene").alias("v"),
@@ -109,7 +109,7 @@ def standardize_wide(
     cols = [
         *[F.col(quote(c)) for c in keep],
         clean_intake(F.col(quote(sample))).alias("sample_id"),
-        barcode_core(full_barcode(F.col(quote(barcode)))).alias("barcode_core"),
+        barcode_core(full_barcode(F.col(quote(barcode))), cleaned=True).alias("barcode_core"),
     ]
     for ch in chains:
         for f in CHAIN_TEXT_FIELDS:

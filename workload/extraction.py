@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from cytoquilt.constants import ANNOTATION_NEGATIVE, ANNOTATION_POSITIVE
 from cytoquilt.functions.genes import canonical_symbol_py
 from cytoquilt.operators import extract, validate
+from cytoquilt.session import materialize
 from workload import base as b
 from workload.base import EXTRACT_PANELS, r6, register, rounded, s6, with_ctes
 
@@ -45,7 +46,10 @@ SHARED = ["counts", "obs", "gv", "dcounts", "dvar", "totals"]
 
 def profile(spark, d):
     cells = b.obs(spark, d).select("cell_id", "gse_id", "leiden", "annotation", "status")
-    return extract.marker_profile(cells, b.dataset_counts(spark, d), b.dataset_var(spark, d), EXTRACT_PANELS)
+    # counts are a stored table: what stands in for one is written once
+    counts = materialize(b.dataset_counts(spark, d))
+    var = counts.select("gse_id", "gene").distinct().join(b.var(spark, d), "gene")
+    return extract.marker_profile(cells, counts, var, EXTRACT_PANELS)
 
 
 def candidates(spark, d):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from cytoquilt.constants import CHAIN_TEXT_FIELDS
 from cytoquilt.functions.labels import mapped
 from cytoquilt.operators import summaries, tcr, validate
+from cytoquilt.session import materialize
 from cytoquilt.sources.tables import pool_donors
 from workload import base as b
 from workload.base import register, s6, with_ctes
@@ -41,7 +42,7 @@ def contigs(spark, d):
         F.substring(F.md5((F.col("user_id") % 37).cast("string")), 1, 16), "0123456789abcdef", "ACGTNACGTNACGTNA"
     )
     i = F.col("event_id").cast("string")
-    return e.select(
+    made = e.select(
         F.concat(F.lit("S"), F.floor(F.col("user_id") / 10).cast("string")).alias("sample_id"),
         F.when(F.col("value") > 200, "").otherwise(F.concat(seq, F.lit("-1"))).alias("barcode"),
         mapped("event_type", CHAIN).alias("chain"),
@@ -53,6 +54,8 @@ def contigs(spark, d):
         F.get_json_object("props", "$.k").alias("reads"),
         F.col("event_id").alias("row_ord"),
     )
+    # a contig table is a stored table: what stands in for one is written once
+    return materialize(made)
 
 
 def std(spark, d):
