@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytoquilt.functions.genes import canonical_symbol, canonical_symbol_py, is_mitochondrial
-from cytoquilt.functions.numbers import log1p_norm, number_or_zero, pseudo_count
+from cytoquilt.functions.numbers import log1p_norm, pseudo_count
 from cytoquilt.operators.joining import sized_join
 
 CELL = ("cell_id",)
@@ -233,6 +233,3 @@ def best_name_column(var: DataFrame, candidates: Sequence[str], base: DataFrame,
     overlap = marked.groupBy("pos", "name_column").agg(F.count("_in").alias("overlap"))
     return overlap.orderBy(F.desc("overlap"), "pos").limit(1).select("name_column", "overlap")
 
-
-def total_of(c: str) -> Column:
-    return number_or_zero(c)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from cytoquilt.functions.numbers import log1p_norm
 from cytoquilt.operators import alignment, matrix
 from cytoquilt.operators.metadata import keep_first
+from cytoquilt.session import materialize
 from workload import base as b
 from workload.base import r6, register, s6, sql_list, with_ctes
 
@@ -212,12 +213,15 @@ def gene_name_column(spark, d):
     with_ctes(
         ["counts", "obs", "dcounts"],
         """SELECT gse_id, count(*) AS stored, count(DISTINCT gene) AS genes, sum(count) AS total
-        FROM dcounts WHERE gse_id IN ('NATION_1', 'NATION_2', 'NATION_3') GROUP BY 1""",
+        FROM dcounts GROUP BY 1""",
     ),
 )
 def stacked_counts(spark, d):
-    c = b.dataset_counts(spark, d)
-    parts = [c.where(F.col("gse_id") == g) for g in ("NATION_1", "NATION_2", "NATION_3")]
+    # a depositor splits the cohort by tissue; stacking puts the whole of it together again
+    o = b.obs(spark, d).select("cell_id", "gse_id", "tissue")
+    c = materialize(b.counts(spark, d).join(o, "cell_id"))
+    tissues = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+    parts = [c.where(F.col("tissue") == t).drop("tissue") for t in tissues]
     out = alignment.stack_counts(parts)
     genes = out.groupBy("gse_id", "gene").agg(F.count(F.lit(1)).alias("_n"), F.sum("count").alias("_s"))
     return genes.groupBy("gse_id").agg(

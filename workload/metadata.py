@@ -190,10 +190,10 @@ def one_sided_names(spark, d):
 @register(
     "reconciled_counts",
     """SELECT coalesce(a.k, b.k) AS k, coalesce(a.n, 0) AS expected_n, coalesce(b.n, 0) AS observed_n, coalesce(a.n, 0) = coalesce(b.n, 0) AS matches
-    FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_nationkey < 20 GROUP BY 1) a
-    FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier WHERE s_nationkey > 4 GROUP BY 1) b ON a.k = b.k""",
+    FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_acctbal > 9900 GROUP BY 1) a
+    FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1) b ON a.k = b.k""",
 )
 def reconciled_counts(spark, d):
-    a = b.table(spark, d, "customer").where("c_nationkey < 20").groupBy(F.col("c_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("e"))
-    s = b.table(spark, d, "supplier").where("s_nationkey > 4").groupBy(F.col("s_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("o"))
+    a = b.table(spark, d, "customer").where("c_acctbal > 9900").groupBy(F.col("c_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("e"))
+    s = b.table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("o"))
     return validate.reconcile_counts(a, s, "k", "e", "o")

@@ -153,11 +153,11 @@ def receptors_one_row_per_cell(spark, d):
     return _one(spark, d).select("sample_id", "barcode_core", *WIDE_COLS)
 
 
-CELL_SQL = f"""SELECT DISTINCT 'S' || (user_id // 10) AS sample_id, {SEQ} || '-1' AS barcode, user_id FROM events WHERE event_type <> 'error' OR user_id > 20"""
+CELL_SQL = f"""SELECT DISTINCT 'S' || (user_id // 10) AS sample_id, {SEQ} || '-1' AS barcode, user_id FROM events"""
 
 
 def cells(spark, d):
-    e = b.table(spark, d, "events").where("event_type <> 'error' or user_id > 20").select("user_id").distinct()
+    e = b.table(spark, d, "events").select("user_id").distinct()
     seq = F.translate(
         F.substring(F.md5((F.col("user_id") % 37).cast("string")), 1, 16), "0123456789abcdef", "ACGTNACGTNACGTNA"
     )
@@ -227,14 +227,14 @@ def receptor_sanity(spark, d):
 
 PRES = """SELECT user_id, event_type, tra <> '' AS has_tra, trb <> '' AS has_trb, tra <> '' OR trb <> '' AS has_tra_or_trb, tra <> '' AND trb <> '' AS has_paired,
     tra = '' AND trb = '' AS has_none FROM (SELECT user_id, event_type, CASE WHEN value > 20 THEN 'C' ELSE '' END AS tra, CASE WHEN value < 60 THEN 'D' ELSE '' END AS trb,
-    row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS rn FROM events) WHERE rn = 1 AND user_id > 10"""
+    row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS rn FROM events) WHERE rn = 1 AND event_type <> 'error'"""
 
 
 def _presence(spark, d):
     e = b.table(spark, d, "events").withColumns(
         {"TRA_cdr3": F.when(F.col("value") > 20, "C"), "TRB_cdr3": F.when(F.col("value") < 60, "D").otherwise(" ")}
     )
-    lookup = tcr.presence_lookup(e.where("user_id > 10"), ["user_id", "event_type"], ["event_id"])
+    lookup = tcr.presence_lookup(e.where("event_type <> 'error'"), ["user_id", "event_type"], ["event_id"])
     rows = b.table(spark, d, "events").select("event_id", "user_id", "event_type")
     return tcr.attach_presence(rows, lookup, ["user_id", "event_type"])
 
