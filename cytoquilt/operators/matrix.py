@@ -85,7 +85,8 @@ def with_every_cell(obs: DataFrame, profile: DataFrame, keys: Sequence[str]) ->
     """Left join from the cell table; cells without any count get zeros."""
     joined = obs.join(profile, list(keys), "left")
     new = [c for c in profile.columns if c not in keys]
-    return joined.fillna(0, subset=new)
+    # only absent rows become zero; a NaN that was there stays visible
+    return joined.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in new})
 
 
 def cell_totals(
