@@ -5,13 +5,39 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cytoquilt.llm import bpe, media, packing, wavelet
+from cytoquilt.llm import bpe, line_dedup, media, packing, pii, secrets, wavelet
 from cytoquilt.llm.common import read_table
+from cytoquilt.llm.spans import written
 from cytoquilt.session import ensure_checkpoint_dir
 
 
+def digest(spans: Column, base: tuple[str, ...]) -> list[Column]:
+    """Counts of the base kinds, hash of the base spans, and all spans, as text."""
+    own = F.filter(spans, lambda s: s["kind"].isin(*base))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return [*map(count, base), F.sha2(written(own), 256).alias("base_sha256"), written(spans).alias("spans")]
+
+
+def op2_site_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_boilerplate(read_table(spark, sf_dir, "documents"), "doc_id", "source", "text")
+
+
+def op4_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(read_table(spark, sf_dir, "documents", ["doc_id", "text"]), "doc_id", "text", name="found")
+    return found.select("doc_id", *digest(F.col("found"), secrets.BASE))
+
+
+def op5_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(read_table(spark, sf_dir, "documents", ["doc_id", "text"]), "doc_id", "text", spans="found")
+    return found.select("doc_id", *digest(F.col("found"), pii.BASE))
+
+
 def op3_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(read_table(spark, sf_dir, "documents"), "doc_id", "text", keep_ids=False)
 
@@ -31,6 +57,6 @@ def op10_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_forced_boundary_bpe, op7_minimum_slack_packing, op8_wavelet_tokens, op10_png_media)
+    f.__name__: f for f in (op2_site_line_dedup, op3_forced_boundary_bpe, op4_trigram_secrets, op5_disclosure_pii, op7_minimum_slack_packing, op8_wavelet_tokens, op10_png_media)
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op2_site_line_dedup": line_dedup.oracle()}
