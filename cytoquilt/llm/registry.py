@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytoquilt.llm import bpe, line_dedup, media, packing, pii, secrets, wavelet
+from cytoquilt.llm import bpe, line_dedup, media, near_dedup, packing, pii, secrets, toxicity, wavelet
 from cytoquilt.llm.common import read_table
 from cytoquilt.llm.spans import written
 from cytoquilt.session import ensure_checkpoint_dir
@@ -42,6 +42,10 @@ def op3_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(read_table(spark, sf_dir, "documents"), "doc_id", "text", keep_ids=False)
 
 
+def op6_bagminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents", ["doc_id", "text"]), "doc_id", "text")
+
+
 def op7_minimum_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -52,11 +56,17 @@ def op8_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_shards(spark, folder, "doc_id").drop("part", "shard", "place")
 
 
+def op9_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, "doc_id", "text", model)
+
+
 def op10_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.to_media(read_table(spark, sf_dir, "documents"), "doc_id", "text", keep_media=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_site_line_dedup, op3_forced_boundary_bpe, op4_trigram_secrets, op5_disclosure_pii, op7_minimum_slack_packing, op8_wavelet_tokens, op10_png_media)
+    f.__name__: f for f in (op2_site_line_dedup, op3_forced_boundary_bpe, op4_trigram_secrets, op5_disclosure_pii, op6_bagminhash_near_dedup, op7_minimum_slack_packing, op8_wavelet_tokens, op9_lexicon_toxicity, op10_png_media)
 }
 ORACLE: dict[str, str] = {"op2_site_line_dedup": line_dedup.oracle()}
