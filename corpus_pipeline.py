@@ -1,23 +1,65 @@
-"""A training corpus from ``documents``; stages are added as their operators are."""
+"""A training corpus from ``documents`` in five stages, each writing what the next one reads.
+
+Toxic documents go; boilerplate lines of each source go; one document of each
+near-duplicate class stays; personal data and the terms that give it away are
+taken out; what is left is packed into sequences of 1024 tokens.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from cytoquilt.llm import packing
+from cytoquilt.llm import line_dedup, near_dedup, packing, pii, toxicity
+from cytoquilt.session import ensure_checkpoint_dir
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the lexicon scores below 0.7. Labels are learned from the given documents, not from what is left of them."""
+    source = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model = toxicity.fit(source, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.drop_toxic(docs, "text", model)
+
+
+def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that too many documents of their source have."""
+    return line_dedup.drop_boilerplate(docs, "doc_id", "source", "text")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each near-duplicate class."""
+    return near_dedup.keep_one(docs, "doc_id", "text")
+
+
+def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data and disclosing terms taken out."""
+    return pii.sanitise(docs, "doc_id", "text")
 
 
-def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining documents in sequences of 1024 tokens."""
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 1024 tokens."""
     return packing.pack(docs, "doc_id", "text")
 
 
-STAGES = [("best-fit packing", best_fit_packing)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_boilerplate),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("PII", sanitise),
+    ("best-fit packing", pack),
+]
+#: SQL has no BPE and no signatures; each stage is tested against a brute-force version instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; every stage is written to the shared folder and read again."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline/{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
     return docs

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytoquilt.llm import bpe, line_dedup, media, near_dedup, packing, pii, secrets, toxicity, wavelet
+from cytoquilt.llm import ann, bpe, line_dedup, media, near_dedup, packing, pii, secrets, toxicity, wavelet
 from cytoquilt.llm.common import read_table
 from cytoquilt.llm.spans import written
 from cytoquilt.session import ensure_checkpoint_dir
@@ -24,6 +24,11 @@ def digest(spans: Column, base: tuple[str, ...]) -> list[Column]:
     return [*map(count, base), F.sha2(written(own), 256).alias("base_sha256"), written(spans).alias("spans")]
 
 
+def op1_sharded_small_world(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
+    return ann.nearest(vectors, "vec_id", "embedding", vectors.where(F.col("vec_id") % 100 == 0))
+
+
 def op2_site_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(read_table(spark, sf_dir, "documents"), "doc_id", "source", "text")
 
@@ -67,6 +72,6 @@ def op10_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_site_line_dedup, op3_forced_boundary_bpe, op4_trigram_secrets, op5_disclosure_pii, op6_bagminhash_near_dedup, op7_minimum_slack_packing, op8_wavelet_tokens, op9_lexicon_toxicity, op10_png_media)
+    f.__name__: f for f in (op1_sharded_small_world, op2_site_line_dedup, op3_forced_boundary_bpe, op4_trigram_secrets, op5_disclosure_pii, op6_bagminhash_near_dedup, op7_minimum_slack_packing, op8_wavelet_tokens, op9_lexicon_toxicity, op10_png_media)
 }
 ORACLE: dict[str, str] = {"op2_site_line_dedup": line_dedup.oracle()}
