@@ -81,7 +81,7 @@ lines AS (SELECT rn, h, unnest(string_split(text, chr(10))) AS line, generate_su
 seen AS (SELECT h, trim(line, ' ') AS l, count(DISTINCT rn) AS n FROM lines WHERE length(trim(line, ' ')) >= {min_chars} GROUP BY ALL),
 totals AS (SELECT h, count(*) AS t FROM pages GROUP BY h),
 bad AS (SELECT h, l FROM seen JOIN totals USING (h) WHERE n >= {min_pages} AND n > t * {ratio}::DOUBLE),
-kept AS (SELECT rn, string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT gone) AS text, bool_or(NOT gone AND trim(regexp_replace(line, '\\s+', ' ', 'g')) <> '') AS some
+kept AS (SELECT rn, string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT gone) AS text, bool_or(NOT gone AND trim(regexp_replace(line, '\\s+', ' ', 'g')) <> '') AS anyleft
   FROM (SELECT lines.*, bad.l IS NOT NULL AS gone FROM lines LEFT JOIN bad ON bad.h = lines.h AND bad.l = trim(line, ' ')) GROUP BY rn)
-SELECT doc_id, CASE WHEN some THEN kept.text ELSE pages.text END AS text, lang, source, n_chars FROM pages LEFT JOIN kept USING (rn)
+SELECT doc_id, CASE WHEN anyleft THEN kept.text ELSE pages.text END AS text, lang, source, n_chars FROM pages LEFT JOIN kept USING (rn)
 """

@@ -103,5 +103,5 @@ def written(spans: Column) -> Column:
 def replaced(text: Column, pattern: str, label: Callable[[Column], Column]) -> Column:
     """``text`` with each match of ``pattern`` put through ``label``, in one pass over split and matches."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.zip_with(F.split(text, pattern, -1), hits, lambda g, h: F.concat(g, F.coalesce(label(h), h, F.lit(""))))
+    parts = F.zip_with(F.split(text, pattern, -1), hits, lambda g, h: F.concat(g, F.when(h.isNull(), F.lit("")).otherwise(F.coalesce(label(h), h))))
     return F.when(text.rlike(pattern), F.array_join(parts, "")).otherwise(text)

@@ -68,7 +68,7 @@ class WaveletMatrix:
         block = np.minimum(at // BLOCK, self.ranks.shape[1] - 1)
         bits = np.unpackbits(self.planes[level].reshape(-1, BLOCK // 8)[block], axis=-1, bitorder="little")
         upto = np.arange(BLOCK) < (at - block * BLOCK)[..., None]
-        return self.ranks[level][block] + (bits & upto).sum(-1)
+        return self.ranks[level][block] + (bits & upto).sum(-1, dtype=np.int64)
 
     def select(self, level: int, nth: int, one: bool) -> int:
         """Position of the nth (from 0) set or clear bit of a plane."""
