@@ -61,7 +61,7 @@ KEY_GENES = (
     "TRAC", "TRBC1", "TRBC2", "TRDC", "TRGC1", "TRGC2", "CD3D", "CD3E", "CD3G", "NKG7", "KLRD1",
 )
 REASON_PRIORITY = (
-    "low_quality", "extreme_contam", "myeloid_conflict", "bcell_conflict",
+    "low_quality", "extreme_phase1_contam", "myeloid_conflict", "bcell_conflict",
     "epithelial_conflict", "erythroid_conflict", "platelet_conflict",
 )
 MIN_GENE_CELLS = 500
@@ -159,6 +159,6 @@ STALE_COLUMNS = (
     "phase4_tra_score", "phase4_trb_score", "phase4_trab_score", "phase4_trd_score",
     "phase4_trd_minus_trab", "phase4_trab_score_scaled", "phase4_trd_score_scaled",
     "phase4_trd_minus_trab_scaled", "phase3_batch_key", "phase3_batch_level", "leiden",
-    "simple_annotation", "scanvi_detailed_label", "scanvi_label_confidence",
+    "simple_annotation", "simple_annotation_plus6", "scanvi_detailed_label", "scanvi_label_confidence",
     "scanvi_tnk_superclass", "scanvi_reference_other_flag", "scanvi_transfer_method",
 )

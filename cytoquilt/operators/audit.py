@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cytoquilt.constants import KEY_GENES
+from cytoquilt.constants import COUNTS_LAYER_PRIORITY, KEY_GENES
 from cytoquilt.functions.columns import metadata_fields
 from cytoquilt.functions.numbers import is_finite, is_integer_like
 
@@ -61,10 +61,10 @@ def classify_state(
     return out
 
 
-def gene_axis_stats(var: DataFrame, by: str = "gse_id", symbol: str = "symbol", first: int = 2000) -> DataFrame:
-    """Genes, repeated names, naming style of the first names, key genes present."""
+def gene_axis_stats(var: DataFrame, by: str = "gse_id", symbol: str = "symbol", first: int | None = None) -> DataFrame:
+    """Genes, repeated names, naming style of all names (or of the ``first`` ones), key genes present."""
     upper = F.upper(F.col(symbol))
-    early = F.col("gene_pos") < first
+    early = F.lit(True) if first is None else F.col("gene_pos") < first
     share = lambda cond: F.avg(F.when(early, cond.cast("double")))
     style = (
         F.when(F.col("_ensg") >= 0.7, "ensembl_like")
@@ -104,7 +104,11 @@ def audit_datasets(
     the columns of ``obs`` hold for all.
     """
     stats = matrix_stats(counts, by, first_values)
-    layer = F.col("matrix").startswith("layer:")
+    # the counts layer by name: the listed names in order, else any that speaks of counts
+    named = F.lower(F.substring_index("matrix", "layer:", -1))
+    place = F.coalesce(*[F.when(named == n, F.lit(i)) for i, n in enumerate(COUNTS_LAYER_PRIORITY)], F.when(named.contains("count"), F.lit(99)))
+    place = F.when(F.col("matrix").startswith("layer:"), place)
+    layer = F.min(F.when(place.isNotNull(), F.struct(place.alias("place"), "matrix", "integer_like_fraction")))
 
     def pick(cond: Column, col: str) -> Column:
         return F.max(F.when(cond, F.col(col)))
@@ -115,8 +119,8 @@ def audit_datasets(
         pick(is_x, "has_negative").alias("x_has_negative"),
         pick(is_x, "integer_like_fraction").alias("x_integer_like_fraction"),
         pick(is_x, "max_value").alias("x_max"),
-        F.bool_or(layer).alias("has_counts_layer"),
-        pick(layer, "integer_like_fraction").alias("counts_integer_like_fraction"),
+        layer.isNotNull().alias("has_counts_layer"),
+        layer["integer_like_fraction"].alias("counts_integer_like_fraction"),
         F.bool_or(is_raw).alias("has_raw"),
         pick(is_raw, "integer_like_fraction").alias("raw_integer_like_fraction"),
     )

@@ -128,7 +128,7 @@ def second_pass_reasons(scored: DataFrame) -> DataFrame:
         "low_quality": (F.col("n_genes") < 100)
         | (F.col("total") < 150)
         | ((F.col("pct_mt") >= 0.30) & (F.col("n_genes") < 200)),
-        "extreme_contam": (F.col("contam_score") >= 1.75) & (support <= 0.50) & (hits == 0),
+        "extreme_phase1_contam": (F.col("contam_score") >= 1.75) & (support <= 0.50) & (hits == 0),
         "myeloid_conflict": F.col("_gate") & (label == "myeloid"),
         "bcell_conflict": F.col("_gate") & (label == "bcell"),
         "epithelial_conflict": own("epithelial"),

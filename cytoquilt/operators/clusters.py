@@ -20,7 +20,7 @@ from cytoquilt.session import materialize
 
 
 def sparse_medians(
-    rows: DataFrame, sizes: DataFrame, by: str, genes: Sequence[str], builtin_rows: int = 2_000_000
+    rows: DataFrame, sizes: DataFrame, by: str, genes: Sequence[str]
 ) -> DataFrame:
     """Median of every gene over all cells of a cluster, absent pairs being zero.
 
@@ -33,7 +33,7 @@ def sparse_medians(
         by, "gene", F.lit(0.0).alias("value"), (F.col("n_cells") - F.coalesce("_nnz", F.lit(0))).alias("_w")
     )
     every = rows.select(by, "gene", "value", F.lit(1).cast("long").alias("_w")).unionByName(zeros).where("_w > 0")
-    return grouped_quantiles(every, [by, "gene"], "value", {"median": 0.5}, weight="_w", builtin_rows=builtin_rows)
+    return grouped_quantiles(every, [by, "gene"], "value", {"median": 0.5}, weight="_w")
 
 
 def cluster_marker_summary(
@@ -50,8 +50,9 @@ def cluster_marker_summary(
 ) -> DataFrame:
     """Per cluster: size, datasets, paired fractions, score medians and marker means.
 
-    A marker mean is the mean over a gene group of the genes' medians over all
-    cells of the cluster. ``panel`` maps ``gene`` to ``panel_symbol``.
+    A marker mean is the mean, over the genes of a group that the data have, of
+    the genes' medians over all cells of the cluster; it is 0 for a group of which
+    the data have none. ``panel`` maps the ``gene`` of the data to ``panel_symbol``.
     """
     genes = sorted({g for gs in groups.values() for g in gs})
     ab, gd = flags
@@ -67,14 +68,15 @@ def cluster_marker_summary(
     values = sized_join(normalized(counts, totals, cell, keep=panel), panel.select("gene", "panel_symbol"), ["gene"])
     values = values.drop("gene").withColumnRenamed("panel_symbol", "gene")
     values = materialize(values.join(obs.select(*cell, by), list(cell)).select(by, "gene", "value"))
-    marker = sparse_medians(values, base.select(by, "n_cells"), by, genes)
+    present = panel.select(F.col("panel_symbol").alias("gene")).distinct()
+    marker = sparse_medians(values, base.select(by, "n_cells"), by, genes).join(present, "gene", "left_semi")
     means = marker.groupBy(by).agg(
         *[
-            (F.sum(F.when(F.col("gene").isin(*gs), F.col("median")).otherwise(0.0)) / len(gs)).alias(f"{g}_marker_mean")
+            F.coalesce(F.avg(F.when(F.col("gene").isin(*gs), F.col("median"))), F.lit(0.0)).alias(f"{g}_marker_mean")
             for g, gs in groups.items()
         ]
     )
-    return base.join(med, by, "left").join(means, by, "left")
+    return base.join(med, by, "left").join(means, by, "left").fillna(0.0, subset=[f"{g}_marker_mean" for g in groups])
 
 
 def cluster_rules(legacy: bool = False) -> dict[str, Column]:
@@ -129,18 +131,18 @@ def label_cells(cells: DataFrame, labels: DataFrame, by: str = "leiden", label:
     return out.withColumn(label, F.coalesce(label, F.lit("other")))
 
 
+def panel_grid(sizes: DataFrame, panel: DataFrame, by: str) -> DataFrame:
+    """Every group with every panel gene: the whole panel is one row, which the groups take along."""
+    symbols = panel.agg(F.array_sort(F.collect_set("panel_symbol")).alias("_symbols"))
+    return sizes.crossJoin(F.broadcast(symbols)).select(by, "n_cells", F.explode("_symbols").alias("panel_symbol"))
+
+
 def detected_fraction(obs: DataFrame, counts: DataFrame, panel: DataFrame, by: str, cell: Sequence[str] = CELL) -> DataFrame:
     """Share of a cluster's cells with a stored non-zero value, per panel gene."""
     sizes = obs.groupBy(by).agg(F.count(F.lit(1)).alias("n_cells"))
-    symbols = panel.select("panel_symbol").distinct()
     rows = sized_join(counts.where("count <> 0"), panel.select("gene", "panel_symbol"), ["gene"])
     hit = rows.join(obs.select(*cell, by), list(cell)).groupBy(by, "panel_symbol").agg(F.count(F.lit(1)).alias("_n"))
-    # sizes x panel: both sides are summary tables, one row per cluster and per panel gene
-    names = [r[0] for r in symbols.limit(10_001).collect()]
-    if len(names) > 10_000:
-        raise ValueError("a panel holds at most 10,000 genes")
-    grid = sizes.select(by, "n_cells", F.explode(F.array(*[F.lit(n) for n in sorted(names)])).alias("panel_symbol"))
-    out = grid.join(hit, [by, "panel_symbol"], "left")
+    out = panel_grid(sizes, panel, by).join(hit, [by, "panel_symbol"], "left")
     return out.select(
         by, "panel_symbol", "n_cells",
         (F.coalesce("_n", F.lit(0)) / F.greatest(F.col("n_cells"), F.lit(1))).alias("detected_fraction"),
@@ -156,9 +158,7 @@ def expression_by_group(
     rows = rows.join(totals.select(*cell, "total"), list(cell)).join(obs.select(*cell, by), list(cell))
     v = log1p_clipped("count", "total")
     sums = rows.groupBy(by, "panel_symbol").agg(F.sum(v).alias("_s"), F.count_if(v > 0).alias("_p"))
-    names = sorted(r[0] for r in panel.select("panel_symbol").distinct().limit(10_000).collect())
-    grid = sizes.select(by, "n_cells", F.explode(F.array(*[F.lit(n) for n in names])).alias("panel_symbol"))
-    out = grid.join(sums, [by, "panel_symbol"], "left")
+    out = panel_grid(sizes, panel, by).join(sums, [by, "panel_symbol"], "left")
     return out.select(
         by, "panel_symbol", "n_cells",
         (F.coalesce("_s", F.lit(0.0)) / F.col("n_cells")).alias("mean_expr"),
@@ -198,9 +198,6 @@ def dominant_label(cells: DataFrame, by: str, labels: Sequence[str]) -> DataFram
     return out.withColumn("dominant_label_fraction", F.col("dominant_label_cells") / F.col("cluster_cells"))
 
 
-MAX_CENTROID_BYTES = 256 * 1024 * 1024
-
-
 def label_centroids(labelled: DataFrame, vector: str, label: str, confidence: str) -> DataFrame:
     """Confidence-weighted mean vector per label; weights are at least 1e-4."""
     work = labelled.where(F.col(label).isNotNull()).select(
@@ -212,24 +209,50 @@ def label_centroids(labelled: DataFrame, vector: str, label: str, confidence: st
     return mean.select("label", vector_to_array("_m").alias("centroid"))
 
 
+CELL_BLOCK, LABEL_BLOCK = 1024, 1024
+
+
+def nearest_two(x: np.ndarray, c: np.ndarray, c2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the nearest centroid and the two smallest squared distances, centroids taken block by block."""
+    best = np.zeros(len(x), np.int64)
+    first, second = np.full(len(x), np.inf), np.full(len(x), np.inf)
+    x2, rows = (x**2).sum(axis=1)[:, None], np.arange(len(x))
+    for at in range(0, len(c), LABEL_BLOCK):
+        d = np.maximum(x2 + c2[None, at : at + LABEL_BLOCK] - 2.0 * (x @ c[at : at + LABEL_BLOCK].T), 0.0)
+        k = d.argmin(axis=1)
+        near = d[rows, k]
+        d[rows, k] = np.inf
+        other = d.min(axis=1)
+        better = near < first
+        second = np.minimum(np.minimum(second, other), np.where(better, first, near))
+        best[better], first = k[better] + at, np.minimum(first, near)
+    return best, first, second
+
+
 def transfer_labels(
     cells: DataFrame, vector: str = "vec", label: str = "label", confidence: str = "confidence",
 ) -> DataFrame:
     """Label of every cell: its own where it has one, else that of the nearest centroid.
 
     Confidence is 1 - d1 / max(d2, 1e-6) on squared distances, 1 with one label.
-    Equal distances go to the label that sorts first. The centroid matrix is the
-    only thing sent to the tasks, and its size is checked.
+    Equal distances go to the label that sorts first. Only cells without a label
+    of their own are compared. The centroid table, one row per label, goes to every task, where cells and
+    labels meet block by block, so the distances in memory stay bounded.
     """
-    centroids = label_centroids(cells, vector, label, confidence)
-    dims = cells.select(F.size(vector)).first()[0]
-    limit = MAX_CENTROID_BYTES // (8 * max(dims, 1))
-    rows = centroids.orderBy("label").limit(limit + 1).collect()
+    centroids = materialize(label_centroids(cells, vector, label, confidence))
+    own = F.col(label).isNotNull()
+    labelled = cells.where(own).withColumns(
+        {
+            "assigned_label": F.col(label).cast("string"),
+            "assigned_confidence": F.col(confidence).cast("double"),
+            "transfer_method": F.lit("direct_subset_scANVI"),
+        }
+    )
+    # one row per label
+    rows = centroids.select(F.col("label").cast("string").alias("label"), "centroid").orderBy("label").collect()
     if not rows:
         raise ValueError("no labelled cell to transfer from")
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} labels: the centroid matrix would not fit a task")
-    names = np.array([str(r["label"]) for r in rows], dtype=object)
+    names = np.array([r["label"] for r in rows], dtype=object)
     matrix = np.array([r["centroid"] for r in rows], dtype=np.float64)
     shared = cells.sparkSession.sparkContext.broadcast((names, matrix, (matrix**2).sum(axis=1)))
 
@@ -239,21 +262,20 @@ def transfer_labels(
         if len(vectors) == 0:
             return pd.DataFrame({"near_label": [], "near_confidence": []})
         x = np.stack(vectors.to_numpy()).astype(np.float64)
-        d = np.maximum((x**2).sum(axis=1)[:, None] + c2[None, :] - 2.0 * (x @ c.T), 0.0)
-        best = d.argmin(axis=1)
-        if d.shape[1] == 1:
-            conf = np.ones(len(x))
-        else:
-            two = np.partition(d, 1, axis=1)[:, :2]
-            conf = 1.0 - two.min(axis=1) / np.maximum(two.max(axis=1), 1e-6)
+        best, conf = np.zeros(len(x), np.int64), np.ones(len(x))
+        for at in range(0, len(x), CELL_BLOCK):
+            part = x[at : at + CELL_BLOCK]
+            best[at : at + CELL_BLOCK], first, second = nearest_two(part, c, c2)
+            if len(c) > 1:
+                conf[at : at + CELL_BLOCK] = 1.0 - first / np.maximum(second, 1e-6)
         return pd.DataFrame({"near_label": labels[best], "near_confidence": conf})
 
-    near = cells.withColumn("_near", nearest(F.col(vector)))
-    own = F.col(label).isNotNull()
-    return near.withColumns(
+    near = cells.where(~own).withColumn("_near", nearest(F.col(vector)))
+    near = near.withColumns(
         {
-            "assigned_label": F.when(own, F.col(label).cast("string")).otherwise(F.col("_near.near_label")),
-            "assigned_confidence": F.when(own, F.col(confidence)).otherwise(F.col("_near.near_confidence")),
-            "transfer_method": F.when(own, "direct_subset").otherwise("latent_centroid_transfer"),
+            "assigned_label": F.col("_near.near_label"),
+            "assigned_confidence": F.col("_near.near_confidence"),
+            "transfer_method": F.lit("latent_centroid_transfer"),
         }
     ).drop("_near")
+    return labelled.unionByName(near)

@@ -36,7 +36,7 @@ def batch_centered(df: DataFrame, vector: str, batch: str) -> DataFrame:
     """Vectors less the mean vector of their batch."""
     vec = df.withColumn("_v", array_to_vector(F.col(vector)))
     means = vec.groupBy(batch).agg(Summarizer.mean(F.col("_v")).alias("_m")).select(batch, vector_to_array("_m").alias("_m"))
-    joined = sized_join(vec.drop("_v"), means, [batch], "left", max_rows=20_000, computed=True)
+    joined = sized_join(vec.drop("_v"), means, [batch], "left", computed=True)
     return joined.withColumn(
         vector, F.zip_with(F.col(vector), F.col("_m"), lambda a, b: a.cast("double") - b)
     ).drop("_m")

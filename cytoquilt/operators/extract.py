@@ -56,7 +56,7 @@ def availability_table(
     wide = availability(resolve_panel(var, symbols, by), panels, by)
     filled = datasets.select(*by).distinct().join(wide, list(by), "left").fillna(0)
     long = filled.unpivot(list(by), [f"k_{n}" for n in panels], "marker_group", "genes_present")
-    return long.withColumn("marker_group", F.upper(F.substring("marker_group", 3, 40)))
+    return long.withColumn("marker_group", F.upper(F.regexp_replace("marker_group", "^k_", "")))
 
 
 def marker_profile(

@@ -49,25 +49,26 @@ def batch_moments(counts: DataFrame, obs: DataFrame, batch: str, cell: Sequence[
 
 
 def local_quadratic(x: np.ndarray, y: np.ndarray, at: np.ndarray, span: float = 0.3) -> np.ndarray:
-    """Local quadratic regression with tricube weights at the points ``at``."""
-    k = max(int(np.ceil(span * len(x))), 4)
-    k = min(k, len(x))
+    """Local quadratic regression with tricube weights at the ascending points ``at``."""
+    k = min(max(int(np.ceil(span * len(x))), 4), len(x))
     order = np.argsort(x, kind="stable")
     xs, ys = x[order], y[order]
-    fitted = np.empty(len(at))
+    fitted, low = np.empty(len(at)), 0
     for i, point in enumerate(at):
-        d = np.abs(xs - point)
-        near = np.argpartition(d, k - 1)[:k]
-        h = max(d[near].max(), 1e-12) * 1.0000001
-        w = (1 - (d[near] / h) ** 3) ** 3
-        design = np.vander(xs[near] - point, 3, increasing=True)
-        root = np.sqrt(w)[:, None]
-        coef, *_ = np.linalg.lstsq(design * root, ys[near] * root[:, 0], rcond=None)
+        # the k nearest are a run of the sorted values, which only moves up
+        while low + k < len(xs) and xs[low + k] - point < point - xs[low]:
+            low += 1
+        d = xs[low : low + k] - point
+        h = max(np.abs(d).max(), 1e-12) * 1.0000001
+        u = d / h
+        w = (1 - np.abs(u) ** 3) ** 3
+        design = np.stack((np.ones(k), u, u * u))
+        coef, *_ = np.linalg.lstsq((design * w) @ design.T, (design * w) @ ys[low : low + k], rcond=None)
         fitted[i] = coef[0]
     return fitted
 
 
-def _trend(pdf: pd.DataFrame, batch: str, span: float, grid: int) -> pd.DataFrame:
+def _trend(pdf: pd.DataFrame, batch: str, span: float) -> pd.DataFrame:
     """Fitted deviation of every gene of one batch (the genome bounds its rows)."""
     out = pdf[[batch, "gene", "n", "mean"]].copy()
     ok = (pdf["variance"] > 0) & (pdf["mean"] > 0)
@@ -75,9 +76,8 @@ def _trend(pdf: pd.DataFrame, batch: str, span: float, grid: int) -> pd.DataFram
     if ok.sum() > 3:
         x = np.log10(pdf.loc[ok, "mean"].to_numpy())
         y = np.log10(pdf.loc[ok, "variance"].to_numpy())
-        points = np.unique(x) if len(np.unique(x)) <= grid else np.quantile(np.unique(x), np.linspace(0, 1, grid))
-        curve = local_quadratic(x, y, points, span)
-        reg[ok.to_numpy()] = np.sqrt(10 ** np.interp(x, points, curve))
+        points, where = np.unique(x, return_inverse=True)
+        reg[ok.to_numpy()] = np.sqrt(10 ** local_quadratic(x, y, points, span)[where])
     out["reg_std"] = reg
     out["clip"] = reg * np.sqrt(pdf["n"].to_numpy()) + pdf["mean"].to_numpy()
     out["constant"] = ~ok.to_numpy()
@@ -85,7 +85,7 @@ def _trend(pdf: pd.DataFrame, batch: str, span: float, grid: int) -> pd.DataFram
 
 
 def normalized_variance(
-    counts: DataFrame, obs: DataFrame, batch: str, cell: Sequence[str] = CELL, span: float = 0.3, grid: int = 400
+    counts: DataFrame, obs: DataFrame, batch: str, cell: Sequence[str] = CELL, span: float = 0.3
 ) -> DataFrame:
     """Variance of clipped standardised counts per batch and gene.
 
@@ -97,7 +97,7 @@ def normalized_variance(
         f"{batch} {dict(moments.dtypes)[batch]}, gene {dict(moments.dtypes)['gene']}, n long, mean double, "
         "reg_std double, clip double, constant boolean"
     )
-    fitted = materialize(moments.groupBy(batch).applyInPandas(lambda pdf: _trend(pdf, batch, span, grid), schema))
+    fitted = materialize(moments.groupBy(batch).applyInPandas(lambda pdf: _trend(pdf, batch, span), schema))
     rows = counts.join(obs.select(*cell, batch), list(cell))
     clipped = F.least(F.col("count"), F.col("clip"))
     sums = (
@@ -117,7 +117,7 @@ def normalized_variance(
 def rank_genes(norm: DataFrame, var: DataFrame, batch: str, n_top: int) -> DataFrame:
     """Median rank over the batches where a gene is among the top ``n_top``.
 
-    Every task first keeps only its best ``n_top`` genes per batch.
+    The window runs over the genes of one batch, which the genome bounds.
     """
     w = Window.partitionBy(batch).orderBy(F.desc("norm_variance"), "gene")
     top = norm.withColumn("_r", F.row_number().over(w) - 1).where(F.col("_r") < n_top)

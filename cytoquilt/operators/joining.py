@@ -1,38 +1,17 @@
-"""Joins whose broadcast side is measured first."""
+"""Joins of a large table with a usually smaller one."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from cytoquilt.session import materialize
 
-BROADCAST_ROWS = 200_000
 
+def sized_join(left: DataFrame, right: DataFrame, on, how: str = "inner", computed: bool = False) -> DataFrame:
+    """Join whose way the planner chooses by the bytes of ``right``.
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; reads no further than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def sized_join(
-    left: DataFrame,
-    right: DataFrame,
-    on,
-    how: str = "inner",
-    max_rows: int = BROADCAST_ROWS,
-    computed: bool = False,
-) -> DataFrame:
-    """Join a large left side to a side that is usually small.
-
-    The right side is broadcast only after its row count was checked against
-    ``max_rows``. Above that the plain join stands, which shuffles on the key
-    and lets adaptive execution split skewed partitions of the left side.
-    ``computed`` says that the right side is worth keeping rather than working
-    out once for the check and again for the join.
+    ``computed`` says that the right side is worth writing once: its size is then
+    known before the join is planned. Where it is small it is broadcast, else
+    both sides are shuffled and adaptive execution splits skewed partitions.
     """
-    if computed:
-        right = materialize(right)
-    if is_small(right, max_rows):
-        return left.join(F.broadcast(right), on, how)
-    return left.join(right, on, how)
+    return left.join(materialize(right) if computed else right, on, how)

@@ -186,20 +186,22 @@ def inverse_log_counts(
     obs: DataFrame,
     total_column: str,
     position: str = "cell_pos",
-    probe: int = 1000,
+    probe: int | None = None,
     cell: Sequence[str] = CELL,
 ) -> tuple[DataFrame, float]:
     """Counts back from log1p values where the data look depth-normalised to 1e4.
 
-    The median of the back-transformed row sums over the first ``probe`` cells
-    decides; outside 9,500 to 10,500 the values are handed back as they came.
-    Returns the table and that median.
+    The median of the back-transformed row sums over all cells (the first
+    ``probe`` of them where that is given) decides; outside 9,500 to 10,500 the
+    values are handed back as they came. Returns the table and that median.
     """
-    first = obs.where(F.col(position) < probe).select(*cell)
+    from cytoquilt.operators.quantiles import grouped_quantiles
+
+    first = (obs if probe is None else obs.where(F.col(position) < probe)).select(*cell)
     sums = sized_join(values, first, list(cell), "right").groupBy(*cell).agg(
         F.coalesce(F.sum(F.expm1("count")), F.lit(0.0)).alias("s")
     )
-    median = sums.agg(F.percentile("s", 0.5)).first()[0] or 0.0
+    median = grouped_quantiles(sums, [], "s", {"m": 0.5}).first()["m"] or 0.0
     if not 9500.0 <= median <= 10500.0:
         return values, median
     total = F.col(total_column).cast("double")

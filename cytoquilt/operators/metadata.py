@@ -64,10 +64,24 @@ def join_one_to_one(
     return out
 
 
-def attach_new_columns(obs: DataFrame, metadata: DataFrame, key: str) -> DataFrame:
-    """Left lookup that adds only columns the cells do not have, plus ``metadata_matched``."""
+def one_per_key(side: DataFrame, key: str, order: Sequence[str | Column] | None = None) -> DataFrame:
+    """``side`` without blank keys and with one row per key: the first in ``order``, then by its values."""
+    plain = [f.name for f in side.schema if f.name != key and f.dataType.typeName() not in ("map", "variant")]
+    named = [c for c in ("src_priority", "row_ord") if c in side.columns] if order is None else list(order)
+    filled = side.where(F.coalesce(F.btrim(F.col(quote(key)).cast("string")), F.lit("")) != "")
+    return keep_first(filled, [key], [*named, *[F.col(quote(c)) for c in plain]])
+
+
+def attach_new_columns(
+    obs: DataFrame, metadata: DataFrame, key: str, order: Sequence[str | Column] | None = None
+) -> DataFrame:
+    """Left lookup that adds only columns the cells do not have, plus ``metadata_matched``.
+
+    Blank keys match nothing, and a repeated key counts with its first row, so no
+    cell is multiplied.
+    """
     new = [c for c in metadata.columns if c not in obs.columns]
-    side = metadata.select(key, *[F.col(quote(c)) for c in new], F.lit(True).alias("metadata_matched"))
+    side = one_per_key(metadata, key, order).select(key, *[F.col(quote(c)) for c in new], F.lit(True).alias("metadata_matched"))
     return obs.join(side, key, "left").withColumn(
         "metadata_matched", F.coalesce("metadata_matched", F.lit(False))
     )
@@ -82,10 +96,15 @@ def match_summary(attached: DataFrame) -> DataFrame:
 
 
 def attach_filling(
-    obs: DataFrame, metadata: DataFrame, key: str, fill: Sequence[str], take: dict[str, str]
+    obs: DataFrame, metadata: DataFrame, key: str, fill: Sequence[str], take: dict[str, str],
+    order: Sequence[str | Column] | None = None,
 ) -> DataFrame:
-    """Left lookup: existing text wins for ``fill``; ``take`` columns are renamed in."""
-    side = metadata.select(
+    """Left lookup: existing text wins for ``fill``; ``take`` columns are renamed in.
+
+    Blank keys match nothing, and a repeated key counts with its first row, so no
+    cell is multiplied.
+    """
+    side = one_per_key(metadata, key, order).select(
         key,
         *[F.col(quote(c)).alias(f"_m_{c}") for c in fill],
         *[F.col(quote(src)).alias(dst) for src, dst in take.items()],
@@ -116,13 +135,15 @@ def unique_symbol_map(table: DataFrame, symbol: str, target: str, order: str) ->
 
 
 def copy_labels(sample: DataFrame, full: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """Newly made label columns of the full table onto an existing sample."""
+    """Newly made label columns of the full table, unique on ``key``, onto an existing sample."""
+    require_unique(full, [key], "full table")
     present = [c for c in columns if c in full.columns]
     return sample.drop(*present).join(full.select(key, *present), key, "left")
 
 
 def replace_columns(obs: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Adds or replaces columns, keyed; a new version of the table, nothing in place."""
+    """Adds or replaces columns from a table unique on ``key``; a new version, nothing in place."""
+    require_unique(new, [key], "new columns")
     cols = [c for c in new.columns if c != key]
     return obs.drop(*cols).join(new, key, "left")
 

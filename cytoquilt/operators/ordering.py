@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytoquilt.operators.joining import sized_join
+from cytoquilt.session import materialize
 
 HASH_BUCKETS = 65_536
 
@@ -29,11 +30,14 @@ def hash_bucket(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 4), 16, 10).cast("int")
 
 
-def value_bucket(value: Column, low: Column, high: Column, buckets: int) -> Column:
-    """Equal-width bucket of a number; monotone in ``value``."""
-    width = high - low
-    pos = F.floor((value - low) / F.when(width > 0, width) * F.lit(float(buckets)))
-    return F.least(F.coalesce(pos, F.lit(0)), F.lit(buckets - 1)).cast("int")
+def ranged(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """``df`` written in ranges of ``order`` of about equal size, with the range's number.
+
+    The edges are sampled from the data, so ``name`` is monotone in the order
+    whatever the values look like. It is written, since another run could sample
+    other edges.
+    """
+    return materialize(df.repartitionByRange(*order).withColumn(name, F.spark_partition_id()))
 
 
 def bucket_offsets(df: DataFrame, keys: Sequence[str], bucket: str, weight: Column | None = None) -> DataFrame:
@@ -92,7 +96,7 @@ def take_lowest_hash(
         .where("_take > 0")
         .select(*keys, "_bucket", "_take", (F.col("_take") == F.col("_n")).alias("_all"))
     )
-    marked = sized_join(work, takes, [*keys, "_bucket"], "inner", max_rows=2_000_000, computed=True)
+    marked = sized_join(work, takes, [*keys, "_bucket"], "inner", computed=True)
     whole = marked.where("_all")
     inside = Window.partitionBy(*keys, "_bucket").orderBy("_digest", *id_cols)
     cut = (
@@ -104,30 +108,24 @@ def take_lowest_hash(
     return whole.unionByName(cut).drop("_digest", "_bucket", "_take", "_all")
 
 
-def distributed_min_rank(df: DataFrame, value: str, name: str, buckets: int = 4096) -> DataFrame:
+def distributed_min_rank(df: DataFrame, value: str, name: str) -> DataFrame:
     """``rank`` with ties taking the lowest place, over the whole table.
 
     Distinct values are counted first, so any number of ties is one row; the
-    running sums then work on one value bucket at a time. ``df`` is read several
-    times, so hand in a written table where it is costly to work out.
+    running sums then work on one range of values at a time. ``df`` is read twice,
+    so hand in a written table where it is costly to work out.
     """
-    low = df.select(F.min(value)).scalar()
-    high = df.select(F.max(value)).scalar()
-    distinct = (
-        df.groupBy(value)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_bucket", value_bucket(F.col(value), low, high, buckets))
-    )
-    totals = distinct.groupBy("_bucket").agg(F.sum("_n").alias("_bn"))
-    # at most ``buckets`` rows, so the unpartitioned running sum is bounded
-    over_buckets = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = totals.select("_bucket", (F.sum("_bn").over(over_buckets) - F.col("_bn")).alias("_before"))
-    inside = Window.partitionBy("_bucket").orderBy(value).rowsBetween(
+    distinct = ranged(df.groupBy(value).agg(F.count(F.lit(1)).alias("_n")), [value], "_part")
+    totals = distinct.groupBy("_part").agg(F.sum("_n").alias("_bn"))
+    # one row per range, so the unpartitioned running sum is bounded
+    over_parts = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offsets = totals.select("_part", (F.sum("_bn").over(over_parts) - F.col("_bn")).alias("_before"))
+    inside = Window.partitionBy("_part").orderBy(value).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     ranks = (
         distinct.withColumn("_run", F.sum("_n").over(inside) - F.col("_n"))
-        .join(F.broadcast(offsets), "_bucket")
+        .join(offsets, "_part")
         .select(value, (F.col("_run") + F.col("_before") + F.lit(1)).alias(name))
     )
     return sized_join(df, ranks, value, "inner", computed=True)

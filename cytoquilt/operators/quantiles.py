@@ -1,9 +1,10 @@
 """Exact quantiles (linear interpolation) for groups of any size.
 
-Spark's ``percentile`` keeps every distinct value of a group in one buffer. That
-is right for groups of a known modest size and is used for them. Larger groups
-go through a value histogram: counts per bucket find the bucket that holds each
-wanted rank, and only the rows of those buckets are ordered.
+Distinct values are counted per group, with sums in the tasks first, and laid out
+by ranges of (group, value) whose edges Spark samples from the data. Each range
+is one task's work: totals per range find the range that holds a wanted rank, and
+only the values of those ranges are summed up in order. A hot group, heavy tails
+and NaN make no range larger than another.
 """
 
 from __future__ import annotations
@@ -14,52 +15,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytoquilt.operators.joining import sized_join
-from cytoquilt.operators.ordering import bucket_offsets, value_bucket
+from cytoquilt.operators.ordering import bucket_offsets, ranged
 from cytoquilt.session import materialize
 
-BUILTIN_ROWS = 2_000_000
-
 
 def grouped_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: dict[str, float],
-    weight: str | None = None,
-    buckets: int = 4096,
-    builtin_rows: int = BUILTIN_ROWS,
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], weight: str | None = None
 ) -> DataFrame:
     """One row per group with one column per entry of ``probs``.
 
     ``weight`` says how many times a row counts, which lets implicit zeros enter
-    as a single row. NULL values are left out. ``builtin_rows`` is the largest
-    group that may use the built-in aggregate; 0 forces the histogram way.
+    as a single row. NULL values are left out; NaN is larger than any number.
     """
-    rows = df.where(F.col(value).isNotNull())
-    if builtin_rows > 0:
-        biggest = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
-        if biggest <= builtin_rows:
-            return _builtin(rows, keys, value, probs, weight)
-    return _by_histogram(rows, keys, value, probs, weight, buckets)
-
-
-def _builtin(rows, keys, value, probs, weight):
-    freq = F.col(weight) if weight else F.lit(1)
-    wanted = F.percentile(value, list(probs.values()), freq)
-    out = rows.groupBy(*keys).agg(wanted.alias("_q"))
-    return out.select(*keys, *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)])
-
-
-def _by_histogram(rows, keys, value, probs, weight, buckets):
-    w = F.col(weight) if weight else F.lit(1)
     keys = list(keys)
+    w = F.col(weight) if weight else F.lit(1)
+    rows = df.where(F.col(value).isNotNull())
     work = rows.select(*keys, F.col(value).cast("double").alias("_v"), w.cast("long").alias("_w")).where("_w > 0")
-    low = work.select(F.min("_v")).scalar()
-    high = work.select(F.max("_v")).scalar()
-    work = work.withColumn("_bucket", value_bucket(F.col("_v"), low, high, buckets))
-    hist = bucket_offsets(work, keys, "_bucket", F.col("_w"))
-    whole = Window.partitionBy(*keys)
-    hist = hist.withColumn("_total", F.sum("_n").over(whole))
+    values = ranged(work.groupBy(*keys, "_v").agg(F.sum("_w").alias("_c")), [*keys, "_v"], "_part")
+    hist = bucket_offsets(values, keys, "_part", F.col("_c"))
+    hist = hist.withColumn("_total", F.sum("_n").over(Window.partitionBy(*keys)))
     named = F.array(
         *[
             F.struct(F.lit(name).alias("name"), (F.lit(float(p)) * (F.col("_total") - 1)).alias("pos"))
@@ -67,29 +41,28 @@ def _by_histogram(rows, keys, value, probs, weight, buckets):
         ]
     )
     asked = hist.withColumn("_ask", F.explode(named)).select(
-        *keys, "_bucket", "_n", "_before", F.col("_ask.name").alias("_name"), F.col("_ask.pos").alias("_pos")
+        *keys, "_part", "_n", "_before", F.col("_ask.name").alias("_name"), F.col("_ask.pos").alias("_pos")
     )
-    # zero-based ranks needed: floor(pos) and ceil(pos), each in exactly one bucket
+    # zero-based ranks needed: floor(pos) and ceil(pos), each in exactly one range
     asked = asked.select(
         "*", F.explode(F.array_distinct(F.array(F.floor("_pos"), F.ceil("_pos")))).alias("_rank")
     ).where("_rank >= _before and _rank < _before + _n")
-    wanted = materialize(asked.select(*keys, "_bucket", "_before", "_name", "_pos", "_rank"))
-    candidates = wanted.select(*keys, "_bucket").distinct()
-    kept = sized_join(work, candidates, [*keys, "_bucket"], "left_semi")
-    values = kept.groupBy(*keys, "_bucket", "_v").agg(F.sum("_w").alias("_c"))
-    inside = Window.partitionBy(*keys, "_bucket").orderBy("_v").rowsBetween(
+    wanted = materialize(asked.select(*keys, "_part", "_before", "_name", "_pos", "_rank"))
+    kept = sized_join(values, wanted.select(*keys, "_part").distinct(), [*keys, "_part"], "left_semi")
+    inside = Window.partitionBy(*keys, "_part").orderBy("_v").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    values = values.withColumn("_upto", F.sum("_c").over(inside))
     hit = (
-        values.join(wanted, [*keys, "_bucket"])
+        kept.withColumn("_upto", F.sum("_c").over(inside))
+        .join(wanted, [*keys, "_part"])
         .withColumn("_local", F.col("_rank") - F.col("_before"))
         .where("_local < _upto and _local >= _upto - _c")
     )
     frac = F.max(F.col("_pos") - F.floor("_pos"))
     lower = F.min_by("_v", "_rank")
     upper = F.max_by("_v", "_rank")
-    picked = hit.groupBy(*keys, "_name").agg((lower * (1 - frac) + upper * frac).alias("_q"))
+    between = F.when(frac == 0, lower).otherwise(lower * (1 - frac) + upper * frac)
+    picked = hit.groupBy(*keys, "_name").agg(between.alias("_q"))
     return picked.groupBy(*keys).agg(
         *[F.max(F.when(F.col("_name") == name, F.col("_q"))).alias(name) for name in probs]
     )

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cytoquilt.functions.columns import quote
@@ -249,12 +249,11 @@ def attach_bundles(
     )
 
 
-def load_rules(path: str) -> dict:
-    """Rule set from JSON, checked for the parts every rule needs."""
+def load_rules(spark: SparkSession, path: str) -> dict:
+    """Rule set from a JSON file anywhere Spark can read, checked for the parts every rule needs."""
     import json
 
-    with open(path, encoding="utf-8") as handle:
-        return check_rules(json.load(handle))
+    return check_rules(json.loads(spark.read.text(path, wholetext=True).first()[0]))
 
 
 def check_rules(rules: dict) -> dict:

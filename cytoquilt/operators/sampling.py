@@ -25,8 +25,9 @@ def fixed_sample(df: DataFrame, n: int, id_cols: Sequence[str], seed: int | str
 def per_group_sample(df: DataFrame, by: Sequence[str], n: int, id_cols: Sequence[str], seed: int | str = 42) -> DataFrame:
     """Up to ``n`` rows per group.
 
-    For small ``n`` every task first keeps only its own best ``n`` rows per
-    group, so a hot group costs no more than ``n`` rows per task in the shuffle.
+    The rows of lowest seeded hash are drawn, whichever way: below 1,000, where
+    Spark can cut a window in the tasks, every task first keeps only its own best
+    ``n`` rows per group; above it hash buckets are counted.
     """
     if n < 1000:
         w = Window.partitionBy(*by).orderBy(seeded_hash(id_cols, seed), *id_cols)

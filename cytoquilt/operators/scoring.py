@@ -56,11 +56,13 @@ def expression_bins(means: DataFrame, bins: int = CONTROL_BINS, digits: int | No
     ``digits`` rounds the means first, which makes ties independent of the order
     of summation.
     """
-    work = means.where(~F.isnan("mean_expr"))
+    work = means.where(F.abs("mean_expr") < F.lit(float("inf")))
     if digits is not None:
         work = work.withColumn("mean_expr", F.round("mean_expr", digits))
     # one row per gene, read several times below
     work = materialize(work)
+    if round(work.count() / (bins - 1)) <= 0:
+        raise ValueError("too few genes for the control bins")
     per_bin = work.select(F.rint(F.count(F.lit(1)) / F.lit(bins - 1))).scalar()
     ranked = distributed_min_rank(work, "mean_expr", "_rank")
     return ranked.select("gene", "mean_expr", F.floor(F.col("_rank") / per_bin).alias("bin"))
@@ -71,13 +73,19 @@ def control_genes(
 ) -> DataFrame:
     """Up to ``size`` genes of every bin a module touches, then less its own genes.
 
-    The draw comes before the subtraction, so fewer than ``size`` may stay.
+    The draw comes before the subtraction, so fewer than ``size`` may stay. Fails
+    where a module is left without any.
     """
     touched = modules.join(binned.select("gene", "bin"), "gene").select("module", "bin").distinct()
     pool = binned.select("gene", "bin").join(touched, "bin")
     w = Window.partitionBy("module", "bin").orderBy(seeded_hash(["gene"], seed), "gene")
     drawn = pool.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= size)
-    return drawn.join(modules, ["module", "gene"], "left_anti").select("module", "gene").distinct()
+    found = drawn.join(modules, ["module", "gene"], "left_anti").select("module", "gene").distinct()
+    # one row per module
+    without = modules.select("module").distinct().join(found, "module", "left_anti").collect()
+    if without:
+        raise ValueError(f"no control genes found for {sorted(r[0] for r in without)}")
+    return found
 
 
 def module_weights(modules: DataFrame, controls: DataFrame, names: Sequence[str] = SCORES) -> DataFrame:
@@ -157,7 +165,7 @@ def score_cells(
 
 
 def score_summary(
-    df: DataFrame, columns: Sequence[str], probs: dict[str, float] | None = None, builtin_rows: int = 2_000_000
+    df: DataFrame, columns: Sequence[str], probs: dict[str, float] | None = None
 ) -> DataFrame:
     """Size, mean, population deviation, range and exact quantiles of each score."""
     probs = probs or {"p01": 0.01, "p05": 0.05, "median": 0.50, "p95": 0.95, "p99": 0.99}
@@ -169,11 +177,11 @@ def score_summary(
         F.min("v").alias("min"),
         F.max("v").alias("max"),
     )
-    return basic.join(grouped_quantiles(long, ["score_name"], "v", probs, builtin_rows=builtin_rows), "score_name")
+    return basic.join(grouped_quantiles(long, ["score_name"], "v", probs), "score_name")
 
 
 def grouped_score_table(
-    df: DataFrame, by: str, means: Sequence[str], medians: Sequence[str], builtin_rows: int = 2_000_000
+    df: DataFrame, by: str, means: Sequence[str], medians: Sequence[str]
 ) -> DataFrame:
     """Cells, mean scores and exact median scores per cluster, dataset or tissue."""
     base = df.where(F.col(by).isNotNull())
@@ -181,7 +189,7 @@ def grouped_score_table(
         F.count(F.lit(1)).alias("n_cells"), *[F.avg(c).alias(f"{c}_mean") for c in means]
     )
     long = base.select(by, *medians).unpivot([by], list(medians), "_score", "_v")
-    med = grouped_quantiles(long, [by, "_score"], "_v", {"_m": 0.5}, builtin_rows=builtin_rows)
+    med = grouped_quantiles(long, [by, "_score"], "_v", {"_m": 0.5})
     wide = med.groupBy(by).agg(
         *[F.max(F.when(F.col("_score") == c, F.col("_m"))).alias(f"{c}_median") for c in medians]
     )

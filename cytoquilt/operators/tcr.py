@@ -17,6 +17,7 @@ from cytoquilt.functions.columns import quote
 from cytoquilt.functions.numbers import number_or_zero
 from cytoquilt.functions.text import blank_to_null, clean_intake, first_nonblank, is_truthy
 from cytoquilt.operators.metadata import keep_first
+from cytoquilt.operators.validate import require_unique
 
 KEY = ("sample_id", "barcode_core")
 
@@ -134,9 +135,10 @@ def one_row_per_cell(tcr: DataFrame, order: str = "row_ord", chains: Sequence[st
 def merge_receptors(obs: DataFrame, tcr: DataFrame, chains: Sequence[str] = ("TRA", "TRB")) -> DataFrame:
     """Receptor columns onto the cells by sample and barcode core, plus ``TCRseq``.
 
-    ``tcr`` must be unique on its key, so that no cell is multiplied. Old
-    receptor columns of the cells are replaced, not mixed.
+    Fails where ``tcr`` is not unique on its key, so that no cell is multiplied.
+    Old receptor columns of the cells are replaced, not mixed.
     """
+    require_unique(tcr, list(KEY), "receptors")
     texts, numbers = text_columns(chains), number_columns(chains)
     base = obs.drop(*[c for c in texts + numbers + ["TCRseq", "barcode_core"] if c in obs.columns])
     base = base.withColumns({"barcode_core": barcode_core("barcode"), "sample_id": clean_intake("sample_id")})

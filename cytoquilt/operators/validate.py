@@ -87,9 +87,9 @@ def axis_report(current: DataFrame, rebuilt: DataFrame, key: str) -> DataFrame:
     ).drop("_repeated")
 
 
-def one_sided(left: DataFrame, right: DataFrame, key: str, limit: int = 10) -> DataFrame:
-    """First names found on the left only."""
-    return left.select(key).distinct().join(right.select(key), key, "left_anti").orderBy(key).limit(limit)
+def one_sided(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Names found on the left only, in order; a caller may take the first few."""
+    return left.select(key).distinct().join(right.select(key), key, "left_anti").orderBy(key)
 
 
 def treg_invariants(summary: DataFrame, label: str = "label") -> DataFrame:

@@ -74,6 +74,11 @@ def prepare_cells(obs: DataFrame, alias: str, name: str, position: str, bucket_r
         default = METADATA_DEFAULTS.get(target, "")
         if target in ("project name", "sample_id", "sampleid", "library_id"):
             default = fallback
+        if target in ("sampleid", "library_id") and not set(sources) & set(work.columns):
+            # the first row's sample stands in for the whole table
+            sample = F.coalesce(text_from(work, METADATA_ALIASES["sample_id"], fallback), F.lit(""))
+            cols[target] = F.coalesce(work.select(F.min_by(sample, position)).scalar(), F.lit(fallback))
+            continue
         cols[target] = F.coalesce(text_from(work, sources, default), F.lit(""))
     derived = barcode_from_name(F.col(quote(name)))
     codes = F.coalesce(F.nullif(cols["barcodes"], F.lit("")), derived)

@@ -7,16 +7,12 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytoquilt.operators.joining import is_small
 from cytoquilt.sources.files import exists, remove, rename
 
-REPORT_ROWS = 1_000_000
-
-
-def write_report(df: DataFrame, path: str, order: Sequence[str | Column]) -> None:
-    """Sorted CSV with a header: one file for a report of checked size, else a sorted set."""
+def write_report(df: DataFrame, path: str, order: Sequence[str | Column], one_file: bool = True) -> None:
+    """Sorted CSV with a header: one file, or a sorted set of files for what is no summary."""
     ordered = df.orderBy(*order)
-    if is_small(df, REPORT_ROWS):
+    if one_file:
         ordered = ordered.coalesce(1)
     ordered.write.mode("overwrite").option("header", True).csv(path)
 

@@ -41,7 +41,7 @@ def sample_cells(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     fields = ordered.select(
         "file",
         "line",
-        F.substring(F.col("parts")[0], 9, 1000).alias("key"),
+        F.expr("substr(parts[0], 9)").alias("key"),
         F.posexplode(F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0)))).alias("sample", "raw"),
     )
     return fields.select("file", "line", "key", "sample", F.btrim(strip("raw"), F.lit(chr(34))).alias("value"))
@@ -75,7 +75,7 @@ def series_bundles(spark: SparkSession, paths_by_gse: dict[str, Sequence[str]])
             )
             made = rows.select(
                 F.lit(gse).alias("gse_id"), "gsm", "title", F.concat_ws(" | ", parts).alias("bundle"),
-                (F.lit(i * 10_000_000) + F.col("sample")).cast("long").alias("pos"),
+                F.struct(F.lit(i).alias("file"), F.col("sample").alias("sample")).alias("pos"),
             )
             out = made if out is None else out.unionByName(made)
     if out is None:

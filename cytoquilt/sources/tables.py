@@ -63,9 +63,11 @@ def read_metadata(spark: SparkSession, paths: Sequence[str], columns: Sequence[s
 
 
 def prepared_or(spark: SparkSession, path: str, build) -> DataFrame:
-    """Reads ``path`` where it is there already, else builds, writes and reads it."""
+    """Reads ``path`` where it is there already, else builds it, beside the target first, and reads it."""
     if not exists(spark, path):
-        build().write.parquet(path)
+        from cytoquilt.sinks.writers import write_milestone
+
+        write_milestone(build(), path)
     return spark.read.parquet(path)
 
 

@@ -171,7 +171,7 @@ def test_reports_exports_and_provenance(spark, tmp_path):
 
 def test_rules_file(spark, tmp_path):
     path = write(tmp_path / "rules.json", json.dumps({"global_regex_rules": []}))
-    assert R.load_rules(path) == {"global_regex_rules": []}
+    assert R.load_rules(spark, path) == {"global_regex_rules": []}
 
 
 def test_contig_table_formats(spark, tmp_path):

@@ -113,7 +113,7 @@ def test_first_pass_boundaries(frame, kw, reason):
         (dict(total=149.0), "low_quality"),
         (dict(n_genes=199, pct_mt=0.30), "low_quality"),
         (dict(n_genes=200, pct_mt=0.90), "kept"),
-        (dict(contam_score=1.75), "extreme_contam"),
+        (dict(contam_score=1.75), "extreme_phase1_contam"),
         (dict(contam_score=1.75, t_score=0.51), "kept"),
         (dict(myeloid_score=1.20), "myeloid_conflict"),
         (dict(myeloid_score=1.20, bcell_score=1.20), "myeloid_conflict"),

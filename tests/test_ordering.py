@@ -24,7 +24,7 @@ def test_row_number_matches_brute_force(spark):
 
 def test_min_rank_matches_pandas(spark):
     df = skewed(spark).withColumn("v", F.when(F.col("id") % 3 == 0, 0.0).otherwise(F.col("v")))
-    out = ordering.distributed_min_rank(df, "v", "r", buckets=16).toPandas().set_index("id")["r"].sort_index()
+    out = ordering.distributed_min_rank(df, "v", "r").toPandas().set_index("id")["r"].sort_index()
     want = df.toPandas().set_index("id")["v"].sort_index().rank(method="min").astype(int)
     assert out.tolist() == want.tolist()
 
@@ -68,11 +68,10 @@ def test_top_one_per_key_is_cut_before_the_shuffle(spark):
     assert {r["id"] for r in df.collect()} == set(skewed(spark).toPandas().groupby("grp")["id"].min())
 
 
-@pytest.mark.parametrize("builtin", [0, 10**9])
-def test_quantiles_match_numpy(spark, builtin):
+def test_quantiles_match_numpy(spark):
     df = skewed(spark)
     probs = {"a": 0.01, "b": 0.5, "c": 0.977, "lo": 0.0, "hi": 1.0}
-    out = quantiles.grouped_quantiles(df, ["grp"], "v", probs, buckets=32, builtin_rows=builtin).toPandas().set_index("grp")
+    out = quantiles.grouped_quantiles(df, ["grp"], "v", probs).toPandas().set_index("grp")
     for grp, rows in df.toPandas().groupby("grp"):
         for name, p in probs.items():
             assert out.loc[grp, name] == pytest.approx(np.quantile(rows["v"], p))
@@ -82,7 +81,7 @@ def test_quantiles_match_numpy(spark, builtin):
 @given(st.lists(st.tuples(st.sampled_from("ab"), st.floats(-50, 50), st.integers(1, 4)), min_size=1, max_size=40))
 def test_weighted_quantiles_match_repeated_rows(spark, rows):
     df = spark.createDataFrame(rows, "grp string, v double, w int")
-    out = quantiles.grouped_quantiles(df, ["grp"], "v", {"m": 0.5, "q": 0.3}, "w", buckets=8, builtin_rows=0).toPandas().set_index("grp")
+    out = quantiles.grouped_quantiles(df, ["grp"], "v", {"m": 0.5, "q": 0.3}, "w").toPandas().set_index("grp")
     for grp in {r[0] for r in rows}:
         full = np.repeat([r[1] for r in rows if r[0] == grp], [r[2] for r in rows if r[0] == grp])
         assert out.loc[grp, "m"] == pytest.approx(np.quantile(full, 0.5), abs=1e-9)

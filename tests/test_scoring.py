@@ -75,7 +75,7 @@ def test_moments_and_clipped_variance_against_dense(data):
             if g in got.index:
                 assert got.loc[g, "mean"] == pytest.approx(x[:, j].mean())
                 assert got.loc[g, "variance"] == pytest.approx(x[:, j].var(ddof=1))
-        fitted = hvg._trend(got.reset_index(), "source_gse_id", 0.3, 400).set_index("gene")
+        fitted = hvg._trend(got.reset_index(), "source_gse_id", 0.3).set_index("gene")
         for g in got.index:
             if fitted.loc[g, "constant"]:
                 continue

@@ -97,8 +97,8 @@ NAMED = """SELECT gse_id, gene_pos, CASE WHEN gse_id LIKE '%2%' THEN 'ENSG000' |
         """SELECT gse_id, n_vars, duplicate_var_names, CASE WHEN e >= 0.7 THEN 'ensembl_like' WHEN s >= 0.7 THEN 'gene_symbol_like'
         ELSE 'mixed_or_custom' END AS gene_naming_style, CASE WHEN tr AND cd THEN 'TRAC;CD3E' WHEN tr THEN 'TRAC' WHEN cd THEN 'CD3E' ELSE '' END AS tcr_genes_present
         FROM (SELECT gse_id, count(*) AS n_vars, count(*) - count(DISTINCT symbol) AS duplicate_var_names,
-        avg(CASE WHEN upper(symbol) LIKE 'ENSG%' THEN 1.0 ELSE 0.0 END) FILTER (gene_pos < 2000) AS e,
-        avg(CASE WHEN regexp_full_match(upper(symbol), '[A-Z0-9_.-]+') THEN 1.0 ELSE 0.0 END) FILTER (gene_pos < 2000) AS s,
+        avg(CASE WHEN upper(symbol) LIKE 'ENSG%' THEN 1.0 ELSE 0.0 END) AS e,
+        avg(CASE WHEN regexp_full_match(upper(symbol), '[A-Z0-9_.-]+') THEN 1.0 ELSE 0.0 END) AS s,
         bool_or(upper(symbol) = 'TRAC') AS tr, bool_or(upper(symbol) = 'CD3E') AS cd FROM nv GROUP BY 1)""",
         {"nv": NAMED},
     ),

@@ -86,7 +86,7 @@ SECOND_CTES = {
     + " ".join(f"WHEN {p}_score = dominant_score THEN '{p}'" for p in GROUP_PANELS)
     + f" END AS dominant_label, support <= 0.75 AND {HITS} <= 1 AS weak FROM top",
     "reasons": f"""SELECT *, CASE WHEN ng < 100 OR tt < 150 OR (pct_mt >= 0.30 AND ng < 200) THEN 'low_quality'
-        WHEN contam_score >= 1.75 AND support <= 0.5 AND {HITS} = 0 THEN 'extreme_contam'
+        WHEN contam_score >= 1.75 AND support <= 0.5 AND {HITS} = 0 THEN 'extreme_phase1_contam'
         WHEN dominant_score >= 1.2 AND weak AND dominant_score >= support + 0.35 AND dominant_label = 'myeloid' THEN 'myeloid_conflict'
         WHEN dominant_score >= 1.2 AND weak AND dominant_score >= support + 0.35 AND dominant_label = 'bcell' THEN 'bcell_conflict'
         WHEN epithelial_score >= 1 AND weak AND epithelial_score >= support + 0.35 THEN 'epithelial_conflict'

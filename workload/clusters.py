@@ -243,7 +243,7 @@ def vectors(spark, d):
     with_ctes(
         [],
         f"""SELECT vec_id, CASE WHEN label IS NOT NULL THEN label ELSE l END::VARCHAR AS assigned_label, {s6('CASE WHEN label IS NOT NULL THEN conf ELSE 1 - d1 / greatest(d2, 1e-6) END')} AS assigned_confidence,
-        CASE WHEN label IS NOT NULL THEN 'direct_subset' ELSE 'latent_centroid_transfer' END AS transfer_method FROM em JOIN two USING (vec_id)""",
+        CASE WHEN label IS NOT NULL THEN 'direct_subset_scANVI' ELSE 'latent_centroid_transfer' END AS transfer_method FROM em JOIN two USING (vec_id)""",
         EMB_CTES,
     ),
 )

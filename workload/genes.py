@@ -100,5 +100,5 @@ def grouped_quantiles(spark, d):
 
 @register("grouped_quantiles_histogram_path", Q_SQL)
 def grouped_quantiles_histogram_path(spark, d):
-    out = quantiles.grouped_quantiles(b.table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", QS, builtin_rows=0)
+    out = quantiles.grouped_quantiles(b.table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", QS)
     return rounded(out, *QS)

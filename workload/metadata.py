@@ -180,7 +180,7 @@ def axis_report(spark, d):
 
 @register(
     "one_sided_names",
-    "SELECT DISTINCT o_orderkey AS k FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) ORDER BY 1 LIMIT 10",
+    "SELECT DISTINCT o_orderkey AS k FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) ORDER BY 1",
 )
 def one_sided_names(spark, d):
     a = b.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"))

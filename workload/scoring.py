@@ -138,7 +138,7 @@ def score_summary(spark, d):
 @register("score_summary_histogram_path", _summary_sql())
 def score_summary_histogram_path(spark, d):
     """The same table by the way that large groups take."""
-    out = scoring.score_summary(materialize(scaled_scores(spark, d)), RAW + SCALED, builtin_rows=0)
+    out = scoring.score_summary(materialize(scaled_scores(spark, d)), RAW + SCALED)
     return rounded(out, *STATS)
 
 
