@@ -86,6 +86,42 @@ def audit_field_coverage(spark, d):
     return audit.field_coverage(_audit(spark, d))
 
 
+# layers by other names: a whole-number layer that is no counts layer, and two that are, of which the listed one wins
+LAYERS = f"""SELECT gse_id, cell_id, CASE WHEN matrix = 'raw' THEN 'layer:scaled' ELSE matrix END AS matrix, count FROM ({MATRICES_SQL}) WHERE matrix <> 'layer:counts'
+    UNION ALL SELECT gse_id, cell_id, 'layer:UMI_Counts', l_quantity FROM lineitem JOIN obs o ON l_orderkey = o.cell_id WHERE tissue = 'EUROPE'
+    UNION ALL SELECT gse_id, cell_id, 'layer:a_count_copy', l_tax + 0.25 FROM lineitem JOIN obs o ON l_orderkey = o.cell_id WHERE tissue = 'EUROPE'"""
+
+
+@register(
+    "audit_layers_by_name",
+    with_ctes(
+        ["obs"],
+        """SELECT gse_id, layer AS has_counts_layer, raw AS has_raw, state_label, category FROM (SELECT *, CASE WHEN neg THEN 'scaled_or_integrated_X'
+        WHEN xf >= 0.98 THEN 'raw_like_X' WHEN layer AND lf >= 0.98 THEN 'recoverable_counts_layer' ELSE 'normalized_or_noninteger_X' END AS state_label,
+        CASE WHEN neg THEN 'C' WHEN xf >= 0.98 THEN 'A' WHEN layer AND lf >= 0.98 THEN 'B' ELSE 'C' END AS category FROM
+        (SELECT gse_id, bool_or(has_negative) FILTER (matrix = 'X') AS neg, max(frac) FILTER (matrix = 'X') AS xf, bool_or(matrix = 'layer:UMI_Counts') AS layer,
+        max(frac) FILTER (matrix = 'layer:UMI_Counts') AS lf, false AS raw FROM st GROUP BY 1))""",
+        {"m": LAYERS, "st": STATS},
+    ),
+)
+def audit_layers_by_name(spark, d):
+    m = _matrices(spark, d).where("matrix <> 'layer:counts'")
+    m = m.withColumn("matrix", F.when(F.col("matrix") == "raw", "layer:scaled").otherwise(F.col("matrix")))
+    li = b.table(spark, d, "lineitem")
+    o = b.obs(spark, d).where("tissue = 'EUROPE'").select("cell_id", "gse_id")
+    j = li.join(o, li.l_orderkey == o.cell_id)
+    more = F.explode(
+        F.array(
+            F.struct(F.lit("layer:UMI_Counts").alias("matrix"), F.col("l_quantity").alias("count")),
+            F.struct(F.lit("layer:a_count_copy").alias("matrix"), (F.col("l_tax") + 0.25).alias("count")),
+        )
+    ).alias("v")
+    m = m.select("gse_id", "cell_id", "matrix", "count").unionByName(j.select("gse_id", "cell_id", more).select("gse_id", "cell_id", "v.*"))
+    registry = b.table(spark, d, "nation").select(F.col("n_name").alias("gse_id"))
+    out = audit.audit_datasets(registry, m, b.obs(spark, d), b.dataset_var(spark, d))
+    return out.where("x_nnz is not null").select("gse_id", "has_counts_layer", "has_raw", "state_label", "category")
+
+
 NAMED = """SELECT gse_id, gene_pos, CASE WHEN gse_id LIKE '%2%' THEN 'ENSG000' || gene WHEN gse_id LIKE '%3%' THEN symbol
     WHEN brand = 'Brand#4' THEN 'trac' WHEN brand = 'Brand#7' THEN 'CD3E' ELSE replace(symbol, ' ', '.') END AS symbol FROM dvar"""
 

@@ -90,6 +90,30 @@ def cluster_marker_summary(spark, d):
     return summary(spark, d)
 
 
+# a panel whose data lack one gene of each group, and all of one group
+ABSENT = {"hot bolt", "red rod", "old rod", "new ring", *GROUPS["cd8"]}
+PRESENT = {n: [g for g in gs if g not in ABSENT] for n, gs in GROUPS.items()}
+PRESENT_CTES = {
+    **CLUSTER_CTES,
+    "mp": "SELECT leiden, " + ", ".join(
+        f"coalesce(avg(m) FILTER (gene IN ({sql_list(gs)})), 0) AS {n}_marker_mean" if gs else f"0::DOUBLE AS {n}_marker_mean" for n, gs in PRESENT.items()
+    ) + " FROM med GROUP BY 1",
+}
+
+
+@register(
+    "cluster_means_of_present_genes",
+    with_ctes(SHARED, "SELECT leiden, " + ", ".join(f"{s6(n + '_marker_mean')} AS {n}_marker_mean" for n in GROUPS) + " FROM mp", PRESENT_CTES),
+)
+def cluster_means_of_present_genes(spark, d):
+    values = symbol_values(spark, d)
+    totals = values.groupBy("cell_id").agg(F.sum("count").alias("total"))
+    panel = name_panel(spark).where(~F.col("gene").isin(*sorted(ABSENT)))
+    out = C.cluster_marker_summary(cells(spark, d), values, totals, panel, "leiden", "gse_id", GROUPS)
+    means = [f"{n}_marker_mean" for n in GROUPS]
+    return rounded(out, *means).select("leiden", *means)
+
+
 @register("cluster_labels", with_ctes(SHARED, "SELECT leiden, gdt_rule, nk_rule, treg_rule, cd8_rule, cd4_rule, label FROM lb", LABEL_CTES))
 def cluster_labels(spark, d):
     return labelled(spark, d).select("leiden", "gdt_rule", "nk_rule", "treg_rule", "cd8_rule", "cd4_rule", "label")

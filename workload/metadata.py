@@ -66,6 +66,46 @@ def metadata_filling(spark, d):
     return out.select("cell_id", "library_id", "sampleid", "condition_meta")
 
 
+# order lines as metadata of orders: several lines a key, every seventh key blank on both sides
+REPEATED = """WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE 'k' || o_orderkey END AS mk,
+    CASE WHEN o_orderstatus = 'F' THEN o_orderpriority ELSE '' END AS sampleid FROM orders),
+    m AS (SELECT CASE WHEN l_orderkey % 7 = 0 THEN '' ELSE 'k' || l_orderkey END AS mk, 'p' || l_partkey AS sampleid, l_returnflag AS condition,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag) AS rn FROM lineitem),
+    f AS (SELECT * FROM m WHERE mk <> '' AND rn = 1)"""
+
+
+def _repeated(spark, d):
+    key = lambda c: F.when(F.col(c) % 7 == 0, "").otherwise(F.concat(F.lit("k"), F.col(c).cast("string")))
+    cells = b.table(spark, d, "orders").select(
+        "o_orderkey", key("o_orderkey").alias("mk"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority")).otherwise("").alias("sampleid")
+    )
+    meta = b.table(spark, d, "lineitem").select(
+        key("l_orderkey").alias("mk"), "l_linenumber", F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("sampleid"),
+        F.col("l_returnflag").alias("condition"), F.col("l_partkey").alias("part"),
+    )
+    return cells, meta, ["l_linenumber", "part", "condition"]
+
+
+@register(
+    "metadata_filling_repeated_keys",
+    f"""{REPEATED} SELECT o_orderkey, coalesce(nullif(trim(o.sampleid), ''), f.sampleid) AS sampleid, f.condition AS condition_meta
+    FROM o LEFT JOIN f USING (mk)""",
+)
+def metadata_filling_repeated_keys(spark, d):
+    cells, meta, order = _repeated(spark, d)
+    out = metadata.attach_filling(cells, meta, "mk", ["sampleid"], {"condition": "condition_meta"}, order)
+    return out.select("o_orderkey", F.nullif("sampleid", F.lit("")).alias("sampleid"), "condition_meta")
+
+
+@register(
+    "metadata_new_columns_repeated_keys",
+    f"{REPEATED} SELECT o_orderkey, f.condition, f.mk IS NOT NULL AS metadata_matched FROM o LEFT JOIN f USING (mk)",
+)
+def metadata_new_columns_repeated_keys(spark, d):
+    cells, meta, order = _repeated(spark, d)
+    return metadata.attach_new_columns(cells, meta, "mk", order).select("o_orderkey", "condition", "metadata_matched")
+
+
 @register(
     "keep_first_rows",
     "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events) WHERE rn = 1",
