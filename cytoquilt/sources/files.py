@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
 
 def glob_paths(spark: SparkSession, patterns: Sequence[str]) -> list[str]:
@@ -34,3 +35,9 @@ def rename(spark: SparkSession, old: str, new: str) -> None:
 def remove(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def plain_path(path: Column) -> Column:
+    """One spelling of a path: as given or as a scan reports it, local ones without scheme, escapes undone."""
+    decoded = F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+    return F.regexp_replace(decoded, "^file:/+", "/")

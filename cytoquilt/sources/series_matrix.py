@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cytoquilt.functions.text import clean, clean_intake, slug, strip
-from cytoquilt.sources.files import glob_paths
+from cytoquilt.sources.files import glob_paths, plain_path
 
 
 def discover(spark: SparkSession, root: str, gse_ids: Sequence[str]) -> dict[str, list[str]]:
@@ -53,34 +53,28 @@ def series_bundles(spark: SparkSession, paths_by_gse: dict[str, Sequence[str]])
     ``pos`` grows with the file order of a dataset and then with the sample, so
     that a later file replaces an earlier one downstream.
     """
-    out = None
-    for gse, paths in paths_by_gse.items():
-        for i, path in enumerate(paths):
-            cells = sample_cells(spark, [path])
-            text = clean("value")
-            last = lambda k: F.coalesce(F.max_by(F.when(F.col("key") == k, text), F.when(F.col("key") == k, F.col("line"))), F.lit(""))
-            traits = F.array_sort(
-                F.collect_list(
-                    F.when((F.col("key") == "characteristics_ch1") & (text != ""), F.struct("line", text.alias("t")))
-                )
-            )
-            rows = cells.groupBy("sample").agg(
-                last("geo_accession").alias("gsm"),
-                last("title").alias("title"),
-                last("source_name_ch1").alias("_source"),
-                traits.alias("_traits"),
-            )
-            parts = F.filter(
-                F.concat(F.array("title", "_source"), F.col("_traits.t")), lambda t: t != ""
-            )
-            made = rows.select(
-                F.lit(gse).alias("gse_id"), "gsm", "title", F.concat_ws(" | ", parts).alias("bundle"),
-                F.struct(F.lit(i).alias("file"), F.col("sample").alias("sample")).alias("pos"),
-            )
-            out = made if out is None else out.unionByName(made)
-    if out is None:
+    order = [(path, gse, i) for gse, paths in paths_by_gse.items() for i, path in enumerate(paths)]
+    if not order:
         raise FileNotFoundError("no series-matrix file found")
-    return out
+    # all files are one scan; a file is found again by its path
+    places = spark.createDataFrame(order, "path string, gse_id string, place int")
+    places = places.select(plain_path(F.col("path")).alias("file"), "gse_id", "place")
+    cells = sample_cells(spark, [path for path, _, _ in order]).withColumn("file", plain_path(F.col("file"))).join(places, "file")
+    text = clean("value")
+    last = lambda k: F.coalesce(F.max_by(F.when(F.col("key") == k, text), F.when(F.col("key") == k, F.col("line"))), F.lit(""))
+    traits = F.array_sort(
+        F.collect_list(F.when((F.col("key") == "characteristics_ch1") & (text != ""), F.struct("line", text.alias("t"))))
+    )
+    rows = cells.groupBy("gse_id", "place", "sample").agg(
+        last("geo_accession").alias("gsm"),
+        last("title").alias("title"),
+        last("source_name_ch1").alias("_source"),
+        traits.alias("_traits"),
+    )
+    parts = F.filter(F.concat(F.array("title", "_source"), F.col("_traits.t")), lambda t: t != "")
+    return rows.select(
+        "gse_id", "gsm", "title", F.concat_ws(" | ", parts).alias("bundle"), F.struct("place", "sample").alias("pos")
+    )
 
 
 def sample_table(spark: SparkSession, path: str, gse_id: str) -> DataFrame:

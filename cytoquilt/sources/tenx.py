@@ -4,25 +4,47 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cytoquilt.functions.columns import quote
 from cytoquilt.operators.metadata import keep_first
-from cytoquilt.sources.files import exists
+from cytoquilt.operators.ordering import grouped_row_number
+from cytoquilt.session import materialize
+from cytoquilt.sources.files import exists, plain_path
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of one list file with their 1-based number (barcodes or features of one library)."""
-    whole = spark.read.text(path, wholetext=True)
-    lines = whole.select(F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
-    return lines.where("line <> ''").select((F.col("pos") + 1).cast("long").alias("number"), "line")
+def numbered_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """(file, number, line) of list files (barcodes or features), numbered from 1 in each file.
 
+    All files are one plain text scan. Lines are numbered inside the split that
+    they were read in, and the sizes of a file's splits give each its offset.
+    """
+    lines = text_lines(spark, paths)
+    numbered = grouped_row_number(lines, ["file"], [F.col("block"), F.col("at")], F.col("block"), "number")
+    return numbered.where("value <> ''").select("file", F.col("number").cast("long").alias("number"), F.col("value").alias("line"))
+
+
+def text_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """(file, block, at, value): lines in one scan, with their order inside each file."""
+    lines = spark.read.text(paths if isinstance(paths, str) else list(paths))
+    return lines.select(
+        plain_path(F.col("_metadata.file_path")).alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+        "value",
+    )
+
+
+def read_features(spark: SparkSession, paths: str | Sequence[str], only_expression: bool = True) -> DataFrame:
+    """file, number, gene_id, gene, feature_type, gene_pos, with repeated names of a file made unique."""
+    return features_of(numbered_lines(spark, paths), only_expression)
 
-def read_features(spark: SparkSession, path: str, only_expression: bool = True) -> DataFrame:
-    """number, gene_id, gene, feature_type, gene_pos, with repeated names made unique."""
+
+def features_of(lines: DataFrame, only_expression: bool = True) -> DataFrame:
     parts = F.split("line", "\t")
-    feats = numbered_lines(spark, path).select(
+    feats = lines.select(
+        "file",
         "number",
         F.get(parts, F.lit(0)).alias("gene_id"),
         F.coalesce(F.get(parts, F.lit(1)), F.get(parts, F.lit(0))).alias("name"),
@@ -30,11 +52,10 @@ def read_features(spark: SparkSession, path: str, only_expression: bool = True)
     )
     if only_expression:
         feats = feats.where(F.col("feature_type").isNull() | (F.col("feature_type") == "Gene Expression"))
-    from pyspark.sql import Window
-
-    # a feature list is one row per gene of one library
-    nth = F.row_number().over(Window.partitionBy("name").orderBy("number"))
+    # one row per gene of one library and name
+    nth = F.row_number().over(Window.partitionBy("file", "name").orderBy("number"))
     return feats.withColumn("_n", nth).select(
+        "file",
         "number",
         "gene_id",
         F.when(F.col("_n") > 1, F.concat_ws("-", "name", F.col("_n") - 1)).otherwise(F.col("name")).alias("gene"),
@@ -43,46 +64,81 @@ def read_features(spark: SparkSession, path: str, only_expression: bool = True)
     )
 
 
-def matrix_entries(spark: SparkSession, path: str) -> tuple[DataFrame, int, int]:
-    """(row, col, value) of a coordinate file and its two dimensions.
+def matrix_entries(spark: SparkSession, paths: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """((file, row, col, count), (file, n_rows, n_cols)) of coordinate files.
 
-    The size line is the first line that is not a comment. Entries have no order,
-    so a plain text scan with as many tasks as splits is enough.
+    The size line is a file's first line that is not a comment. Entries have no
+    order, so a plain text scan with as many tasks as splits is enough.
     """
-    lines = spark.read.text(path).where(~F.startswith("value", F.lit("%")) & (F.btrim("value") != ""))
-    head = lines.where("_metadata.file_block_start = 0").withColumn("_id", F.monotonically_increasing_id())
-    size_line = head.agg(F.min_by("value", "_id")).first()[0]
-    n_rows, n_cols, _ = (int(x) for x in size_line.split())
-    body = lines.where(F.col("value") != size_line)
+    lines = text_lines(spark, paths).where(~F.startswith("value", F.lit("%")) & (F.btrim("value") != ""))
+    sizes = materialize(lines.groupBy("file").agg(F.min_by("value", F.struct("block", "at")).alias("size_line")))
+    marked = lines.select("file", "value").join(sizes, "file")
+    body = marked.where("value <> size_line").select("file", "value")
     # an entry that happens to read like the size line is still an entry
-    twin = lines.where(F.col("value") == size_line).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    body = body.select("value").unionByName(twin.select(F.lit(size_line).alias("value")))
+    twins = marked.where("value = size_line").groupBy("file", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    twins = twins.select("file", "value", F.explode(F.sequence(F.lit(2), F.col("n").cast("int"))).alias("_i")).drop("_i")
     parts = F.split(F.btrim("value"), "\\s+")
-    entries = body.select(
-        parts[0].cast("long").alias("row"), parts[1].cast("long").alias("col"), parts[2].cast("double").alias("count")
+    entries = body.unionByName(twins).select(
+        "file", parts[0].cast("long").alias("row"), parts[1].cast("long").alias("col"), parts[2].cast("double").alias("count")
+    )
+    numbers = F.split(F.btrim("size_line"), "\\s+")
+    return entries, sizes.select("file", numbers[0].cast("long").alias("n_rows"), numbers[1].cast("long").alias("n_cols"))
+
+
+def read_libraries(
+    spark: SparkSession, manifest: DataFrame, only_expression: bool = True
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(counts, cells, genes) of all libraries of a manifest, each row tagged by ``sample``.
+
+    Manifest columns: ``sample``, ``matrix``, ``barcodes``, ``features``, one row
+    per library. Matrices, barcodes and features are one scan each, and the
+    number of jobs does not grow with the manifest. Each library's orientation
+    comes from its dimensions; fails where they fit neither way.
+    """
+    rows = [tuple(r) for r in manifest.select("sample", "matrix", "barcodes", "features").collect()]
+    named = spark.createDataFrame(rows, "sample string, matrix string, barcodes string, features string")
+    named = named.select("sample", *[plain_path(F.col(c)).alias(c) for c in ("matrix", "barcodes", "features")])
+
+    def tagged(df: DataFrame, kind: str) -> DataFrame:
+        return df.join(named.select("sample", F.col(kind).alias("file")), "file").drop("file")
+
+    entries, sizes = matrix_entries(spark, sorted({r[1] for r in rows}))
+    barcodes = materialize(tagged(numbered_lines(spark, sorted({r[2] for r in rows})), "barcodes"))
+    features = materialize(numbered_lines(spark, sorted({r[3] for r in rows})))
+    n = lambda df, name: df.groupBy("sample").agg(F.count(F.lit(1)).alias(name))
+    shape = tagged(sizes, "matrix").join(n(barcodes, "n_cells"), "sample", "left").join(n(tagged(features, "features"), "n_features"), "sample", "left")
+    gene_rows = (F.col("n_rows") == F.col("n_features")) & (F.col("n_cols") == F.col("n_cells"))
+    gene_cols = (F.col("n_rows") == F.col("n_cells")) & (F.col("n_cols") == F.col("n_features"))
+    shape = materialize(shape.withColumn("axis", F.when(gene_rows, "row").when(gene_cols, "col")))
+    bad = shape.where("axis is null").limit(5).collect()
+    if bad:
+        raise ValueError("matrices that fit neither way: " + "; ".join(
+            f"{r['sample']} is {r['n_rows']} x {r['n_cols']} with {r['n_features']} features and {r['n_cells']} barcodes" for r in bad
+        ))
+    genes = tagged(features_of(features, only_expression), "features")
+    cells = barcodes.select("sample", "number", F.get(F.split("line", "\t"), F.lit(0)).alias("barcode"))
+    placed = tagged(entries, "matrix").where("count <> 0").join(shape.select("sample", "axis"), "sample")
+    by_row = F.col("axis") == "row"
+    placed = placed.select(
+        "sample", "count", F.when(by_row, F.col("row")).otherwise(F.col("col")).alias("_g"),
+        F.when(by_row, F.col("col")).otherwise(F.col("row")).alias("_c"),
+    )
+    counts = placed.join(genes.select("sample", F.col("number").alias("_g"), "gene"), ["sample", "_g"])
+    counts = counts.join(cells.select("sample", F.col("number").alias("_c"), F.col("barcode").alias("cell_id")), ["sample", "_c"])
+    return (
+        counts.select("sample", "cell_id", "gene", "count"),
+        cells.select("sample", F.col("barcode").alias("cell_id"), "barcode"),
+        genes.drop("number"),
     )
-    return entries, n_rows, n_cols
 
 
 def read_triplet(
     spark: SparkSession, matrix: str, barcodes: str, features: str, only_expression: bool = True
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(counts, cells, genes) of one library; orientation comes from the dimensions."""
-    entries, n_rows, n_cols = matrix_entries(spark, matrix)
-    cells = numbered_lines(spark, barcodes).select("number", F.get(F.split("line", "\t"), F.lit(0)).alias("barcode"))
-    n_cells = cells.count()
-    n_features = numbered_lines(spark, features).count()
-    if (n_rows, n_cols) == (n_features, n_cells):
-        gene_axis, cell_axis = "row", "col"
-    elif (n_rows, n_cols) == (n_cells, n_features):
-        gene_axis, cell_axis = "col", "row"
-    else:
-        raise ValueError(f"matrix is {n_rows} x {n_cols} but there are {n_features} features and {n_cells} barcodes")
-    genes = read_features(spark, features, only_expression)
-    named = entries.join(genes.select(F.col("number").alias(gene_axis), "gene"), gene_axis)
-    named = named.join(cells.select(F.col("number").alias(cell_axis), F.col("barcode").alias("cell_id")), cell_axis)
-    counts = named.where("count <> 0").select("cell_id", "gene", "count")
-    return counts, cells.select(F.col("barcode").alias("cell_id"), "barcode"), genes.drop("number")
+    one = spark.createDataFrame([("", matrix, barcodes, features)], "sample string, matrix string, barcodes string, features string")
+    counts, cells, genes = read_libraries(spark, one, only_expression)
+    return counts.drop("sample"), cells.drop("sample"), genes.drop("sample")
 
 
 def read_exported(spark: SparkSession, prefix: str, suffix: str = "") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -126,22 +182,14 @@ def rebuild_inputs(
 ) -> tuple[DataFrame, DataFrame]:
     """Stacks every manifest library that did not fail: (counts, cells) tagged by sample.
 
-    Manifest columns: ``sample``, ``matrix``, ``barcodes``, ``features``. It has
-    one row per library, which the driver walks to declare the reads.
+    Manifest columns: ``sample``, ``matrix``, ``barcodes``, ``features``.
     """
     wanted = manifest if failed is None else manifest.join(failed.select("sample"), "sample", "left_anti")
-    counts = cells = None
-    for row in wanted.orderBy("sample").collect():
-        c, o, _ = read_triplet(spark, row["matrix"], row["barcodes"], row["features"])
-        tag = {"sample": F.lit(row["sample"]), "gse_id": F.lit(gse_id)}
-        unique = F.concat_ws("-", "cell_id", F.lit(row["sample"]))
-        c = c.withColumns(tag).withColumn("cell_id", unique)
-        o = o.withColumns(tag).withColumn("cell_id", unique)
-        counts = c if counts is None else counts.unionByName(c)
-        cells = o if cells is None else cells.unionByName(o)
-    if counts is None:
+    if wanted.isEmpty():
         raise ValueError("no input is left to rebuild from")
-    return counts, cells
+    counts, cells, _ = read_libraries(spark, wanted)
+    tag = {"gse_id": F.lit(gse_id), "cell_id": F.concat_ws("-", "cell_id", "sample")}
+    return counts.withColumns(tag), cells.withColumns(tag)
 
 
 def keep_listed_cells(counts: DataFrame, metadata: DataFrame, cell: str = "cell_id") -> tuple[DataFrame, DataFrame]:

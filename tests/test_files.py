@@ -38,8 +38,9 @@ def test_triplet_orientation_and_features(spark, tmp_path, zipped):
 
 
 def test_entry_that_reads_like_the_size_line(spark, tmp_path):
-    entries, r, c = tenx.matrix_entries(spark, write(tmp_path / "one.mtx", "%%MatrixMarket\n1 1 1\n1 1 1\n"))
-    assert (r, c) == (1, 1) and [tuple(x) for x in entries.collect()] == [(1, 1, 1.0)]
+    entries, sizes = tenx.matrix_entries(spark, write(tmp_path / "one.mtx", "%%MatrixMarket\n1 1 1\n1 1 1\n"))
+    assert [tuple(x)[1:] for x in sizes.collect()] == [(1, 1)]
+    assert [tuple(x)[1:] for x in entries.collect()] == [(1, 1, 1.0)]
 
 
 def test_exported_payload(spark, tmp_path):
