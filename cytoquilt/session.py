@@ -55,3 +55,10 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_materialized(spark: SparkSession) -> None:
+    """Remove what :func:`materialize` has written for this session, once no frame reads it any more."""
+    from cytoquilt.sources.files import remove
+
+    remove(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables")

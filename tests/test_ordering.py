@@ -92,3 +92,32 @@ def test_systematic_sample_restarts_per_chunk(spark):
     df = spark.range(100).withColumnRenamed("id", "pos")
     got = sorted(r[0] for r in sampling.systematic_sample(df, 35, 40, "pos").collect())
     assert got == [0, 35, 40, 75, 80]
+
+
+def test_ranks_and_quantiles_of_skewed_and_nan_values(spark):
+    rows = [("a", float(v)) for v in [0] * 300 + list(range(50)) + [1e300, float("inf")]] + [("b", float("nan"))] * 5 + [("b", 1.0)] * 3
+    df = spark.createDataFrame(rows, "grp string, v double").repartition(4)
+    out = quantiles.grouped_quantiles(df, ["grp"], "v", {"m": 0.5, "hi": 1.0, "q": 0.9}).toPandas().set_index("grp")
+    a = np.array([v for g, v in rows if g == "a"])
+    assert out.loc["a", "m"] == np.quantile(a, 0.5) and out.loc["a", "hi"] == np.inf and out.loc["a", "q"] == pytest.approx(np.quantile(a, 0.9))
+    assert np.isnan(out.loc["b", "m"]) and np.isnan(out.loc["b", "hi"])
+    ranks = ordering.distributed_min_rank(df.where("grp = 'a'"), "v", "r").toPandas()
+    assert dict(zip(ranks["v"], ranks["r"])) == {v: int((a < v).sum()) + 1 for v in a}
+
+
+@pytest.mark.parametrize("n", [999, 1000, 1001])
+def test_both_ways_of_a_group_sample_draw_the_same_rows(spark, n):
+    df = spark.range(3000).selectExpr("id", "id % 2 as grp").repartition(3)
+    got = {r["id"] for r in sampling.per_group_sample(df, ["grp"], n, ["id"]).collect()}
+    order = df.withColumn("h", ordering.seeded_hash(["id"], 42)).toPandas().sort_values(["h", "id"])
+    assert got == set(order.groupby("grp").head(n)["id"])
+
+
+def test_written_tables_can_be_removed(spark):
+    from cytoquilt import session
+
+    df = session.materialize(spark.range(5).toDF("x"))
+    assert df.count() == 5
+    session.drop_materialized(spark)
+    with pytest.raises(Exception):  # noqa: B017
+        spark.read.parquet(df.inputFiles()[0]).count()
