@@ -8,11 +8,13 @@ and counts where the cell is below w. The earliest time in each slot is the
 signature, and two signatures agree in a slot with the probability of the
 weighted Jaccard similarity. Processes stop once all slots are filled.
 
-Bands of the signature propose pairs, the multisets decide. In a bucket all
-members meet its first and its last member; where the links found leave a bucket
-in several components, the members outside the largest are compared with all
-others in blocks, and a block hands on only links that join components. Exact
-copies are one node throughout.
+Bands of the signature propose pairs, the multisets decide. In each round a
+bucket's members meet one leader, drawn by hash so that buckets of one group have
+different ones, and every member is checked against the leader whose signature
+is nearest to its own. Where the links found leave a bucket in several
+components, the members outside the largest are compared with all others in
+blocks, and a block hands on only links that join components. Exact copies are
+one node throughout.
 """
 
 from __future__ import annotations
@@ -28,11 +30,12 @@ from cytoquilt.llm.graph import components
 from cytoquilt.session import materialize
 
 SHINGLE = 5
-BANDS, ROWS = 24, 5
+BANDS, ROWS = 20, 5
 SLOTS = BANDS * ROWS
-#: Pairs whose signatures agree less than this are not looked at: five standard errors below 0.8.
-SLACK = 5
+#: Pairs whose signatures agree less than so many standard errors below the threshold are not looked at.
+SLACK = 4
 BLOCK = 256
+ROUNDS, DRAWS = 3, 4
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -100,14 +103,30 @@ def bag_minhash(doc: np.ndarray, shingle: np.ndarray, count: np.ndarray, docs: i
         live = np.flatnonzero(open_[doc])
 
 
+Bag = tuple[np.ndarray, np.ndarray]  # ascending shingle hashes and their counts
+
+
+def bags_of(lists: list[np.ndarray]) -> list[Bag]:
+    """Shingle multisets of word-hash arrays."""
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int64)
+    doc, h, n = shingle_bags(np.concatenate([*lists, np.zeros(0, np.int64)]).astype(np.int64), offsets)
+    cut = np.searchsorted(doc, np.arange(len(lists) + 1))
+    return [(h[i:j], n[i:j]) for i, j in zip(cut, cut[1:])]
+
+
+def overlap(a: Bag, b: Bag) -> float:
+    """Weighted Jaccard similarity of two multisets; 0 for two empty ones."""
+    if not len(a[0]) or not len(b[0]):
+        return 0.0
+    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    hit = b[0][at] == a[0]
+    common = np.minimum(a[1][hit], b[1][at[hit]]).sum()
+    return float(common / (a[1].sum() + b[1].sum() - common))
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Weighted Jaccard similarity of the shingle multisets of two word-hash arrays."""
-    doc, h, n = shingle_bags(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)]))
-    cut = np.searchsorted(doc, 1)
-    _, i, j = np.intersect1d(h[:cut], h[cut:], assume_unique=True, return_indices=True)
-    common = np.minimum(n[:cut][i], n[cut:][j]).sum()
-    total = n.sum() - common
-    return float(common / total) if total else 0.0
+    return overlap(*bags_of([a, b]))
 
 
 def words_of(text: Column) -> Column:
@@ -124,12 +143,12 @@ def node_of(words: Column) -> Column:
 NODE = "struct<a:bigint,b:bigint>"
 
 
-def signatures(rows: DataFrame) -> DataFrame:
-    """(node, bands array<long>, sketch binary) of rows (node, words)."""
+def signatures(rows: DataFrame, id_kind: str) -> DataFrame:
+    """(id, node, bands array<long>, sketch binary) of rows (id, node, words)."""
 
     def make():
         def work(batch: pa.RecordBatch) -> list:
-            lists = batch.column(1)
+            lists = batch.column(2)
             words, offsets = lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
             doc, h, n = shingle_bags(words, offsets)
             times = bag_minhash(doc, h, n, batch.num_rows).view(np.uint64)
@@ -139,49 +158,51 @@ def signatures(rows: DataFrame) -> DataFrame:
                 bands = mix(bands * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, k])
             bands ^= mix(np.arange(1, BANDS + 1, dtype=np.uint64))
             flat = pa.ListArray.from_arrays(np.arange(0, bands.size + 1, BANDS, dtype=np.int32), bands.view(np.int64).ravel())
-            sketch = (mix(times) & np.uint64(0xFFFF)).astype("<u2")
-            return [batch.column(0), flat, [row.tobytes() for row in sketch]]
+            sketch = (mix(times) & np.uint64(0xFF)).astype(np.uint8)
+            return [batch.column(0), batch.column(1), flat, [row.tobytes() for row in sketch]]
 
         return work
 
-    return map_batches(rows, make, f"node {NODE}, bands array<bigint>, sketch binary", rows=16_384, size=12 << 20)
-
-
-def alike(a: bytes, b: bytes) -> float:
-    return float((np.frombuffer(a, "<u2") == np.frombuffer(b, "<u2")).mean())
+    return map_batches(rows, make, f"id {id_kind}, node {NODE}, bands array<bigint>, sketch binary", rows=16_384, size=12 << 20)
 
 
 def least_agreement(threshold: float) -> float:
     return threshold - SLACK * (threshold * (1 - threshold) / SLOTS) ** 0.5
 
 
-def verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Those (u, v) whose multisets overlap enough. Signatures are compared first, texts fetched for what is left."""
+def nearest_leaders(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+    """Of the pairs (u, v), for each v the one whose signatures agree most, if they agree enough."""
     floor = least_agreement(threshold)
-    s = sketches.select("node", "sketch")
-    near = pairs.join(s.withColumnsRenamed({"node": "u", "sketch": "su"}), "u").join(s.withColumnsRenamed({"node": "v", "sketch": "sv"}), "v")
+    near = pairs.join(sketches.withColumnsRenamed({"node": "u", "sketch": "su"}), "u")
+    near = near.join(sketches.withColumnsRenamed({"node": "v", "sketch": "sv"}), "v")
 
-    def compare():
+    def make():
         def work(batch: pa.RecordBatch) -> list:
-            keep = [alike(a, b) >= floor for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            return batch.filter(pa.array(keep, pa.bool_())).columns[:2]
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SLOTS) for k in (2, 3))
+            agree = (a == b).mean(1)
+            keep = pa.array(agree >= floor)
+            return [*batch.filter(keep).columns[:2], agree[agree >= floor]]
 
         return work
 
-    near = materialize(map_batches(near.select("u", "v", "su", "sv"), compare, f"u {NODE}, v {NODE}", size=32 << 20))
-    full = near.join(texts.withColumnsRenamed({"node": "u", "words": "wu"}), "u").join(texts.withColumnsRenamed({"node": "v", "words": "wv"}), "v")
+    near = map_batches(near.select("u", "v", "su", "sv"), make, f"u {NODE}, v {NODE}, agree double", size=32 << 20)
+    return near.groupBy("v").agg(F.max(F.struct("agree", "u")).alias("best")).select("best.u", "v")
 
-    def overlap():
+
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Those (u, v) whose multisets overlap enough."""
+    full = pairs.join(texts.withColumnsRenamed({"node": "u", "text": "tu"}), "u").join(texts.withColumnsRenamed({"node": "v", "text": "tv"}), "v")
+    full = full.select("u", "v", words_of(F.col("tu")).alias("wu"), words_of(F.col("tv")).alias("wv"))
+
+    def make():
         def work(batch: pa.RecordBatch) -> list:
-            left, right = batch.column(2), batch.column(3)
-            keep = [
-                similarity(left[i].values.to_numpy(), right[i].values.to_numpy()) >= threshold for i in range(batch.num_rows)
-            ]
+            left, right = (bags_of([x.values.to_numpy() for x in batch.column(k)]) for k in (2, 3))
+            keep = [overlap(a, b) >= threshold for a, b in zip(left, right)]
             return batch.filter(pa.array(keep, pa.bool_())).columns[:2]
 
         return work
 
-    return map_batches(full.select("u", "v", "wu", "wv"), overlap, f"u {NODE}, v {NODE}", size=32 << 20)
+    return map_batches(full, make, f"u {NODE}, v {NODE}", size=32 << 20)
 
 
 def joining_links(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
@@ -190,7 +211,8 @@ def joining_links(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
     left, right = group[group.side == 0].reset_index(drop=True), group[group.side == 1].reset_index(drop=True)
     out: list[tuple] = []
     if len(left) and len(right):
-        right_sketch = np.stack([np.frombuffer(s, "<u2") for s in right.sketch])
+        right_sketch = np.stack([np.frombuffer(s, np.uint8) for s in right.sketch])
+        bags = bags_of([np.asarray(w) for w in [*left.words, *right.words]])
         names = pd.factorize(pd.concat([left.component, right.component]).map(lambda c: (c["a"], c["b"])))[0]
         root = list(range(names.max() + 1))
 
@@ -201,12 +223,12 @@ def joining_links(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
             return x
 
         for i in range(len(left)):
-            agree = (right_sketch == np.frombuffer(left.sketch[i], "<u2")).mean(1)
+            agree = (right_sketch == np.frombuffer(left.sketch[i], np.uint8)).mean(1)
             for j in np.argsort(-agree, kind="stable"):
                 if agree[j] < floor:
                     break
                 a, b = find(names[i]), find(names[len(left) + j])
-                if a != b and similarity(np.asarray(left.words[i]), np.asarray(right.words[j])) >= threshold:
+                if a != b and overlap(bags[i], bags[len(left) + j]) >= threshold:
                     root[b] = a
                     out.append((left.node[i], right.node[j]))
     return pd.DataFrame(out, columns=["u", "v"])
@@ -214,8 +236,7 @@ def joining_links(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
 
 def rest_links(members: DataFrame, labels: DataFrame, sketches: DataFrame, texts: DataFrame, threshold: float) -> DataFrame | None:
     """Links inside buckets that still hold several components; None if there is no such bucket."""
-    known = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    known = materialize(known)
+    known = materialize(labelled(members, labels))
     per = known.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.count(F.lit(1)).alias("n"))
     # buckets of the same members, from different bands, are one
     active = per.where("low != high").groupBy("sum", "n").agg(F.min("bucket").alias("bucket"))
@@ -237,7 +258,7 @@ def rest_links(members: DataFrame, labels: DataFrame, sketches: DataFrame, texts
 
     def hopeful(group: pd.DataFrame) -> pd.DataFrame:
         side = group.side.to_numpy()
-        sketch = np.stack([np.frombuffer(s, "<u2") for s in group.sketch])
+        sketch = np.stack([np.frombuffer(s, np.uint8) for s in group.sketch])
         names = pd.factorize(group.component.map(lambda c: (c["a"], c["b"])))[0]
         keep = np.zeros(len(group), bool)
         other = np.flatnonzero(side == 1)
@@ -251,34 +272,49 @@ def rest_links(members: DataFrame, labels: DataFrame, sketches: DataFrame, texts
     some = materialize(paired.groupBy("bucket", "ub", "mb").applyInPandas(hopeful, schema))
     if some.isEmpty():
         return None
-    full = some.join(texts, "node").groupBy("bucket", "ub", "mb")
+    full = some.join(texts, "node").withColumn("words", words_of(F.col("text"))).drop("text").groupBy("bucket", "ub", "mb")
     return full.applyInPandas(lambda g: joining_links(g, threshold), f"u {NODE}, v {NODE}")
 
 
-def near_classes(df: DataFrame, text_col: str, threshold: float = 0.8) -> DataFrame:
-    """(node, component) for every exact-copy class that has a near-duplicate; others are their own component."""
-    words = words_of(quoted(text_col))
-    rows = df.select(words.alias("words")).where(F.size("words") > 0).select(node_of(F.col("words")).alias("node"), "words")
-    signed = materialize(signatures(rows))
+def near_classes(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """(id, node) of every row, node null where there are no words, and (node, component) of nodes that have a near-duplicate."""
+    plain = df.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"))
+    words = plain.select("id", words_of(F.col("text")).alias("words"))
+    words = words.select("id", F.when(F.size("words") > 0, node_of(F.col("words"))).alias("node"), "words")
+    signed = materialize(signatures(words, plain.schema["id"].dataType.simpleString()))
     # copies carry equal signatures, one of them stands for all
-    nodes = materialize(signed.groupBy("node").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
-    bands = nodes.select("node", F.explode("bands").alias("bucket"))
-    ends = bands.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high")
-    members = materialize(bands.join(ends, "bucket"))
-    busy = materialize(members.select("node").distinct())
-    sketches = materialize(nodes.select("node", "sketch").join(busy, "node", "left_semi"))
-    texts = materialize(rows.join(busy, "node", "left_semi").dropDuplicates(["node"]))
-    first = members.where("node != low").select(F.col("low").alias("u"), F.col("node").alias("v")).distinct()
-    links = materialize(verified(first, sketches, texts, threshold))
-    labels = components(links)
-    named = labels.withColumnsRenamed({"node": "u", "component": "cu"})
-    second = members.where("node != high and low != high").select(F.col("high").alias("u"), F.col("node").alias("v")).distinct()
-    second = second.join(named, "u", "left").join(named.withColumnsRenamed({"u": "v", "cu": "cv"}), "v", "left")
-    second = second.where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
-    links = materialize(links.unionByName(verified(second, sketches, texts, threshold)))
-    labels = components(links)
-    more = rest_links(members.select("bucket", "node"), labels, sketches, texts, threshold)
-    return labels if more is None else components(links.unionByName(more))
+    nodes = signed.where("node is not null").groupBy("node")
+    nodes = materialize(nodes.agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    bands = nodes.select(F.explode("bands").alias("bucket"), "node")
+    shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    members = materialize(bands.join(shared, "bucket", "left_semi"))
+    busy = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "id", "sketch")
+    busy = materialize(busy)
+    sketches = busy.select("node", "sketch")
+    # texts by id, then by node: an id may come with several texts
+    some = plain.join(busy.select(F.col("id").alias("low")).distinct(), F.col("id").eqNullSafe(F.col("low")), "left_semi")
+    some = some.select(node_of(words_of(F.col("text"))).alias("node"), "text").join(busy.select("node"), "node", "left_semi")
+    texts = materialize(some.groupBy("node").agg(F.min("text").alias("text")))
+    links, labels = None, None
+    for k in range(ROUNDS):
+        known = members.withColumn("component", F.col("node")) if labels is None else labelled(members, labels)
+        order = F.xxhash64("node", F.pmod("bucket", F.lit(DRAWS)) + DRAWS * k)
+        led = known.groupBy("bucket").agg(
+            F.min(F.struct(order.alias("order"), "node", "component")).alias("leader"), F.min("component").alias("low"), F.max("component").alias("high")
+        )
+        led = led.where("low != high").select("bucket", F.col("leader.node").alias("u"), F.col("leader.component").alias("cu"))
+        pairs = known.join(led, "bucket").where("component != cu").select("u", F.col("node").alias("v")).distinct()
+        best = materialize(nearest_leaders(pairs, sketches, threshold))
+        found = verified(best, texts, threshold)
+        links = materialize(found if links is None else links.unionByName(found))
+        labels = components(links)
+    more = rest_links(members, labels, sketches, texts, threshold)
+    return signed.select("id", "node"), labels if more is None else components(links.unionByName(more))
+
+
+def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members with the component that they are in so far."""
+    return members.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, class_col: str = "class_id") -> DataFrame:
@@ -290,32 +326,27 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float
     or wordless text is in a class of its own; repeated rows share a class; null
     ids never name a class that has another id. An empty table gives no rows.
     """
-    words = words_of(quoted(text_col))
-    node, part = fresh(df.select(quoted(id_col)), "_node", "_part")
-    rows = df.select(quoted(id_col), words.alias(part)).select(quoted(id_col), F.when(F.size(part) > 0, node_of(F.col(part))).alias(node))
-    rows = materialize(rows)
-    near = near_classes(df, text_col, threshold).select(F.col("node").alias(node), "component")
-    per = rows.where(F.col(node).isNotNull()).groupBy(node).agg(F.min(quoted(id_col)).alias("_low"), F.count(F.lit(1)).alias("_n"))
-    per = materialize(per.join(near, node, "left").select(node, F.coalesce("component", node).alias("component"), "_low", "_n"))
-    whole = per.groupBy("component").agg(F.min("_low").alias(class_col), F.sum("_n").alias("class_size"))
-    named = per.select(node, "component").join(whole, "component").drop("component")
-    out = rows.join(named, node, "left")
-    return out.select(quoted(id_col), F.coalesce(class_col, quoted(id_col)).alias(class_col), F.coalesce("class_size", F.lit(1)).alias("class_size"))
+    rows, near = near_classes(df, id_col, text_col, threshold)
+    per = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n"))
+    per = materialize(per.join(near, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "low", "n"))
+    whole = per.groupBy("component").agg(F.min("low").alias("first"), F.sum("n").alias("size"))
+    out = rows.join(per.select("node", "component").join(whole, "component"), "node", "left")
+    return out.select(
+        F.col("id").alias(id_col), F.coalesce("first", "id").alias(class_col), F.coalesce("size", F.lit(1)).alias("class_size")
+    )
 
 
 def keep_one(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8) -> DataFrame:
     """``df`` with one row of each class left, that of the smallest id; columns stay as they are."""
-    a, b, low, times = fresh(df, "_na", "_nb", "_low", "_times")
+    low, times, words, key = fresh(df, "_low", "_times", "_words", "_node")
     own = [quoted(c) for c in df.columns]
-    words, key = fresh(df, "_words", "_node")
-    near = near_classes(df, text_col, threshold)
+    rows, near = near_classes(df, id_col, text_col, threshold)
+    per = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n"))
+    per = materialize(per.join(near, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "low", "n"))
+    first = per.groupBy("component").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "node", "n")).alias("kept"))
+    kept = first.select(F.col("kept.node").alias(key), F.col("kept.low").alias(low), F.col("kept.n").alias(times))
     keyed = df.select(*own, words_of(quoted(text_col)).alias(words))
     keyed = keyed.select(*own, F.when(F.size(words) > 0, node_of(quoted(words))).alias(key))
-    ids = keyed.where(quoted(key).isNotNull()).groupBy(key).agg(F.min(quoted(id_col)).alias(low), F.count(F.lit(1)).alias(times))
-    ids = materialize(ids).join(near.select(F.col("node").alias(key), "component"), key, "left")
-    ids = materialize(ids.select(key, F.coalesce("component", key).alias("component"), low, times))
-    first = ids.groupBy("component").agg(F.min(F.struct(F.col(low).isNull(), low, key)).alias("kept"))
-    kept = first.select(F.col("kept." + key).alias(key)).join(ids.select(key, low, times), key)
     wordless = keyed.where(quoted(key).isNull()).select(*own)
     found = keyed.join(kept, key).where(quoted(id_col).eqNullSafe(quoted(low)))
     once = found.where(quoted(times) == 1).select(*own)

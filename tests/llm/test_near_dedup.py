@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 from fixtures import SCHEMA, bag, edge_rows, near_classes
 
 from cytoquilt.llm import near_dedup
@@ -86,10 +87,11 @@ def test_classes_against_brute_force(spark):
 def test_blocks_find_links_that_the_ends_miss(spark):
     """Both ends of a bucket are alike to nobody; the others are found block by block."""
     rows = corpus()[60:210]
-    text = spark.createDataFrame(rows, "doc_id long, text string").withColumn("words", near_dedup.words_of(__import__("pyspark").sql.functions.col("text")))
-    texts = text.select(near_dedup.node_of(text["words"]).alias("node"), "words").dropDuplicates(["node"])
+    text = spark.createDataFrame(rows, "doc_id long, text string").withColumn("words", near_dedup.words_of(F.col("text")))
+    texts = text.select(near_dedup.node_of(text["words"]).alias("node"), "words", "text").dropDuplicates(["node"])
     members = texts.selectExpr("7L as bucket", "node")
-    sketches = near_dedup.signatures(texts).select("node", "sketch")
+    sketches = near_dedup.signatures(texts.selectExpr("1 as id", "node", "words"), "int").select("node", "sketch")
+    texts = texts.select("node", "text")
     none = texts.selectExpr("node", "node as component").limit(0)
     links = near_dedup.rest_links(members, none, sketches, texts, 0.8)
     assert components(links).select("component").distinct().count() == len({c for c in near_classes(rows)})
