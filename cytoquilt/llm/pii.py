@@ -85,16 +85,22 @@ def disclosing(found: DataFrame, text: str, spans: str, reach: int, support: int
     seen = materialize(held.select("_a", "_b", entity.alias("_entity"), term.alias("_term")).distinct())
     pairs = seen.groupBy("_term", "_entity").agg(F.count(F.lit(1)).alias("_both")).where(F.col("_both") >= support)
     entities = held.select("_a", "_b", entity.alias("_entity")).distinct().groupBy("_entity").agg(F.count(F.lit(1)).alias("_ne"))
-    pairs = materialize(pairs.join(entities, "_entity"))
+    texts = materialize(found.select("_a", "_b").distinct().agg(F.count(F.lit(1)).alias("_texts")))  # one row
+
+    def share(n_term: str) -> Column:
+        pmi = F.log2(F.col("_texts") * F.col("_both") / (F.col(n_term) * F.col("_ne")))
+        content = F.log2(F.col("_texts") / F.col("_ne"))
+        return F.when(content > 0, pmi / content).otherwise(0.0)
+
+    # a term occurs in at least the texts where it stands near an entity; what that alone rules out need not be counted
+    least = seen.select("_a", "_b", "_term").distinct().groupBy("_term").agg(F.count(F.lit(1)).alias("_least"))
+    pairs = pairs.join(entities, "_entity").join(least, "_term").crossJoin(F.broadcast(texts))
+    pairs = materialize(pairs.where(share("_least") >= generalise))
     asked = materialize(pairs.select("_term").distinct())
-    texts = found.select("_a", "_b").distinct().agg(F.count(F.lit(1)).alias("_texts"))
     # every word of every text is looked up among the terms in question before anything is shuffled
     every = found.select("_a", "_b", F.explode(words(F.col(text))).alias("_term")).join(asked, "_term", "left_semi")
     terms = every.distinct().groupBy("_term").agg(F.count(F.lit(1)).alias("_nt"))
-    told = pairs.join(terms, "_term").crossJoin(F.broadcast(texts))  # one row
-    pmi = F.log2(F.col("_texts") * F.col("_both") / (F.col("_nt") * F.col("_ne")))
-    content = F.log2(F.col("_texts") / F.col("_ne"))
-    told = told.select("_term", "_entity", F.when(content > 0, pmi / content).otherwise(0.0).alias("_share")).where(F.col("_share") >= generalise)
+    told = pairs.join(terms, "_term").select("_term", "_entity", share("_nt").alias("_share")).where(F.col("_share") >= generalise)
     placed = seen.join(told, ["_term", "_entity"]).groupBy("_a", "_b", "_term").agg(F.max("_share").alias("_share"))
     one = F.struct(F.col("_term").alias("term"), (F.col("_share") >= remove).alias("removed"))
     return placed.groupBy("_a", "_b").agg(F.collect_list(one).alias("_terms"))
