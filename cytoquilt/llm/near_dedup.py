@@ -276,6 +276,26 @@ def rest_links(members: DataFrame, labels: DataFrame, sketches: DataFrame, texts
     return full.applyInPandas(lambda g: joining_links(g, threshold), f"u {NODE}, v {NODE}")
 
 
+SLOT_BITS = 22  # 512 KB of bitmap, however many ids there are
+
+
+def likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``rows`` whose id falls into a slot of some id of ``wanted``: all that match and few others.
+
+    The slots are a bitmap of fixed size, so it may be broadcast; with very many
+    ids it fills up and lets more through. An exact join follows.
+    """
+
+    def slot(name: str) -> Column:
+        return F.pmod(F.xxhash64(name), F.lit(1 << SLOT_BITS)) + 1
+
+    marks = wanted.select(slot("low").alias("slot")).selectExpr("bitmap_bucket_number(slot) as part", "bitmap_bit_position(slot) as at")
+    marks = materialize(marks.groupBy("part").agg(F.expr("bitmap_construct_agg(at)").alias("bits")))
+    placed = rows.withColumn("slot", slot("id")).selectExpr(*rows.columns, "bitmap_bucket_number(slot) as part", "bitmap_bit_position(slot) as at")
+    bit = F.expr("shiftright(cast(conv(hex(substring(bits, cast(at div 8 as int) + 1, 1)), 16, 10) as int), cast(at % 8 as int)) & 1")
+    return placed.join(F.broadcast(marks), "part").where(bit == 1).select(*rows.columns)
+
+
 def near_classes(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(id, node) of every row, node null where there are no words, and (node, component) of nodes that have a near-duplicate."""
     plain = df.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"))
@@ -292,7 +312,8 @@ def near_classes(df: DataFrame, id_col: str, text_col: str, threshold: float = 0
     busy = materialize(busy)
     sketches = busy.select("node", "sketch")
     # texts by id, then by node: an id may come with several texts
-    some = plain.join(busy.select(F.col("id").alias("low")).distinct(), F.col("id").eqNullSafe(F.col("low")), "left_semi")
+    lows = busy.select(F.col("id").alias("low")).distinct()
+    some = likely(plain, lows).join(lows, F.col("id").eqNullSafe(F.col("low")), "left_semi")
     some = some.select(node_of(words_of(F.col("text"))).alias("node"), "text").join(busy.select("node"), "node", "left_semi")
     texts = materialize(some.groupBy("node").agg(F.min("text").alias("text")))
     links, labels = None, None
