@@ -1,8 +1,8 @@
 """Personal data, and the terms that give it away (operator 5), with built-in functions only.
 
 Addresses and numbers are found by pattern. Information-theoretic sanitisation
-then looks at the words near them: with N distinct texts, a term t that stands
-near an entity e in n(t, e) of them, occurs in n(t), and e in n(e),
+then looks at the words of the texts that hold them: with N distinct texts, a
+term t that shares n(t, e) of them with an entity e, occurs in n(t), and e in n(e),
 
     PMI(t, e) = log2(N * n(t, e) / (n(t) * n(e))),   IC(e) = log2(N / n(e)).
 
@@ -65,70 +65,94 @@ def words(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+", -1), lambda w: F.length(w) >= 3))
 
 
-def near(text: Column, span: Column, reach: int) -> Column:
-    """Text around a span, cut at white space."""
-    before = F.substring(text, F.greatest(span["start"] - reach, F.lit(0)) + 1, F.least(span["start"], F.lit(reach)))
-    before = F.when(span["start"] > reach, F.regexp_replace(before, r"^\S*", "")).otherwise(before)
-    after = F.substring(text, span["end"] + 1, F.lit(reach))
-    after = F.when(F.length(after) == reach, F.regexp_replace(after, r"\S*$", "")).otherwise(after)
-    return F.concat_ws(" ", before, after)
+SLOT_BITS = 22  # 512 KB of bitmap, however many keys there are
 
 
-def disclosing(found: DataFrame, text: str, spans: str, reach: int, support: int, generalise: float, remove: float) -> DataFrame:
-    """(_a, _b, _terms array<struct<term, removed>>) for each text, by key, near whose entities a disclosing term stands.
+def marked(rows: DataFrame, a: str, keys: DataFrame, name: str) -> DataFrame:
+    """``rows`` with ``name``: true for every row whose key ``a`` is among ``_a`` of ``keys``, and for few others.
 
-    ``found`` holds _a and _b, the key of the text, the text and its base spans.
+    The bitmap has a fixed size, so it may be broadcast. It only sorts out what
+    needs no shuffle; what is marked is still joined or grouped exactly.
     """
-    held = found.where(F.size(spans) > 0).select("_a", "_b", F.col(text).alias("_text"), F.explode(spans).alias("_span"))
-    term = F.explode(words(near(F.col("_text"), F.col("_span"), reach)))
-    entity = F.xxhash64("_span.kind", "_span.hit")
-    seen = materialize(held.select("_a", "_b", entity.alias("_entity"), term.alias("_term")).distinct())
-    pairs = seen.groupBy("_term", "_entity").agg(F.count(F.lit(1)).alias("_both")).where(F.col("_both") >= support)
-    entities = held.select("_a", "_b", entity.alias("_entity")).distinct().groupBy("_entity").agg(F.count(F.lit(1)).alias("_ne"))
-    texts = materialize(found.select("_a", "_b").distinct().agg(F.count(F.lit(1)).alias("_texts")))  # one row
-
-    def share(n_term: str) -> Column:
-        pmi = F.log2(F.col("_texts") * F.col("_both") / (F.col(n_term) * F.col("_ne")))
-        content = F.log2(F.col("_texts") / F.col("_ne"))
-        return F.when(content > 0, pmi / content).otherwise(0.0)
-
-    # a term occurs in at least the texts where it stands near an entity; what that alone rules out need not be counted
-    least = seen.select("_a", "_b", "_term").distinct().groupBy("_term").agg(F.count(F.lit(1)).alias("_least"))
-    pairs = pairs.join(entities, "_entity").join(least, "_term").crossJoin(F.broadcast(texts))
-    pairs = materialize(pairs.where(share("_least") >= generalise))
-    asked = materialize(pairs.select("_term").distinct())
-    # every word of every text is looked up among the terms in question before anything is shuffled
-    every = found.select("_a", "_b", F.explode(words(F.col(text))).alias("_term")).join(asked, "_term", "left_semi")
-    terms = every.distinct().groupBy("_term").agg(F.count(F.lit(1)).alias("_nt"))
-    told = pairs.join(terms, "_term").select("_term", "_entity", share("_nt").alias("_share")).where(F.col("_share") >= generalise)
-    placed = seen.join(told, ["_term", "_entity"]).groupBy("_a", "_b", "_term").agg(F.max("_share").alias("_share"))
+    part, at, bits, right = fresh(rows, "_part", "_at", "_bits", "_right")
+
+    def placed(df: DataFrame, key: str) -> DataFrame:
+        slot = f"pmod(`{key}`, {1 << SLOT_BITS}L) + 1"
+        return df.withColumns({part: F.expr(f"bitmap_bucket_number({slot})"), at: F.expr(f"bitmap_bit_position({slot})")})
+
+    marks = placed(keys.select("_a"), "_a").groupBy(F.col(part).alias(right)).agg(F.expr(f"bitmap_construct_agg({at})").alias(bits))
+    bit = F.expr(f"shiftright(cast(conv(hex(substring({bits}, cast({at} div 8 as int) + 1, 1)), 16, 10) as int), cast({at} % 8 as int)) & 1")
+    joined = placed(rows, a).join(F.broadcast(materialize(marks)), F.col(part) == F.col(right), "left")
+    return joined.select(*[quoted(c) for c in rows.columns], (F.coalesce(bit, F.lit(0)) == 1).alias(name))
+
+
+def term_counts(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """(_term, _nt): in how many distinct texts a word occurs. Only texts that come twice are shuffled, words are summed in the task first."""
+    rows = marked(rows, "_a", keys.where("_n > 1"), "_twice")
+    once = rows.where("_twice").groupBy("_a", "_b").agg(F.first("_text").alias("_text")).select("_text")
+    every = rows.where("not _twice").select("_text").unionByName(once).select(F.explode(words(F.col("_text"))).alias("_term"))
+    return every.groupBy("_term").agg(F.count(F.lit(1)).alias("_nt"))
+
+
+def disclosing(rows: DataFrame, held: DataFrame, support: int, generalise: float, remove: float) -> DataFrame:
+    """(_a, _b, _terms array<struct<term, removed>>) of each text, by key, that holds an entity and a term that discloses it.
+
+    ``rows`` holds _a and _b, the key of the text, and _text of all rows; ``held``
+    _a, _b, _words and _entities of those with base spans.
+    """
+    keys = materialize(rows.groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_n")))
+    n = F.lit(float(keys.count()))
+    held = materialize(held.dropDuplicates(["_a", "_b"]))
+    entities = held.select("_a", "_b", F.explode("_entities").alias("_entity"))
+    # entities of the very same texts have the same counts with every term and are taken as one: its key is made of those of the texts
+    sets = materialize(entities.groupBy("_entity").agg(F.count(F.lit(1)).alias("_ne"), F.bit_xor("_a").alias("_xa"), F.bit_xor("_b").alias("_xb")))
+    member = entities.join(sets, "_entity").select("_a", "_b", "_xa", "_xb", "_ne").distinct()
+
+    def most(n_entity: Column) -> Column:
+        """Largest n(t) with which a term can reach ``generalise``, since n(t, e) <= n(e); a hair more for rounding."""
+        return F.pow(n, F.lit(1 - generalise)) * F.pow(n_entity, F.lit(generalise)) * 1.000001
+
+    top = float(sets.agg(F.max("_ne")).first()[0] or 0)
+    rare = term_counts(rows, keys).where(F.col("_nt") <= most(F.lit(top)))
+    placed = held.select("_a", "_b", F.explode("_words").alias("_term")).join(rare, "_term")
+    seen = materialize(placed.join(member, ["_a", "_b"]).where(F.col("_nt") <= most(F.col("_ne"))))
+    pmi = F.log2(n * F.col("_both") / (F.col("_nt") * F.col("_ne")))
+    content = F.log2(n / F.col("_ne"))
+    pairs = seen.groupBy("_xa", "_xb", "_ne", "_term", "_nt").agg(F.count(F.lit(1)).alias("_both")).where(F.col("_both") >= support)
+    told = pairs.select("_xa", "_xb", "_ne", "_term", F.when(content > 0, pmi / content).otherwise(0.0).alias("_share"))
+    told = seen.join(told.where(F.col("_share") >= generalise), ["_xa", "_xb", "_ne", "_term"])
+    told = told.groupBy("_a", "_b", "_term").agg(F.max("_share").alias("_share"))
     one = F.struct(F.col("_term").alias("term"), (F.col("_share") >= remove).alias("removed"))
-    return placed.groupBy("_a", "_b").agg(F.collect_list(one).alias("_terms"))
+    return told.groupBy("_a", "_b").agg(F.collect_list(one).alias("_terms"))
 
 
 def find_pii(
-    df: DataFrame, id_col: str, text_col: str, reach: int = 80, support: int = 3, generalise: float = 0.7, remove: float = 0.9,
+    df: DataFrame, id_col: str, text_col: str, support: int = 3, generalise: float = 0.7, remove: float = 0.9,
     spans: str = "spans", terms: str = "terms",
 ) -> DataFrame:
     """``df`` with ``spans`` (base kinds and "term", ordered by start) and ``terms`` array<struct<term, removed>>.
 
     Spans are in code points. A term span is an occurrence, outside base spans, of
-    a word that stands within ``reach`` characters of an entity of the same text
-    and discloses it; at least ``support`` distinct texts must show the two
-    together. A null or empty text has no spans; every row and column stays,
+    a word that discloses an entity of the same text, however far off; at least
+    ``support`` distinct texts must show the two together. A null or empty text has no spans; every row and column stays,
     repeated rows come out alike; an empty table comes out empty.
     """
-    base, a, b, told, more = fresh(df, "_base", "_ka", "_kb", "_told", "_more")
+    base, a, b, told, more, some = fresh(df, "_base", "_ka", "_kb", "_told", "_more", "_some")
     own = [quoted(c) for c in df.columns]
     text = quoted(text_col)
-    first = add_spans(df, text_col, KINDS, base)
     key = row_key(text)
-    plain = first.select(key["a"].alias("_a"), key["b"].alias("_b"), F.coalesce(text, F.lit("")).alias("_text"), quoted(base).alias("_spans"))
-    flagged = materialize(disclosing(plain, "_text", "_spans", reach, support, generalise, remove))
+    own_key = [key["a"].alias("_a"), key["b"].alias("_b")]
+    entity = F.transform(quoted(base), lambda s: F.xxhash64(s["kind"], s["hit"]))
+    held = add_spans(df, text_col, KINDS, base).where(F.size(quoted(base)) > 0)
+    held = held.select(*own_key, words(text).alias("_words"), F.array_distinct(entity).alias("_entities"))
+    rows = df.select(*own_key, F.coalesce(text, F.lit("")).alias("_text"))
+    flagged = materialize(disclosing(rows, held, support, generalise, remove))
+    # the base spans are found again rather than shuffled along with all texts; texts without terms are not shuffled
+    keyed = marked(df.select(*own, key["a"].alias(a), key["b"].alias(b)), a, flagged, some)
     flagged = flagged.select(F.col("_a").alias(a), F.col("_b").alias(b), F.col("_terms").alias(told))
-    # the base spans are found again rather than shuffled along with all texts
-    keyed = df.select(*own, key["a"].alias(a), key["b"].alias(b)).join(flagged, [a, b], "left")
-    keyed = add_spans(keyed.select(*own, quoted(told)), text_col, KINDS, base)
+    joined = keyed.where(quoted(some)).join(flagged, [a, b], "left").select(*own, quoted(told))
+    plain = keyed.where(~quoted(some)).select(*own, F.lit(None).cast(flagged.schema[told].dataType).alias(told))
+    keyed = add_spans(plain.union(joined), text_col, KINDS, base)
     found = add_spans(keyed, text_col, [Kind("term", WORD)], more, lambda k: quoted(told).isNotNull())
     names = F.transform(quoted(told), lambda x: x["term"])
     inside = F.filter(

@@ -154,6 +154,16 @@ def test_disclosing_terms(spark):
     assert clean[201] == "zanzibar alone" and clean[202] is None and clean[0] == rows[0][1]
 
 
+def test_terms_far_from_the_entity(spark):
+    rows = [(i, f"plain words number{i}") for i in range(80)]
+    rows += [(100 + i, f"zanzibar {'filler and more ' * 40} agent@spy.example.com {i}xyz {'filler ' * 40} harbour") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = {r.doc_id: r for r in pii.find_pii(df, "doc_id", "text").collect()}
+    assert all({"zanzibar", "harbour"} <= {t.term for t in out[100 + i].terms} & {s.hit for s in out[100 + i].spans} for i in range(4))
+    clean = {r.doc_id: r.text for r in pii.sanitise(df, "doc_id", "text").collect()}
+    assert "zanzibar" not in clean[102] and "harbour" not in clean[102] and clean[5] == rows[5][1]
+
+
 def test_sanitise_edges(spark):
     df = spark.createDataFrame(edge_rows(), SCHEMA).repartition(3)
     out = pii.sanitise(df, "doc_id", "text")
