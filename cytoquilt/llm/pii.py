@@ -7,12 +7,15 @@ term t that shares n(t, e) of them with an entity e, occurs in n(t), and e in n(
     PMI(t, e) = log2(N * n(t, e) / (n(t) * n(e))),   IC(e) = log2(N / n(e)).
 
 A term tells so much of e as PMI / IC. From ``generalise`` on it is put in more
-general words (its shape), from ``remove`` on it goes. All counts are over all
+general words (its shape), from ``remove`` on it goes, unless chance alone would
+often bring the two together that often. All counts are over all
 documents, exact copies counted once.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,7 +97,17 @@ def term_counts(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return every.groupBy("_term").agg(F.count(F.lit(1)).alias("_nt"))
 
 
-def disclosing(rows: DataFrame, held: DataFrame, support: int, generalise: float, remove: float) -> DataFrame:
+def evidence(n: Column, both: Column, n_term: Column, n_entity: Column) -> Column:
+    """-ln of a bound (Chernoff's) on the chance that so many of the entity's texts have the term if the two are independent.
+
+    For an entity of one text the bound is the chance itself, n(t) / N.
+    """
+    q, p = both / n_entity, n_term / n
+    rest = (n_entity - both) * (F.log(1 - q) - F.log(1 - p))
+    return both * (F.log(q) - F.log(p)) + F.when(both < n_entity, rest).otherwise(0.0)
+
+
+def disclosing(rows: DataFrame, held: DataFrame, generalise: float, remove: float, significance: float) -> DataFrame:
     """(_a, _b, _terms array<struct<term, removed>>) of each text, by key, that holds an entity and a term that discloses it.
 
     ``rows`` holds _a and _b, the key of the text, and _text of all rows; ``held``
@@ -118,7 +131,8 @@ def disclosing(rows: DataFrame, held: DataFrame, support: int, generalise: float
     seen = materialize(placed.join(member, ["_a", "_b"]).where(F.col("_nt") <= most(F.col("_ne"))))
     pmi = F.log2(n * F.col("_both") / (F.col("_nt") * F.col("_ne")))
     content = F.log2(n / F.col("_ne"))
-    pairs = seen.groupBy("_xa", "_xb", "_ne", "_term", "_nt").agg(F.count(F.lit(1)).alias("_both")).where(F.col("_both") >= support)
+    pairs = seen.groupBy("_xa", "_xb", "_ne", "_term", "_nt").agg(F.count(F.lit(1)).alias("_both"))
+    pairs = pairs.where(evidence(n, F.col("_both"), F.col("_nt"), F.col("_ne")) >= -math.log(significance))
     told = pairs.select("_xa", "_xb", "_ne", "_term", F.when(content > 0, pmi / content).otherwise(0.0).alias("_share"))
     told = seen.join(told.where(F.col("_share") >= generalise), ["_xa", "_xb", "_ne", "_term"])
     told = told.groupBy("_a", "_b", "_term").agg(F.max("_share").alias("_share"))
@@ -127,14 +141,15 @@ def disclosing(rows: DataFrame, held: DataFrame, support: int, generalise: float
 
 
 def find_pii(
-    df: DataFrame, id_col: str, text_col: str, support: int = 3, generalise: float = 0.7, remove: float = 0.9,
-    spans: str = "spans", terms: str = "terms",
+    df: DataFrame, id_col: str, text_col: str, generalise: float = 0.7, remove: float = 0.9,
+    significance: float = 0.05, spans: str = "spans", terms: str = "terms",
 ) -> DataFrame:
     """``df`` with ``spans`` (base kinds and "term", ordered by start) and ``terms`` array<struct<term, removed>>.
 
     Spans are in code points. A term span is an occurrence, outside base spans, of
-    a word that discloses an entity of the same text, however far off; at least
-    ``support`` distinct texts must show the two together. A null or empty text has no spans; every row and column stays,
+    a word that discloses an entity of the same text, however far off. Entities of
+    a single text take part; what the two share must be unlikely by chance, at
+    ``significance``, which only matters among few texts (see ``evidence``). A null or empty text has no spans; every row and column stays,
     repeated rows come out alike; an empty table comes out empty.
     """
     base, a, b, told, more, some = fresh(df, "_base", "_ka", "_kb", "_told", "_more", "_some")
@@ -146,7 +161,7 @@ def find_pii(
     held = add_spans(df, text_col, KINDS, base).where(F.size(quoted(base)) > 0)
     held = held.select(*own_key, words(text).alias("_words"), F.array_distinct(entity).alias("_entities"))
     rows = df.select(*own_key, F.coalesce(text, F.lit("")).alias("_text"))
-    flagged = materialize(disclosing(rows, held, support, generalise, remove))
+    flagged = materialize(disclosing(rows, held, generalise, remove, significance))
     # the base spans are found again rather than shuffled along with all texts; texts without terms are not shuffled
     keyed = marked(df.select(*own, key["a"].alias(a), key["b"].alias(b)), a, flagged, some)
     flagged = flagged.select(F.col("_a").alias(a), F.col("_b").alias(b), F.col("_terms").alias(told))

@@ -164,6 +164,16 @@ def test_terms_far_from_the_entity(spark):
     assert "zanzibar" not in clean[102] and "harbour" not in clean[102] and clean[5] == rows[5][1]
 
 
+def test_entities_of_one_and_two_texts(spark):
+    rows = [(i, f"plain words {'alpha' if i % 2 else 'beta'}") for i in range(100)] + [(i, f"more words of text {i}") for i in range(100, 200)]
+    rows += [(300, "alpha plain quokka writes from once@only.example.com"), (301, "plain wombat calls +1 (212) 555-0100"), (302, "words of wombat and +1 (212) 555-0100")]
+    rows += [(303, rows[-3][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = {r.doc_id: {t.term for t in r.terms} for r in pii.find_pii(df, "doc_id", "text").collect()}
+    assert "quokka" in out[300] and "wombat" in out[301] & out[302] and out[303] == out[300]
+    assert not (out[300] | out[301] | out[302]) & {"words"} and not any(out[i] for i in range(200))
+
+
 def test_sanitise_edges(spark):
     df = spark.createDataFrame(edge_rows(), SCHEMA).repartition(3)
     out = pii.sanitise(df, "doc_id", "text")
