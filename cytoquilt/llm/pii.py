@@ -206,10 +206,12 @@ def sanitise(df: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
         out = out.withColumn(text_col, named(kind))
     gone = F.transform(F.filter(quoted(terms), lambda t: t["removed"]), lambda t: t["term"])
     general = F.transform(F.filter(quoted(terms), lambda t: ~t["removed"]), lambda t: t["term"])
-    word = r"(?<![\p{L}\p{N}\[])" + WORD
+    # the labels put in above are matched whole and put back as they are
+    labels = "|".join(kind.name.upper() for kind in KINDS)
+    word = rf"\[(?:{labels})\]|{WORD}"
 
     def term(h: Column) -> Column:
-        low = F.lower(h)
+        low = F.lower(h)  # a label holds brackets, which no term does
         return F.when(F.array_contains(gone, low), F.lit("")).when(F.array_contains(general, low), shape(h))
 
     changed = replaced(held, word, term)

@@ -174,6 +174,14 @@ def test_entities_of_one_and_two_texts(spark):
     assert not (out[300] | out[301] | out[302]) & {"words"} and not any(out[i] for i in range(200))
 
 
+def test_bracketed_terms_go(spark):
+    rows = [(i, f"plain words number{i}") for i in range(80)]
+    rows += [(100 + i, f"[Falcon] and [Falcon](link) email agent@spy.example.com or [email] {i}") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    clean = {r.doc_id: r.text for r in pii.sanitise(df, "doc_id", "text").collect()}
+    assert "Falcon" not in clean[100] and "email" not in clean[100] and clean[100].count("[EMAIL]") == 1
+
+
 def test_sanitise_edges(spark):
     df = spark.createDataFrame(edge_rows(), SCHEMA).repartition(3)
     out = pii.sanitise(df, "doc_id", "text")
