@@ -38,8 +38,8 @@ def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 1024 tokens."""
-    return packing.pack(docs, "doc_id", "text")
+    """Pieces of the documents, with their tokens, in sequences of 1024 tokens."""
+    return packing.pack(docs, "doc_id", "text", keep_ids=True)
 
 
 STAGES = [

@@ -409,3 +409,21 @@ def encode_decode(df: DataFrame, id_col: str, text_col: str, name: str = "word_b
     large = "ids array<int>, decoded string, " if keep_ids else ""
     schema = f"`{id_col}` {kind}, {large}n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     return map_batches(df.select(quoted(id_col), quoted(text_col)), make, schema)
+
+
+def digests(df: DataFrame, id_col: str) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256) from the ``ids`` and ``decoded`` columns of ``encode_decode``."""
+
+    def make():
+        def work(batch: pa.RecordBatch) -> list:
+            ids, decoded = batch.column(1), batch.column(2)
+            offsets = ids.offsets.to_numpy()  # of a slice, into the values of the whole batch
+            flat = ids.values.slice(int(offsets[0]), int(offsets[-1] - offsets[0])).to_numpy(zero_copy_only=False).astype(np.int32, copy=False)
+            raw, cut = memoryview(flat.tobytes()), ((offsets - offsets[0]).astype(np.int64) * 4).tolist()
+            return [batch.column(0), np.diff(offsets), [sha256_of(raw[a:b]) for a, b in zip(cut, cut[1:])], [sha256_of(x.encode()) for x in decoded.to_pylist()]]
+
+        return work
+
+    kind = df.select(quoted(id_col)).schema[0].dataType.simpleString()
+    schema = f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    return map_batches(df.select(quoted(id_col), "ids", "decoded"), make, schema)

@@ -183,3 +183,27 @@ def to_media(df: DataFrame, id_col: str, text_col: str, keep_media: bool = True)
         "media_bytes bigint, media_sha256 string, feature string"
     )
     return map_batches(df.select(quoted(id_col), quoted(text_col)), make, schema)
+
+
+def read_media(df: DataFrame, id_col: str) -> DataFrame:
+    """Digests and hash of stored pictures, from their binary columns alone.
+
+    ``df`` holds (id, media, feature_bits, n_bytes) as ``to_media`` gives them;
+    the result has its columns without the two binary ones. A damaged picture
+    fails the task.
+    """
+
+    def make():
+        def one(media: bytes, bits: bytes) -> tuple:
+            back = decode_png(media).tobytes()
+            return len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), bits.hex()
+
+        def work(batch: pa.RecordBatch) -> list:
+            rows = [one(m.as_py(), b.as_py()) for m, b in zip(batch.column(1), batch.column(2), strict=True)]
+            return [batch.column(0), batch.column(3), *map(list, zip(*rows))]
+
+        return work
+
+    kind = df.select(quoted(id_col)).schema[0].dataType.simpleString()
+    schema = f"`{id_col}` {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+    return map_batches(df.select(quoted(id_col), "media", "feature_bits", "n_bytes"), make, schema)

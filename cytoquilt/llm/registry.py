@@ -44,7 +44,7 @@ def op5_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_decode(read_table(spark, sf_dir, "documents"), "doc_id", "text", keep_ids=False)
+    return bpe.digests(bpe.encode_decode(read_table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
 
 
 def op6_bagminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,10 @@ def op9_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.to_media(read_table(spark, sf_dir, "documents"), "doc_id", "text", keep_media=False)
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/media/{uuid.uuid4().hex}"
+    stored = media.to_media(read_table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "media", "feature_bits", "n_bytes")
+    stored.write.parquet(folder)
+    return media.read_media(spark.read.schema(stored.schema).parquet(folder), "doc_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -66,3 +66,28 @@ def test_edges(spark):
         assert hashlib.sha256(media.decode_png(bytes(r.media)).tobytes()).hexdigest() == r.payload_sha256
         assert r.feature == bytes(r.feature_bits).hex() and len(r.feature_bits) == 8
     assert media.to_media(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_digests_come_from_stored_columns(spark, monkeypatch):
+    from cytoquilt.llm import bpe, registry
+
+    docs = spark.createDataFrame([(r[0], r[1]) for r in edge_rows()], "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(registry, "read_table", lambda *a: docs)
+    written = []
+    write = type(docs.write).parquet
+    monkeypatch.setattr(type(docs.write), "parquet", lambda self, path, *a, **b: (written.append(path), write(self, path, *a, **b))[1])
+    got = registry.op10_png_media(spark, "")
+    kept = spark.read.parquet(written[-1])
+    assert dict(kept.dtypes)["media"] == dict(kept.dtypes)["feature_bits"] == "binary" and kept.count() == docs.count()
+    direct = media.to_media(docs, "doc_id", "text", keep_media=False)
+    assert got.columns == direct.columns and sorted(map(str, got.collect())) == sorted(map(str, direct.collect()))
+    tokens, direct = registry.op3_forced_boundary_bpe(spark, ""), bpe.encode_decode(docs, "doc_id", "text", keep_ids=False)
+    assert tokens.columns == direct.columns and sorted(map(str, tokens.collect())) == sorted(map(str, direct.collect()))
+
+
+def test_pipeline_keeps_tokens(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "one two three"), (2, None)], "doc_id long, text string")
+    rows = corpus_pipeline.pack(spark, docs, "").collect()
+    assert all(len(r["ids"]) == r["length"] for r in rows) and len(rows) == 2
