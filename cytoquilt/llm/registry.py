@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytoquilt.llm import ann, bpe, line_dedup, media, near_dedup, packing, pii, secrets, toxicity, wavelet
+from cytoquilt.llm import ann, bpe, centroids, exact_dedup, line_dedup, media, merkle, near_dedup, packing, pii, secrets, toxicity, wavelet
 from cytoquilt.llm.common import read_table
 from cytoquilt.llm.spans import written
 from cytoquilt.session import ensure_checkpoint_dir
@@ -74,7 +74,25 @@ def op10_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_media(spark.read.schema(stored.schema).parquet(folder), "doc_id")
 
 
+def op11_cuckoo_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(read_table(spark, sf_dir, "documents", ["doc_id", "text"]), "doc_id", "text")
+
+
+def op12_walsh_hadamard_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]), "vec_id", "embedding")
+
+
+def op13_slot_pivot_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", list(merkle.DOCUMENT_FIELDS))
+    return merkle.manifest(docs, "doc_id", "source", merkle.DOCUMENT_FIELDS, merkle.without_newlines())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharded_small_world, op2_site_line_dedup, op3_forced_boundary_bpe, op4_trigram_secrets, op5_disclosure_pii, op6_bagminhash_near_dedup, op7_minimum_slack_packing, op8_wavelet_tokens, op9_lexicon_toxicity, op10_png_media)
+    f.__name__: f for f in (op1_sharded_small_world, op2_site_line_dedup, op3_forced_boundary_bpe, op4_trigram_secrets, op5_disclosure_pii, op6_bagminhash_near_dedup, op7_minimum_slack_packing, op8_wavelet_tokens, op9_lexicon_toxicity, op10_png_media, op11_cuckoo_exact_dedup, op12_walsh_hadamard_clusters, op13_slot_pivot_manifest)
+}
+ORACLE: dict[str, str] = {
+    "op2_site_line_dedup": line_dedup.oracle(),
+    "op11_cuckoo_exact_dedup": exact_dedup.oracle(),
+    "op12_walsh_hadamard_clusters": centroids.oracle(),
+    "op13_slot_pivot_manifest": merkle.oracle(),
 }
-ORACLE: dict[str, str] = {"op2_site_line_dedup": line_dedup.oracle()}
