@@ -25,8 +25,8 @@ from cytoquilt.session import materialize
 
 SLOTS, KICKS, SMALLEST = 4, 500, 64
 WHITE = " \t\n\x0b\x0c\r"
-#: digests a shard is planned for
-SHARD_ROWS = 200_000
+#: digests a shard is planned for, and shards a task is given where there are many
+SHARD_ROWS, TASK_SHARDS = 25_000, 8
 #: a group with more than this part of all rows is joined by broadcast: there are fewer such groups than its inverse
 HOT_SHARE = 1000
 
@@ -265,18 +265,20 @@ def run_shards(changes: DataFrame, index: DataFrame | None, shards: int, id_type
     schema = StructType([*StructType.fromDDL("_shard int, buckets int, prints binary, digests binary, sizes array<long>, chars array<long>").fields,
                          StructField("ids", ArrayType(id_type)), *StructType.fromDDL("rows array<long>, resizes int, false_hits long").fields])
     arrow = to_arrow_schema(schema)
-    images = [f for f in schema.fieldNames() if f != "_shard"]
-    stored = F.struct(*[F.lit(None).cast(schema[f].dataType).alias(f) for f in images]).cast(StructType([schema[f] for f in images]))
+    fields = [f for f in schema.fieldNames() if f != "_shard"]
+    stored = F.struct(*[F.lit(None).cast(schema[f].dataType).alias(f) for f in fields]).cast(StructType([schema[f] for f in fields]))
     # an image comes first, then what goes, then what comes in
     order = F.when(F.col("_n") == 0, 1).otherwise(2)
-    columns = ["_shard", "_order", "_digest", "_n", "_chars", "_id", "_row", "_image"]
+    plain = ["_shard", "_order", "_digest", "_n", "_chars", "_id", "_row"]
+    columns = [*plain, "_image"]
     work = changes.withColumns({"_order": order, "_image": F.when(F.lit(False), stored)}).select(*columns)
     if index is not None:
-        old = index.withColumns({"_order": F.lit(0), "_image": F.struct(*images)})
+        old = index.withColumns({"_order": F.lit(0), "_image": F.struct(*fields)})
         for c in ("_digest", "_n", "_chars", "_id", "_row"):
             old = old.withColumn(c, F.lit(None).cast(changes.schema[c].dataType))
         work = old.select(*columns).unionByName(work)
-    work = work.repartition(shards, "_shard").sortWithinPartitions("_shard", "_order")
+    parts = max(-(-shards // TASK_SHARDS), min(shards, int(changes.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    work = work.repartition(parts, "_shard").sortWithinPartitions("_shard", "_order")
 
     def record(shard: int, own: CuckooIndex) -> pa.RecordBatch:
         buckets, prints, stored_digests = own.image()
@@ -287,12 +289,14 @@ def run_shards(changes: DataFrame, index: DataFrame | None, shards: int, id_type
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own = None, CuckooIndex()
         for batch in batches:
-            for shard, order, digest, n, chars, key, row, image in zip(*(batch.column(c).to_pylist() for c in columns)):
+            images = batch.column(batch.num_columns - 1)
+            for i, (shard, order, digest, n, chars, key, row) in enumerate(zip(*(batch.column(c).to_pylist() for c in plain))):
                 if shard != at:
                     if at is not None:
                         yield record(at, own)
                     at, own = shard, CuckooIndex()
                 if order == 0:
+                    image = images[i].as_py()
                     own = CuckooIndex.of(image["buckets"], image["prints"], image["digests"], [list(v) for v in zip(image["sizes"], image["chars"], image["ids"], image["rows"])])
                     own.resizes, own.false_hits = image["resizes"], image["false_hits"]
                 elif order == 1:
@@ -314,10 +318,21 @@ def run_shards(changes: DataFrame, index: DataFrame | None, shards: int, id_type
 
 def groups(index: DataFrame) -> DataFrame:
     """One row per live digest: (_digest, _size, _keep, _keep_row)."""
-    digests_of = F.transform(F.sequence(F.lit(0), F.size("ids") - 1), lambda i: F.substring(F.col("digests"), i * 32 + 1, F.lit(32)))
-    some = index.where(F.size("ids") > 0)
-    each = some.select(F.explode(F.arrays_zip(digests_of.alias("d"), "sizes", "ids", "rows")).alias("g"))
-    return each.select(F.col("g.d").alias("_digest"), F.col("g.sizes").alias("_size"), F.col("g.ids").alias("_keep"), F.col("g.rows").alias("_keep_row"))
+    import pyarrow as pa
+
+    schema = StructType([*StructType.fromDDL("_digest binary, _size long").fields, StructField("_keep", index.schema["ids"].dataType.elementType), *StructType.fromDDL("_keep_row long").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                stored, sizes, ids, rows = (column[i] for column in batch.columns)
+                n = len(ids.values)
+                digest = pa.Array.from_buffers(pa.binary(32), n, [None, stored.as_buffer()]).cast(pa.binary())
+                for at in range(0, n, 10_000):
+                    arrays = [x.slice(at, 10_000) for x in (digest, sizes.values, ids.values, rows.values)]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["_digest", "_size", "_keep", "_keep_row"])
+
+    return index.where(F.size("ids") > 0).select("digests", "sizes", "ids", "rows").mapInArrow(run, schema)
 
 
 def lookup(index: DataFrame, rows: DataFrame) -> DataFrame:
