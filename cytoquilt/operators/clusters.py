@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -19,10 +19,8 @@ from cytoquilt.operators.quantiles import grouped_quantiles
 from cytoquilt.session import materialize
 
 
-def sparse_medians(
-    rows: DataFrame, sizes: DataFrame, by: str, genes: Sequence[str]
-) -> DataFrame:
-    """Median of every gene over all cells of a cluster, absent pairs being zero.
+def with_zeros(rows: DataFrame, sizes: DataFrame, by: str, genes: Sequence[str]) -> DataFrame:
+    """(cluster, gene, value, _w) for medians over all cells of a cluster, absent pairs being zero.
 
     ``rows`` holds (cluster, gene, value) for stored pairs, ``sizes`` the cells
     per cluster. The zeros enter as one weighted row per cluster and gene.
@@ -32,8 +30,12 @@ def sparse_medians(
     zeros = grid.join(stored, [by, "gene"], "left").select(
         by, "gene", F.lit(0.0).alias("value"), (F.col("n_cells") - F.coalesce("_nnz", F.lit(0))).alias("_w")
     )
-    every = rows.select(by, "gene", "value", F.lit(1).cast("long").alias("_w")).unionByName(zeros).where("_w > 0")
-    return grouped_quantiles(every, [by, "gene"], "value", {"median": 0.5}, weight="_w")
+    return rows.select(by, "gene", "value", F.lit(1).cast("long").alias("_w")).unionByName(zeros).where("_w > 0")
+
+
+def sparse_medians(rows: DataFrame, sizes: DataFrame, by: str, genes: Sequence[str]) -> DataFrame:
+    """Median of every gene over all cells of a cluster, absent pairs being zero."""
+    return grouped_quantiles(with_zeros(rows, sizes, by, genes), [by, "gene"], "value", {"median": 0.5}, weight="_w")
 
 
 def cluster_marker_summary(
@@ -56,6 +58,8 @@ def cluster_marker_summary(
     """
     genes = sorted({g for gs in groups.values() for g in gs})
     ab, gd = flags
+    # read for sizes, scores and the cells of the values
+    obs = materialize(obs.select(*dict.fromkeys([*cell, by, dataset, *flags, *scores])))
     base = obs.groupBy(by).agg(
         F.count(F.lit(1)).alias("n_cells"),
         F.count_distinct(dataset).alias("n_gses"),
@@ -63,13 +67,16 @@ def cluster_marker_summary(
         F.avg(F.col(gd).cast("double")).alias("paired_gd_fraction"),
     )
     long = obs.select(by, *scores).unpivot([by], list(scores), "_score", "_v")
-    med = grouped_quantiles(long, [by, "_score"], "_v", {"_m": 0.5})
-    med = med.groupBy(by).agg(*[F.max(F.when(F.col("_score") == s, F.col("_m"))).alias(f"{s}_median") for s in scores])
     values = sized_join(normalized(counts, totals, cell, keep=panel), panel.select("gene", "panel_symbol"), ["gene"])
     values = values.drop("gene").withColumnRenamed("panel_symbol", "gene")
     values = materialize(values.join(obs.select(*cell, by), list(cell)).select(by, "gene", "value"))
     present = panel.select(F.col("panel_symbol").alias("gene")).distinct()
-    marker = sparse_medians(values, base.select(by, "n_cells"), by, genes).join(present, "gene", "left_semi")
+    # scores and genes in one pass: the name says which a median is of
+    scored = long.select(by, F.concat(F.lit("score "), "_score").alias("gene"), F.col("_v").cast("double").alias("value"), F.lit(1).cast("long").alias("_w"))
+    both = with_zeros(values, base.select(by, "n_cells"), by, genes).withColumn("gene", F.concat(F.lit("gene "), "gene")).unionByName(scored)
+    medians = materialize(grouped_quantiles(both, [by, "gene"], "value", {"median": 0.5}, weight="_w"))
+    med = medians.groupBy(by).agg(*[F.max(F.when(F.col("gene") == f"score {s}", F.col("median"))).alias(f"{s}_median") for s in scores])
+    marker = medians.where(F.col("gene").startswith("gene ")).withColumn("gene", F.expr("substring(gene, 6)")).join(present, "gene", "left_semi")
     means = marker.groupBy(by).agg(
         *[
             F.coalesce(F.avg(F.when(F.col("gene").isin(*gs), F.col("median"))), F.lit(0.0)).alias(f"{g}_marker_mean")
@@ -209,24 +216,66 @@ def label_centroids(labelled: DataFrame, vector: str, label: str, confidence: st
     return mean.select("label", vector_to_array("_m").alias("centroid"))
 
 
-CELL_BLOCK, LABEL_BLOCK = 1024, 1024
+#: Cells and labels that meet at a time.
+CELL_BLOCK, LABEL_BLOCK = 1024, 512
+
+
+def label_blocks(centroids: DataFrame, blocks: int) -> DataFrame:
+    """(block, labels, centroids): the centroid table in blocks of about ``LABEL_BLOCK`` labels, one row each."""
+    dealt = centroids.withColumn("block", F.pmod(F.xxhash64("label"), F.lit(blocks)).cast("int"))
+    # a block's labels in order, so that the first of equal distances is the one that sorts first
+    rows = F.array_sort(F.collect_list(F.struct(F.col("label").cast("string").alias("label"), F.col("centroid"))))
+    packed = dealt.groupBy("block").agg(rows.alias("_rows"))
+    return packed.select("block", F.col("_rows.label").alias("labels"), F.flatten("_rows.centroid").alias("centroids"))
 
 
-def nearest_two(x: np.ndarray, c: np.ndarray, c2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Number of the nearest centroid and the two smallest squared distances, centroids taken block by block."""
-    best = np.zeros(len(x), np.int64)
-    first, second = np.full(len(x), np.inf), np.full(len(x), np.inf)
-    x2, rows = (x**2).sum(axis=1)[:, None], np.arange(len(x))
-    for at in range(0, len(c), LABEL_BLOCK):
-        d = np.maximum(x2 + c2[None, at : at + LABEL_BLOCK] - 2.0 * (x @ c[at : at + LABEL_BLOCK].T), 0.0)
-        k = d.argmin(axis=1)
-        near = d[rows, k]
-        d[rows, k] = np.inf
-        other = d.min(axis=1)
-        better = near < first
-        second = np.minimum(np.minimum(second, other), np.where(better, first, near))
-        best[better], first = k[better] + at, np.minimum(first, near)
-    return best, first, second
+def block_distances(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the nearest centroid of one block and the two smallest squared distances; inf where there is no second."""
+    d = np.maximum((x**2).sum(axis=1)[:, None] + (c**2).sum(axis=1)[None, :] - 2.0 * (x @ c.T), 0.0)
+    k, rows = d.argmin(axis=1), np.arange(len(x))
+    near = d[rows, k]
+    d[rows, k] = np.inf
+    return k, near, d.min(axis=1)
+
+
+def nearest_two(cells: DataFrame, key: str, vector: str, centroids: DataFrame) -> DataFrame:
+    """(key, label, first, second): nearest label of each cell and its two smallest squared distances.
+
+    Batches of cells, a row each, meet blocks of the centroid table, a row each:
+    Spark joins them by block and sends the smaller side round. What a block has
+    found is merged by a grouped aggregate, so neither side is ever in one place
+    and any number of labels goes.
+    """
+    blocks = max(1, -(-centroids.count() // LABEL_BLOCK))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, CELL_BLOCK):
+                part = batch.slice(at, CELL_BLOCK)
+                lists = part.column(1)
+                flat = lists.flatten().cast(pa.float64())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.ListArray.from_arrays([0, part.num_rows], part.column(0)), pa.ListArray.from_arrays([0, len(flat)], flat)],
+                    names=["cells", "vectors"],
+                )
+
+    packs = cells.select(F.col(key).cast("long").alias("k"), F.col(vector).alias("v")).mapInArrow(pack, "cells array<long>, vectors array<double>")
+    packs = packs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    pairs = packs.join(label_blocks(centroids, blocks), "block").select("cells", "vectors", "labels", "centroids")
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, x, labels, c = (column[i].values for column in batch.columns)
+                x, c = x.to_numpy().reshape(len(ids), -1), c.to_numpy().reshape(len(labels), -1)
+                k, first, second = block_distances(x, c)
+                yield pa.RecordBatch.from_arrays([ids, labels.take(pa.array(k)), pa.array(first), pa.array(second)], names=["k", "label", "first", "second"])
+
+    found = pairs.mapInArrow(measure, "k long, label string, first double, second double")
+    # the second smallest of all: the best block's second, or another block's first
+    two = F.array_sort(F.flatten(F.collect_list(F.array("first", "second"))))
+    merged = found.groupBy("k").agg(F.min(F.struct("first", "label")).alias("_best"), two.alias("_two"))
+    return merged.select(F.col("k").alias(key), F.col("_best.label").alias("label"), F.col("_best.first").alias("first"), F.get("_two", F.lit(1)).alias("second"))
 
 
 def transfer_labels(
@@ -236,10 +285,11 @@ def transfer_labels(
 
     Confidence is 1 - d1 / max(d2, 1e-6) on squared distances, 1 with one label.
     Equal distances go to the label that sorts first. Only cells without a label
-    of their own are compared. The centroid table, one row per label, goes to every task, where cells and
-    labels meet block by block, so the distances in memory stay bounded.
+    of their own are compared, and nothing is collected.
     """
     centroids = materialize(label_centroids(cells, vector, label, confidence))
+    if centroids.isEmpty():
+        raise ValueError("no labelled cell to transfer from")
     own = F.col(label).isNotNull()
     labelled = cells.where(own).withColumns(
         {
@@ -248,34 +298,88 @@ def transfer_labels(
             "transfer_method": F.lit("direct_subset_scANVI"),
         }
     )
-    # one row per label
-    rows = centroids.select(F.col("label").cast("string").alias("label"), "centroid").orderBy("label").collect()
-    if not rows:
-        raise ValueError("no labelled cell to transfer from")
-    names = np.array([r["label"] for r in rows], dtype=object)
-    matrix = np.array([r["centroid"] for r in rows], dtype=np.float64)
-    shared = cells.sparkSession.sparkContext.broadcast((names, matrix, (matrix**2).sum(axis=1)))
-
-    @F.pandas_udf("near_label string, near_confidence double")
-    def nearest(vectors: pd.Series) -> pd.DataFrame:
-        labels, c, c2 = shared.value
-        if len(vectors) == 0:
-            return pd.DataFrame({"near_label": [], "near_confidence": []})
-        x = np.stack(vectors.to_numpy()).astype(np.float64)
-        best, conf = np.zeros(len(x), np.int64), np.ones(len(x))
-        for at in range(0, len(x), CELL_BLOCK):
-            part = x[at : at + CELL_BLOCK]
-            best[at : at + CELL_BLOCK], first, second = nearest_two(part, c, c2)
-            if len(c) > 1:
-                conf[at : at + CELL_BLOCK] = 1.0 - first / np.maximum(second, 1e-6)
-        return pd.DataFrame({"near_label": labels[best], "near_confidence": conf})
-
-    near = cells.where(~own).withColumn("_near", nearest(F.col(vector)))
-    near = near.withColumns(
-        {
-            "assigned_label": F.col("_near.near_label"),
-            "assigned_confidence": F.col("_near.near_confidence"),
-            "transfer_method": F.lit("latent_centroid_transfer"),
-        }
-    ).drop("_near")
-    return labelled.unionByName(near)
+    # numbered on the way into a table, so that the numbers stay
+    open_ = materialize(cells.where(~own).withColumn("_cell", F.monotonically_increasing_id()))
+    near = nearest_two(open_, "_cell", vector, centroids).select("_cell", F.col("label").alias("_label"), "first", "second")
+    sure = F.when(F.col("second") == F.lit(float("inf")), 1.0).otherwise(1.0 - F.col("first") / F.greatest(F.col("second"), F.lit(1e-6)))
+    near = open_.join(near, "_cell").withColumns(
+        {"assigned_label": F.col("_label"), "assigned_confidence": sure, "transfer_method": F.lit("latent_centroid_transfer")}
+    )
+    return labelled.unionByName(near.drop("_cell", "_label", "first", "second"))
+
+
+def nearest_neighbours(cells: DataFrame, key: str, vector: str, k: int = 15) -> DataFrame:
+    """(key, neighbour, rank, distance): the ``k`` nearest other cells of each by Euclidean distance, exactly; ties to the smaller key.
+
+    Blocks of cells meet blocks of cells, each pair of blocks in one row; a row
+    hands on its ``k`` best per cell only, and a grouped aggregate takes the best
+    of those. The work is that of all distances, so it is for cohorts whose
+    square the cluster affords; memory and shuffle stay bounded by ``k`` per cell
+    and block.
+    """
+    rows = cells.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, CELL_BLOCK):
+                part = batch.slice(at, CELL_BLOCK)
+                flat = part.column(1).flatten()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.ListArray.from_arrays([0, part.num_rows], part.column(0)), pa.ListArray.from_arrays([0, len(flat)], flat)], names=["cells", "vectors"]
+                )
+
+    packs = rows.mapInArrow(pack, "cells array<long>, vectors array<double>")
+    packs = materialize(packs.withColumn("_id", F.monotonically_increasing_id()))
+    # one small row per block to number them
+    numbers = materialize(packs.select("_id", (F.row_number().over(Window.orderBy("_id")) - 1).alias("block")))
+    packs, n = packs.join(numbers, "_id").drop("_id"), numbers.count()
+    # the stated query set, all cells, against all cells, in blocks
+    asked = packs.select("cells", "vectors", F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("other"))
+    pairs = asked.join(packs.select(F.col("block").alias("other"), F.col("cells").alias("cells2"), F.col("vectors").alias("vectors2")), "other").drop("other")
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                a, x, b, y = (column[i].values.to_numpy() for column in batch.columns)
+                x, y = x.reshape(len(a), -1), y.reshape(len(b), -1)
+                order = np.argsort(b, kind="stable")
+                b, y = b[order], y[order]
+                best: list[tuple] = []
+                for at in range(0, len(a), 256):
+                    d = ((x[at : at + 256, None, :] - y[None, :, :]) ** 2).sum(axis=2)
+                    d[a[at : at + 256, None] == b[None, :]] = np.inf
+                    n = min(k, len(b))
+                    near = np.argsort(d, axis=1, kind="stable")[:, :n]
+                    best.append((np.repeat(a[at : at + 256], n), b[near].ravel(), np.take_along_axis(d, near, 1).ravel()))
+                own, other, far = (np.concatenate(c) for c in zip(*best))
+                keep = np.isfinite(far)
+                yield pa.RecordBatch.from_arrays([pa.array(own[keep]), pa.array(other[keep]), pa.array(np.sqrt(far[keep]))], names=["k", "other", "distance"])
+
+    found = pairs.mapInArrow(measure, "k long, other long, distance double")
+    w = Window.partitionBy("k").orderBy("distance", "other")
+    top = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return top.select(F.col("k").alias(key), F.col("other").alias("neighbour"), "rank", "distance")
+
+
+def neighbour_communities(neighbours: DataFrame, key: str, rounds: int = 10) -> DataFrame:
+    """(key, community): label propagation on the neighbour graph, both directions of every link.
+
+    Every cell begins with its own key. In each round it takes the label that most
+    of its neighbours have, ties to the smallest; it keeps its own among equals. Rounds end
+    early once nothing changes. The community is named by the smallest key that
+    ends up in it.
+    """
+    links = neighbours.select(F.col(key).alias("u"), F.col("neighbour").alias("v"))
+    links = materialize(links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    labels = materialize(links.select("u").distinct().select(F.col("u").alias("node"), F.col("u").alias("label")))
+    for _ in range(rounds):
+        votes = links.join(labels.withColumnRenamed("node", "v"), "v").groupBy("u", "label").agg(F.count(F.lit(1)).alias("n"))
+        votes = votes.join(labels.select(F.col("node").alias("u"), F.col("label").alias("now")), "u")
+        order = F.struct((-F.col("n")).alias("n"), (F.col("label") != F.col("now")).alias("other"), F.col("label").alias("label"))
+        best = votes.groupBy("u").agg(F.min(order).alias("best"), F.first("now").alias("now"))
+        new = materialize(best.select(F.col("u").alias("node"), F.col("best.label").alias("label"), (F.col("best.label") != F.col("now")).alias("changed")))
+        labels = new.select("node", "label")
+        if new.where("changed").isEmpty():
+            break
+    names = labels.groupBy("label").agg(F.min("node").alias("community"))
+    return labels.join(names, "label").select(F.col("node").alias(key), "community")

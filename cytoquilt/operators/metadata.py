@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cytoquilt.functions.columns import quote
 from cytoquilt.functions.text import blank_to_null, clean_intake, prefer
-from cytoquilt.operators.validate import require_matched, require_unique
+from cytoquilt.operators.validate import require_one_to_one, require_unique
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
@@ -52,9 +52,7 @@ def join_one_to_one(
     ``fill`` maps a metadata column to the cell column used where it is blank.
     """
     if check:
-        require_unique(obs, keys, "cells")
-        require_unique(metadata, keys, "metadata")
-        require_matched(obs, metadata, keys, "cells")
+        require_one_to_one(obs, metadata, keys, "cells", "metadata")
     clash = [c for c in metadata.columns if c in obs.columns and c not in keys]
     meta = metadata.select(*[F.col(quote(c)).alias(f"{c}_meta" if c in clash else c) for c in metadata.columns])
     out = obs.join(meta, list(keys), "left")
@@ -148,6 +146,11 @@ def replace_columns(obs: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return obs.drop(*cols).join(new, key, "left")
 
 
+def with_metadata(df: DataFrame, metadata: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose keys the metadata table has; no row is multiplied, columns stay."""
+    return df.join(metadata.select(*[F.col(quote(k)) for k in keys]), list(keys), "left_semi")
+
+
 def carve_out(df: DataFrame, key: str, names: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(rest, side table) by a list of dataset names."""
     listed = F.coalesce(F.col(key).isin(*names), F.lit(False))

@@ -9,7 +9,7 @@ are ordered by a task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,6 +70,71 @@ def grouped_row_number(
     )
 
 
+ABOVE_ALL = "g"  # sorts behind every hex digest
+
+
+def hash_cuts(digests: DataFrame, keys: Sequence[str], digest: str, targets: DataFrame) -> DataFrame:
+    """(keys, ``_cut``, ``_ties``, ``_spare``) for every group of ``targets`` (keys, ``_want``) that has rows and a positive target.
+
+    The ``_want`` rows of lowest digest are those below ``_cut`` and ``_ties`` of
+    those at it; ``_spare`` more at it stay out, which only happens where rows
+    repeat their ids. A histogram over digest prefixes finds the bucket of the cut,
+    and only that bucket's rows are ordered.
+    """
+    keys = list(keys)
+    work = digests.select(*keys, F.col(digest).alias("_digest"), hash_bucket(F.col(digest)).alias("_bucket"))
+    sizes = work.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    along = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sizes = sizes.withColumns({"_before": F.sum("_n").over(along) - F.col("_n"), "_total": F.sum("_n").over(Window.partitionBy(*keys))})
+    asked = sizes.join(targets.select(*keys, F.col("_want").cast("long").alias("_want")).where("_want > 0"), keys)
+    asked = materialize(asked.where("(_want >= _total and _before = 0) or (_want < _total and _before < _want and _want <= _before + _n)"))
+    whole = asked.where("_want >= _total")
+    whole = whole.select(*keys, F.lit(ABOVE_ALL).alias("_cut"), F.lit(0).cast("long").alias("_ties"), F.lit(0).cast("long").alias("_spare"))
+    part = asked.where("_want < _total").select(*keys, "_bucket", (F.col("_want") - F.col("_before")).alias("_k"))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy("_digest")
+    rows = sized_join(work, part, [*keys, "_bucket"]).withColumns(
+        {"_row": F.row_number().over(inside), "_first": F.rank().over(inside), "_same": F.count(F.lit(1)).over(Window.partitionBy(*keys, "_bucket", "_digest"))}
+    )
+    ties = (F.col("_k") - F.col("_first") + 1).cast("long")
+    cut = rows.where("_row = _k").select(*keys, F.col("_digest").alias("_cut"), ties.alias("_ties"), (F.col("_same") - ties).alias("_spare"))
+    return whole.unionByName(cut)
+
+
+def below_cuts(df: DataFrame, keys: Sequence[str], id_cols: Sequence[str], digest: str, cuts: DataFrame, spare: bool) -> DataFrame:
+    """Rows of ``df`` that :func:`hash_cuts` lets stay: one filter, and where ``spare`` says that ids repeat, a number within equal digests."""
+    own = df.columns
+    kept = sized_join(df, cuts, list(keys)).where(F.col(digest) <= F.col("_cut"))
+    if spare:
+        same = Window.partitionBy(*keys, digest).orderBy(*id_cols)
+        kept = kept.withColumn("_row", F.row_number().over(same)).where((F.col(digest) < F.col("_cut")) | (F.col("_row") <= F.col("_ties")))
+    return kept.select(*own)
+
+
+def draw_lowest(
+    df: DataFrame, id_cols: Sequence[str], steps: Sequence[tuple[Sequence[str], int | str, Callable[[DataFrame], DataFrame]]]
+) -> DataFrame:
+    """Rows of lowest seeded hash, in one or more steps, each drawing from what the step before has left.
+
+    A step is (keys, seed, targets): ``targets`` gets the sizes of the groups it
+    finds (keys, ``_size``) and gives (keys, ``_want``). Digests are written once
+    with their keys and all steps are worked out on them, so ``df`` is evaluated
+    twice whatever the steps: for the digests and for the rows.
+    """
+    steps = [([*keys] or ["_all"], seed, targets) for keys, seed, targets in steps]
+    named = {f"_digest{i}": seeded_hash(id_cols, seed) for i, (_, seed, _) in enumerate(steps)}
+    one_group = {"_all": F.lit(0)} if any(keys == ["_all"] for keys, _, _ in steps) else {}
+    rows = df.withColumns({**one_group, **named})
+    group_columns = list(dict.fromkeys(k for keys, _, _ in steps for k in keys))
+    left = materialize(rows.select(*dict.fromkeys([*group_columns, *id_cols, *named])))
+    for i, (keys, _, targets) in enumerate(steps):
+        sizes = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+        cuts = materialize(hash_cuts(left, keys, f"_digest{i}", targets(sizes)))
+        spare = not cuts.where("_spare > 0").isEmpty()
+        left = below_cuts(left, keys, id_cols, f"_digest{i}", cuts, spare)
+        rows = below_cuts(rows, keys, id_cols, f"_digest{i}", cuts, spare)
+    return rows.select(*df.columns)
+
+
 def take_lowest_hash(
     df: DataFrame,
     keys: Sequence[str],
@@ -79,33 +144,10 @@ def take_lowest_hash(
 ) -> DataFrame:
     """Keep, per group, the ``target`` rows with the lowest seeded hash.
 
-    ``target`` is a column holding the wanted size of the row's group. Buckets
-    wholly below the cut are kept by a filter, buckets above it are dropped
-    before any shuffle, and only the one bucket that straddles the cut is
-    ordered.
+    ``target`` is a column holding the wanted size of the row's group.
     """
-    digest = seeded_hash(id_cols, seed)
-    work = df.withColumn("_digest", digest).withColumn("_bucket", hash_bucket(F.col("_digest")))
-    sizes = work.groupBy(*keys, "_bucket").agg(
-        F.count(F.lit(1)).alias("_n"), F.max(target).alias("_target")
-    )
-    w = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    takes = (
-        sizes.withColumn("_before", F.sum("_n").over(w) - F.col("_n"))
-        .withColumn("_take", F.least(F.col("_n"), F.col("_target") - F.col("_before")))
-        .where("_take > 0")
-        .select(*keys, "_bucket", "_take", (F.col("_take") == F.col("_n")).alias("_all"))
-    )
-    marked = sized_join(work, takes, [*keys, "_bucket"], "inner", computed=True)
-    whole = marked.where("_all")
-    inside = Window.partitionBy(*keys, "_bucket").orderBy("_digest", *id_cols)
-    cut = (
-        marked.where("not _all")
-        .withColumn("_rank", F.row_number().over(inside))
-        .where("_rank <= _take")
-        .drop("_rank")
-    )
-    return whole.unionByName(cut).drop("_digest", "_bucket", "_take", "_all")
+    wanted = df.groupBy(*keys).agg(F.max(target).alias("_want")) if keys else df.agg(F.max(target).alias("_want")).withColumn("_all", F.lit(0))
+    return draw_lowest(df, id_cols, [(keys, seed, lambda sizes: wanted)])
 
 
 def distributed_min_rank(df: DataFrame, value: str, name: str) -> DataFrame:

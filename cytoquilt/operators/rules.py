@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cytoquilt.functions.columns import quote
 from cytoquilt.functions.text import clean, contains_any, match_text, match_text_tissue
+from cytoquilt.operators.containment import contained_pairs
 from cytoquilt.operators.joining import sized_join
 from cytoquilt.session import materialize
 
@@ -189,9 +190,9 @@ def resolve_bundles(
 ) -> DataFrame:
     """Bundle of each distinct (gse_id, value): by accession, exact title, contained title.
 
-    The contained-title fallback walks the titles of the value's own dataset in
-    file order and takes the first hit. The titles of a dataset travel as one
-    ordered array, so no pairs of values and titles are made.
+    The contained-title fallback takes, of the titles of the value's own dataset
+    that contain it or that it contains, the first in file order. Both directions
+    are found by n-grams (``contained_pairs``), and only for values without another answer.
     """
     distinct = values.select("gse_id", clean("value").alias("value")).where("value <> ''").distinct()
     distinct = distinct.withColumns(
@@ -208,20 +209,16 @@ def resolve_bundles(
     )
     titles = series_titles(bundles, normalizer)
     by_title = titles.select("gse_id", F.col("title").alias("_norm"), F.col("bundle").alias("_by_title"))
-    ordered = titles.groupBy("gse_id").agg(
-        F.array_sort(F.collect_list(F.struct("title_pos", "title", "bundle"))).alias("_titles")
-    )
     out = sized_join(distinct, by_gsm, ["gse_id", "_gsm"], "left")
-    out = sized_join(out, by_title, ["gse_id", "_norm"], "left")
-    out = sized_join(out, ordered, ["gse_id"], "left")
-    n = F.col("_norm")
-    hits = F.filter(
-        "_titles", lambda t: (n != "") & (F.contains(t["title"], n) | F.contains(n, t["title"]))
-    )
-    return out.select(
-        "gse_id",
-        "value",
-        F.coalesce("_by_gsm", "_by_title", F.get(hits, F.lit(0))["bundle"], F.lit("")).alias("bundle"),
+    out = materialize(sized_join(out, by_title, ["gse_id", "_norm"], "left"))
+    titles = materialize(titles)
+    open_ = out.where("_by_gsm is null and _by_title is null and _norm <> ''").select("gse_id", "_norm").distinct()
+    inside = contained_pairs(open_, titles, ["gse_id"], "_norm", "title")
+    around = contained_pairs(titles, open_, ["gse_id"], "title", "_norm")
+    hits = inside.unionByName(around).join(titles, ["gse_id", "title"])
+    first = hits.groupBy("gse_id", "_norm").agg(F.min_by("bundle", F.struct("title_pos", "title")).alias("_by_part"))
+    return sized_join(out, first, ["gse_id", "_norm"], "left").select(
+        "gse_id", "value", F.coalesce("_by_gsm", "_by_title", "_by_part", F.lit("")).alias("bundle")
     )
 
 

@@ -7,19 +7,28 @@ random generator's.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cytoquilt.operators.joining import sized_join
-from cytoquilt.operators.ordering import grouped_row_number, seeded_hash, take_lowest_hash
+from cytoquilt.operators.ordering import draw_lowest, grouped_row_number, seeded_hash
 from cytoquilt.session import materialize
 
 
+def wanted(n: int) -> Callable[[DataFrame], DataFrame]:
+    """The same target for every group."""
+    return lambda sizes: sizes.withColumn("_want", F.lit(n))
+
+
 def fixed_sample(df: DataFrame, n: int, id_cols: Sequence[str], seed: int | str = 1) -> DataFrame:
     """``n`` rows of the whole table (all rows where it has fewer)."""
-    return take_lowest_hash(df.withColumn("_want", F.lit(n)), [], id_cols, seed, "_want").drop("_want")
+    return draw_lowest(df, id_cols, [([], seed, wanted(n))])
+
+
+def nested_sample(df: DataFrame, sizes: Sequence[tuple[int, int | str]], id_cols: Sequence[str]) -> DataFrame:
+    """A sample of a sample, and so on: (rows, seed) of each step; the input is evaluated twice however many there are."""
+    return draw_lowest(df, id_cols, [([], seed, wanted(n)) for n, seed in sizes])
 
 
 def per_group_sample(df: DataFrame, by: Sequence[str], n: int, id_cols: Sequence[str], seed: int | str = 42) -> DataFrame:
@@ -32,33 +41,31 @@ def per_group_sample(df: DataFrame, by: Sequence[str], n: int, id_cols: Sequence
     if n < 1000:
         w = Window.partitionBy(*by).orderBy(seeded_hash(id_cols, seed), *id_cols)
         return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
-    return take_lowest_hash(df.withColumn("_want", F.lit(n)), by, id_cols, seed, "_want").drop("_want")
-
-
-def _with_targets(df: DataFrame, targets: DataFrame, by: Sequence[str]) -> DataFrame:
-    return sized_join(df, targets.select(*by, "_want"), list(by), computed=True)
+    return draw_lowest(df, id_cols, [(by, seed, wanted(n))])
 
 
 def floor_sample(
     df: DataFrame, by: str, n: int, id_cols: Sequence[str], seed: int = 1, floor: int = 500
 ) -> DataFrame:
     """Proportional per cluster but at least ``floor`` each, then capped at ``n``."""
-    sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias("_size"))
-    total = df.select(F.count(F.lit(1))).scalar()
-    goal = F.least(F.lit(n), total)
-    want = F.least(F.col("_size"), F.greatest(F.lit(floor), F.rint(goal * (F.col("_size") / total)))).cast("long")
-    drawn = take_lowest_hash(_with_targets(df, sizes.withColumn("_want", want), [by]), [by], id_cols, seed, "_want")
-    return fixed_sample(drawn.drop("_want"), n, id_cols, seed + 1)
+
+    def targets(sizes: DataFrame) -> DataFrame:
+        total = sizes.select(F.sum("_size")).scalar()
+        share = F.rint(F.least(F.lit(n), total) * (F.col("_size") / total))
+        return sizes.withColumn("_want", F.least(F.col("_size"), F.greatest(F.lit(floor), share)).cast("long"))
+
+    return draw_lowest(df, id_cols, [([by], seed, targets), ([], seed + 1, wanted(n))])
 
 
 def proportional_sample(df: DataFrame, by: str, n: int, id_cols: Sequence[str], seed: int = 0) -> DataFrame:
     """Proportional per dataset, at least one row each, capped at ``n``."""
-    sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias("_size"))
-    total = df.select(F.count(F.lit(1))).scalar()
-    share = F.greatest(F.lit(1), F.floor(F.lit(n) * (F.col("_size") / total)))
-    want = F.when(total <= n, F.col("_size")).otherwise(F.least(F.col("_size"), share)).cast("long")
-    drawn = take_lowest_hash(_with_targets(df, sizes.withColumn("_want", want), [by]), [by], id_cols, seed, "_want")
-    return fixed_sample(drawn.drop("_want"), n, id_cols, seed + 1)
+
+    def targets(sizes: DataFrame) -> DataFrame:
+        total = sizes.select(F.sum("_size")).scalar()
+        share = F.greatest(F.lit(1), F.floor(F.lit(n) * (F.col("_size") / total)))
+        return sizes.withColumn("_want", F.when(total <= n, F.col("_size")).otherwise(F.least(F.col("_size"), share)).cast("long"))
+
+    return draw_lowest(df, id_cols, [([by], seed, targets), ([], seed + 1, wanted(n))])
 
 
 def strata_targets(df: DataFrame, by: Sequence[str], n: int, per_stratum: int = 2000) -> DataFrame:
@@ -68,7 +75,12 @@ def strata_targets(df: DataFrame, by: Sequence[str], n: int, per_stratum: int =
     largest strata that have more than one.
     """
     by = list(by)
-    sizes = materialize(df.groupBy(*by).agg(F.count(F.lit(1)).alias("cells")))
+    return targets_of(df.groupBy(*by).agg(F.count(F.lit(1)).alias("cells")), by, n, per_stratum)
+
+
+def targets_of(sizes: DataFrame, by: Sequence[str], n: int, per_stratum: int) -> DataFrame:
+    """The allocation from the strata's sizes alone (``by``, ``cells``)."""
+    sizes = materialize(sizes)
     total = sizes.select(F.sum("cells")).scalar()
     share = F.floor(F.lit(n) * F.col("cells") / total)
     first = F.least(F.col("cells"), F.greatest(F.lit(1), F.least(F.lit(per_stratum), share)))
@@ -91,8 +103,11 @@ def strata_sample(
     df: DataFrame, by: Sequence[str], n: int, id_cols: Sequence[str], seed: int = 0, per_stratum: int = 2000
 ) -> DataFrame:
     """Rows drawn by :func:`strata_targets`."""
-    targets = strata_targets(df, by, n, per_stratum).withColumnRenamed("target_cells", "_want")
-    return take_lowest_hash(_with_targets(df, targets, by), by, id_cols, seed, "_want").drop("_want")
+
+    def targets(sizes: DataFrame) -> DataFrame:
+        return targets_of(sizes.withColumnRenamed("_size", "cells"), list(by), n, per_stratum).withColumnRenamed("target_cells", "_want")
+
+    return draw_lowest(df, id_cols, [(by, seed, targets)])
 
 
 def systematic_sample(df: DataFrame, every: int, chunk: int, position: str) -> DataFrame:

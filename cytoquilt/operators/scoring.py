@@ -13,7 +13,7 @@ from cytoquilt.operators.joining import sized_join
 from cytoquilt.operators.matrix import CELL
 from cytoquilt.operators.ordering import distributed_min_rank, seeded_hash
 from cytoquilt.operators.quantiles import grouped_quantiles
-from cytoquilt.session import materialize
+from cytoquilt.session import materialize, materialize_bucketed
 
 SCORES = ("tra", "trb", "trab", "trd")
 
@@ -41,10 +41,24 @@ def require_modules(modules: DataFrame, names: Sequence[str]) -> None:
         raise ValueError(f"modules without genes: {empty}")
 
 
-def gene_means(counts: DataFrame, totals: DataFrame, var: DataFrame, n_cells, cell: Sequence[str] = CELL) -> DataFrame:
-    """Mean normalised expression of every gene over all cells, zeros included."""
-    rows = counts.join(totals.select(*cell, "total"), list(cell))
-    sums = rows.groupBy("gene").agg(F.sum(log1p_norm("count", "total", TARGET_SUM)).alias("_s"))
+def normalized_store(counts: DataFrame, cell: Sequence[str] = CELL, buckets: int | None = None) -> DataFrame:
+    """(cell, gene, value): normalised counts, written once and bucketed by cell.
+
+    The one shuffle of the count rows: totals come from a window on the way, and
+    means and scores read the table without another exchange of its rows.
+    """
+    total = F.sum("count").over(Window.partitionBy(*cell))
+    n = buckets or int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = counts.repartition(n, *cell).withColumn("_total", total)
+    return materialize_bucketed(rows.select(*cell, "gene", log1p_norm("count", "_total", TARGET_SUM).alias("value")), cell, n)
+
+
+def gene_means(store: DataFrame, var: DataFrame, n_cells) -> DataFrame:
+    """Mean normalised expression of every gene over all cells, zeros included.
+
+    ``store`` holds (gene, value) of stored pairs; sums are made in the task, so a row per task and gene is shuffled.
+    """
+    sums = store.groupBy("gene").agg(F.sum("value").alias("_s"))
     return var.select("gene").join(sums, "gene", "left").select(
         "gene", (F.coalesce(F.col("_s"), F.lit(0.0)) / n_cells).alias("mean_expr")
     )
@@ -102,19 +116,18 @@ def module_weights(modules: DataFrame, controls: DataFrame, names: Sequence[str]
 
 def module_scores(
     obs: DataFrame,
-    counts: DataFrame,
-    totals: DataFrame,
+    store: DataFrame,
     weights: DataFrame,
     names: Sequence[str] = SCORES,
     cell: Sequence[str] = CELL,
 ) -> DataFrame:
     """Score of every cell for every module: weighted sum over module and control genes.
 
-    The small weight table filters the counts before anything is shuffled.
+    ``store`` is that of :func:`normalized_store`. The small weight table filters
+    its rows where they are, and a cell's rows are in one bucket.
     """
-    rows = sized_join(counts, weights, ["gene"]).join(totals.select(*cell, "total"), list(cell))
-    v = log1p_norm("count", "total", TARGET_SUM)
-    scored = rows.groupBy(*cell).agg(*[F.sum(v * F.col(f"w_{m}")).alias(f"{m}_score") for m in names])
+    rows = sized_join(store, weights, ["gene"])
+    scored = rows.groupBy(*cell).agg(*[F.sum(F.col("value") * F.col(f"w_{m}")).alias(f"{m}_score") for m in names])
     out = obs.join(scored, list(cell), "left").fillna(0.0, subset=[f"{m}_score" for m in names])
     if {"trd", "trab"} <= set(names):
         out = out.withColumn("trd_minus_trab", F.col("trd_score") - F.col("trab_score"))
@@ -156,12 +169,12 @@ def score_cells(
     digits: int | None = None,
 ) -> DataFrame:
     """Gene means, control draw and module scores in sequence, scaled scores last."""
-    totals = counts.groupBy(*cell).agg(F.sum("count").alias("total"))
+    store = normalized_store(counts, cell)
     n_cells = obs.select(F.count(F.lit(1))).scalar()
-    binned = materialize(expression_bins(gene_means(counts, totals, var, n_cells, cell), bins, digits))
+    binned = materialize(expression_bins(gene_means(store, var, n_cells), bins, digits))
     modules = modules.where(F.col("module").isin(*names))
     weights = materialize(module_weights(modules, control_genes(binned, modules, control_size, seed), names))
-    return materialize(module_scores(obs, counts, totals, weights, names, cell))
+    return materialize(module_scores(obs, store, weights, names, cell))
 
 
 def score_summary(

@@ -29,6 +29,33 @@ def require_matched(left: DataFrame, right: DataFrame, keys: Sequence[str], what
         raise ValueError(f"unmatched {what}: {[tuple(r) for r in preview]}")
 
 
+def one_to_one_faults(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys that keep two tables from matching one to one: (keys, rows on the left, rows on the right, fault).
+
+    Both sides go through one grouping of their tagged keys, summed in the task
+    first: repeated keys on either side and left keys without a right row.
+    """
+    own = [F.col(quote(k)) for k in keys]
+    tagged = left.select(*own, F.lit(1).alias("_l"), F.lit(0).alias("_r")).union(right.select(*own, F.lit(0), F.lit(1)))
+    seen = tagged.groupBy(*own).agg(F.sum("_l").alias("left_n"), F.sum("_r").alias("right_n"))
+    none = F.lit(False)
+    for k in own:
+        none = none | k.isNull()
+    fault = (
+        F.when(F.col("left_n") > 1, "left repeated").when(F.col("right_n") > 1, "right repeated")
+        .when((F.col("left_n") > 0) & (none | (F.col("right_n") == 0)), "unmatched")
+    )
+    return seen.withColumn("fault", fault).where("fault is not null")
+
+
+def require_one_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str], left_name: str = "left", right_name: str = "right") -> None:
+    """Unique keys on both sides and a right row for every left one; shows up to 20 keys that break it."""
+    preview = one_to_one_faults(left, right, keys).limit(20).collect()
+    if preview:
+        shown = [tuple(r)[: len(keys)] + (r["fault"].replace("left", left_name).replace("right", right_name),) for r in preview]
+        raise ValueError(f"{left_name} and {right_name} do not match one to one on {list(keys)}: {shown}")
+
+
 def readback_report(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row: rows, rows with a blank key, surplus rows of repeated keys."""
     blank = F.lit(False)

@@ -5,10 +5,15 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Names of bucketed tables begin with this.
+BUCKETED = "cytoquilt_bucketed_"
+
+
 def build_session(app: str = "cytoquilt", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive planning on; cluster settings win over these."""
     builder = SparkSession.builder.appName(app)
@@ -57,8 +62,26 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_bucketed(df: DataFrame, keys: Sequence[str], buckets: int | None = None) -> DataFrame:
+    """Write ``df`` once as a table of the session's catalog in the shared folder, bucketed and sorted by ``keys``.
+
+    The rows are shuffled here and no more: grouping, windows and joins by the keys
+    find them where they are. ``buckets`` defaults to the session's shuffle partitions.
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"{BUCKETED}{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}"
+    # one task a bucket, so a bucket is one file
+    work = df.repartition(n, *keys)
+    work.write.format("parquet").bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def drop_materialized(spark: SparkSession) -> None:
-    """Remove what :func:`materialize` has written for this session, once no frame reads it any more."""
+    """Remove what the two functions above have written for this session, once no frame reads it any more."""
     from cytoquilt.sources.files import remove
 
+    for table in spark.catalog.listTables(pattern=f"{BUCKETED}*"):
+        spark.sql(f"DROP TABLE IF EXISTS {table.name}")
     remove(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cytoquilt.session import materialize
 from cytoquilt.sources.files import exists, remove, rename
 
+
 def write_report(df: DataFrame, path: str, order: Sequence[str | Column], one_file: bool = True) -> None:
     """Sorted CSV with a header: one file, or a sorted set of files for what is no summary."""
     ordered = df.orderBy(*order)
@@ -50,9 +53,28 @@ def backup_once(spark: SparkSession, path: str, backup: str) -> bool:
     return True
 
 
-def write_by_dataset(df: DataFrame, path: str, dataset: str = "gse_id") -> None:
-    """All datasets in one write, one folder each, files of bounded size."""
-    df.write.mode("overwrite").option("maxRecordsPerFile", 50_000_000).partitionBy(dataset).parquet(path)
+def write_by_dataset(df: DataFrame, path: str, dataset: str = "gse_id") -> DataFrame:
+    """All datasets in one write, one folder each, files of bounded size; gives one row per dataset written.
+
+    A dataset that comes again replaces its own folder and leaves the others. Each
+    write is recorded beside the data, in ``<path>.commits``: dataset, rows, and
+    the write's id and time, which ``dataset_commits`` reads.
+    """
+    write_id = uuid.uuid4().hex
+    seen = df.groupBy(F.col(dataset).cast("string").alias("dataset")).agg(F.count(F.lit(1)).alias("rows"))
+    stamped = materialize(seen.select("dataset", "rows", F.lit(write_id).alias("write_id"), F.current_timestamp().alias("written")))
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", 50_000_000)
+    writer.partitionBy(dataset).parquet(path)
+    # only once the data are in place
+    stamped.write.mode("append").parquet(f"{path}.commits")
+    return stamped
+
+
+def dataset_commits(spark: SparkSession, path: str) -> DataFrame:
+    """The last write of every dataset under ``path``: dataset, rows, write_id, written."""
+    log = spark.read.parquet(f"{path}.commits")
+    last = log.groupBy("dataset").agg(F.max_by(F.struct("rows", "write_id", "written"), F.struct("written", "write_id")).alias("_last"))
+    return last.select("dataset", "_last.rows", "_last.write_id", "_last.written")
 
 
 def write_cell_bucketed(df: DataFrame, table: str, buckets: int, cell: str = "cell_id") -> None:

@@ -125,9 +125,9 @@ def label_changes(spark, d):
     return C.label_changes(s, C.legacy_labels(s)).select("leiden", "n_cells", "old_label", "new_label", "changed")
 
 
-@register("labelled_cells", with_ctes(SHARED, "SELECT cell_id, coalesce(CASE WHEN n_cells >= 8 THEN label END, 'other') AS label FROM cl LEFT JOIN lb USING (leiden)", LABEL_CTES))
+@register("labelled_cells", with_ctes(SHARED, "SELECT cell_id, coalesce(label, 'other') AS label FROM cl LEFT JOIN lb USING (leiden)", LABEL_CTES))
 def labelled_cells(spark, d):
-    return C.label_cells(cells(spark, d), labelled(spark, d).where("n_cells >= 8")).select("cell_id", "label")
+    return C.label_cells(cells(spark, d), labelled(spark, d)).select("cell_id", "label")
 
 
 @register(
@@ -283,6 +283,43 @@ def label_centroids(spark, d):
     return rounded(long.withColumn("dim", (F.col("dim") + 1).cast("long")), "value")
 
 
+NEIGHBOUR_CTES = {
+    "em": "SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings",
+    "ds": "SELECT a.vec_id, b.vec_id AS neighbour, list_distance(a.v, b.v) AS distance FROM em a JOIN em b ON a.vec_id <> b.vec_id",
+    "nn": "SELECT vec_id, neighbour, distance, row_number() OVER (PARTITION BY vec_id ORDER BY round(distance, 9), neighbour) AS rank FROM ds QUALIFY rank <= 15",
+}
+
+
+def neighbours(spark, d):
+    return C.nearest_neighbours(b.table(spark, d, "embeddings"), "vec_id", "embedding", 15)
+
+
+@register("nearest_cells", with_ctes([], f"SELECT vec_id, neighbour, rank::INTEGER AS rank, {s6('distance')} AS distance FROM nn", NEIGHBOUR_CTES))
+def nearest_cells(spark, d):
+    return rounded(neighbours(spark, d), "distance")
+
+
+ROUNDS = 4
+
+
+def _community_ctes():
+    out = {"lk": "SELECT DISTINCT u, v FROM (SELECT vec_id AS u, neighbour AS v FROM nn UNION ALL SELECT neighbour, vec_id FROM nn)", "l0": "SELECT DISTINCT u AS node, u AS label FROM lk"}
+    for k in range(ROUNDS):
+        out[f"v{k}"] = f"SELECT lk.u, l.label, count(*) AS n FROM lk JOIN l{k} l ON l.node = lk.v GROUP BY 1, 2"
+        out[f"l{k + 1}"] = (
+            f"SELECT v.u AS node, arg_min(v.label, (-v.n, v.label <> o.label, v.label)) AS label FROM v{k} v JOIN l{k} o ON o.node = v.u GROUP BY 1"
+        )
+    return out
+
+
+@register(
+    "neighbour_communities",
+    with_ctes([], f"SELECT node AS vec_id, min(node) OVER (PARTITION BY label) AS community FROM l{ROUNDS}", {**NEIGHBOUR_CTES, **_community_ctes()}),
+)
+def neighbour_communities(spark, d):
+    return C.neighbour_communities(neighbours(spark, d), "vec_id", ROUNDS)
+
+
 @register(
     "integration_summary",
     with_ctes(

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from cytoquilt.constants import NONCODING_CLONE, NONCODING_PREFIXES
 from cytoquilt.operators import embedding, hvg, quantiles
 from workload import base as b
-from workload.base import register, rounded, s6, with_ctes
+from workload.base import r6, register, rounded, s6, with_ctes
 
 NAME_SQL = """CASE WHEN type = 'PROMO' THEN 'mt-' || brand WHEN type = 'SMALL' THEN 'RPL' || size WHEN type = 'LARGE' AND size > 25 THEN 'AC0' || size
     WHEN type = 'LARGE' THEN 'Linc' || size WHEN type = 'MEDIUM' AND size > 40 THEN 'MRPS' || size ELSE symbol END"""
@@ -75,11 +75,74 @@ def variable_genes(spark, d):
     return hvg.select_variable_genes(b.counts(spark, d), b.obs(spark, d), named(spark, d), "tissue", 100, symbol="name")
 
 
-@register("latent_space")
-def latent_space(spark, d):
-    """No SQL: principal components of batch-centred vectors."""
+LATENT_CTES = {
+    "ex": "SELECT vec_id, label % 3 AS batch, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings",
+    "ce": "SELECT vec_id, batch, i, x - avg(x) OVER (PARTITION BY batch, i) AS x FROM ex",
+}
+
+
+def latent(spark, d, k):
     e = b.table(spark, d, "embeddings").withColumn("batch", F.pmod("label", F.lit(3)))
-    return embedding.latent_space(e, "embedding", 8, "batch").select("vec_id", F.size("latent").alias("dims"))
+    return embedding.latent_space(e, "embedding", k, "batch")
+
+
+@register("latent_space", with_ctes([], f"SELECT vec_id, {s6('sum(x * x)')} AS squared_norm, count(*) AS dims FROM ce GROUP BY 1", LATENT_CTES))
+def latent_space(spark, d):
+    """All components only turn the batch-centred vectors, so that each keeps its length."""
+    length = F.aggregate("latent", F.lit(0.0), lambda a, x: a + x * x)
+    return rounded(latent(spark, d, 64).select("vec_id", length.alias("squared_norm"), F.size("latent").cast("long").alias("dims")), "squared_norm")
+
+
+@register(
+    "latent_components",
+    with_ctes(
+        [],
+        f"""SELECT count(DISTINCT vec_id) AS cells, {s6('sum(x * x)')} AS total, 0::DOUBLE AS largest_batch_mean, 0::DOUBLE AS largest_covariance, TRUE AS ordered FROM ce""",
+        LATENT_CTES,
+    ),
+)
+def latent_components(spark, d):
+    """Components are uncorrelated, ordered by variance, centred in every batch, and carry the whole variance between them."""
+    from cytoquilt.session import materialize
+
+    rows = materialize(latent(spark, d, 64).select("vec_id", "batch", F.posexplode("latent").alias("i", "x")))
+    own = rows.groupBy("i").agg(F.sum(F.col("x") * F.col("x")).alias("s"))
+    means = rows.groupBy("batch", "i").agg(F.abs(F.avg("x")).alias("m"))
+    pairs = rows.join(rows.select("vec_id", F.col("i").alias("j"), F.col("x").alias("y")), "vec_id").where("i < j")
+    across = pairs.groupBy("i", "j").agg(F.abs(F.avg(F.col("x") * F.col("y"))).alias("c"))
+    falling = own.agg(F.array_sort(F.collect_list(F.struct("i", "s"))).alias("a"))
+    falling = falling.select(F.forall(F.sequence(F.lit(1), F.size("a") - 1), lambda k: F.get(F.col("a"), k - 1)["s"] >= F.get(F.col("a"), k)["s"] - 1e-9))
+    return rows.agg(
+        F.count_distinct("vec_id").alias("cells"), r6(F.sum(F.col("x") * F.col("x"))).alias("total"), r6(means.select(F.max("m")).scalar()).alias("largest_batch_mean"),
+        r6(across.select(F.max("c")).scalar()).alias("largest_covariance"), falling.scalar().alias("ordered"),
+    )
+
+
+DISPERSION_CTES = {
+    "tt": "SELECT cell_id, sum(count) AS total FROM counts GROUP BY 1",
+    "sc": "SELECT gene, count * 1e4 / total AS x FROM counts JOIN tt USING (cell_id)",
+    "mo": "SELECT gene, sum(x) / (SELECT count(*) FROM obs) AS mean, greatest((sum(x * x) - sum(x) * (sum(x) / (SELECT count(*) FROM obs))) / ((SELECT count(*) FROM obs) - 1), 0) AS variance FROM sc GROUP BY 1",
+    "dp": "SELECT gene, round(mean, 9) AS mean, round(variance, 9) / round(mean, 9) AS dispersion FROM mo WHERE round(mean, 9) > 0",
+    "ed": "SELECT list_sort(list_distinct(quantile_cont(mean, [" + ", ".join(str(i / 20) for i in range(1, 20)) + "]))) AS e FROM dp",
+    "bi": "SELECT gene, dispersion, len(list_filter(e, lambda x: x < mean)) AS bin FROM dp, ed",
+    "me": "SELECT *, abs(dispersion - median) AS away FROM (SELECT *, quantile_cont(dispersion, 0.5) OVER (PARTITION BY bin) AS median FROM bi)",
+    "ma": "SELECT *, quantile_cont(away, 0.5) OVER (PARTITION BY bin) AS mad FROM me",
+}
+
+
+@register(
+    "dispersion_ranks",
+    with_ctes(
+        ["counts", "obs"],
+        f"SELECT gene, bin::INTEGER AS bin, {s6('dispersion', 4)} AS dispersion, CASE WHEN mad > 0 THEN {s6(f'(dispersion - median) / (mad * {hvg.MAD_SCALE})', 4)} WHEN away = 0 THEN 0.0 END AS disp_norm FROM ma",
+        DISPERSION_CTES,
+    ),
+)
+def dispersion_ranks(spark, d):
+    """The ranking that takes over where no trend can be fitted."""
+    m = hvg.whole_moments(b.counts(spark, d), b.obs(spark, d))
+    out = hvg.normalized_dispersion(m.withColumns({"mean": F.round("mean", 9), "variance": F.round("variance", 9)}))
+    return rounded(out.select("gene", "bin", "dispersion", "disp_norm"), "dispersion", "disp_norm", digits=4)
 
 
 @register("embedding_clusters")
@@ -96,9 +159,3 @@ Q_SQL = "SELECT l_returnflag, " + ", ".join(f"{s6(f'quantile_cont(l_extendedpric
 @register("grouped_quantiles", Q_SQL)
 def grouped_quantiles(spark, d):
     return rounded(quantiles.grouped_quantiles(b.table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", QS), *QS)
-
-
-@register("grouped_quantiles_histogram_path", Q_SQL)
-def grouped_quantiles_histogram_path(spark, d):
-    out = quantiles.grouped_quantiles(b.table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", QS)
-    return rounded(out, *QS)

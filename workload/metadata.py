@@ -118,13 +118,16 @@ def keep_first_rows(spark, d):
 @register(
     "stacked_metadata",
     """SELECT id, name, src_priority FROM (SELECT id, name, src_priority, row_number() OVER (PARTITION BY id ORDER BY src_priority) AS rn FROM (
-      SELECT c_nationkey AS id, min(c_name) AS name, 0 AS src_priority FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY 1
-      UNION ALL SELECT s_nationkey, min(s_name), 1 FROM supplier GROUP BY 1)) WHERE rn = 1""",
+      SELECT c_custkey AS id, min(c_name) AS name, 0 AS src_priority FROM customer GROUP BY 1
+      UNION ALL SELECT s_suppkey * 3, min(s_name), 1 FROM supplier GROUP BY 1
+      UNION ALL SELECT o_orderkey, o_orderpriority, 2 FROM orders)) WHERE rn = 1""",
 )
 def stacked_metadata(spark, d):
-    c = b.table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").groupBy(F.col("c_nationkey").alias("id"))
-    s = b.table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("id"))
-    both = metadata.stack_sources([c.agg(F.min("c_name").alias("name")), s.agg(F.min("s_name").alias("name"))])
+    # keys of the three sources overlap in part: every customer, every third number, every order
+    c = b.table(spark, d, "customer").groupBy(F.col("c_custkey").alias("id"))
+    s = b.table(spark, d, "supplier").groupBy((F.col("s_suppkey") * 3).alias("id"))
+    o = b.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("name"))
+    both = metadata.stack_sources([c.agg(F.min("c_name").alias("name")), s.agg(F.min("s_name").alias("name")), o])
     return metadata.keep_first(both, ["id"], ["src_priority"])
 
 
@@ -180,11 +183,10 @@ def carved_out(spark, d):
 
 @register(
     "cells_with_metadata",
-    "SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) AND lang <> 'de'",
+    "SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)",
 )
 def cells_with_metadata(spark, d):
-    docs = b.table(spark, d, "documents").where("lang <> 'de'")
-    return docs.join(b.table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi").select("doc_id", "source")
+    return metadata.with_metadata(b.table(spark, d, "documents"), b.table(spark, d, "labels"), ["doc_id"]).select("doc_id", "source")
 
 
 @register("duplicate_keys", "SELECT l_orderkey, l_partkey, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
@@ -206,15 +208,15 @@ def readback_report(spark, d):
 
 @register(
     "axis_report",
-    """SELECT (SELECT count(*) FROM part) AS current_n, (SELECT count(*) FROM g) AS rebuilt_n,
-    (SELECT count(*) FROM part WHERE p_partkey NOT IN (SELECT k FROM g)) AS only_current, 0::BIGINT AS only_rebuilt, TRUE AS keys_unique,
-    (SELECT count(*) FROM part WHERE p_partkey NOT IN (SELECT k FROM g)) = 0 AS set_equal, (SELECT count(*) FROM part WHERE p_partkey NOT IN (SELECT k FROM g)) = 0 AS current_subset_of_rebuilt""".join(
-        ["WITH g AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_discount > 0.09) ", ""]
-    ),
+    """WITH a AS (SELECT c_custkey AS k FROM customer), g AS (SELECT DISTINCT o_custkey * 2 AS k FROM orders),
+    n AS (SELECT (SELECT count(*) FROM a) AS current_n, (SELECT count(*) FROM g) AS rebuilt_n,
+    (SELECT count(*) FROM a ANTI JOIN g USING (k)) AS only_current, (SELECT count(*) FROM g ANTI JOIN a USING (k)) AS only_rebuilt)
+    SELECT *, TRUE AS keys_unique, only_current = 0 AND only_rebuilt = 0 AS set_equal, only_current = 0 AS current_subset_of_rebuilt FROM n""",
 )
 def axis_report(spark, d):
-    a = b.table(spark, d, "part").select(F.col("p_partkey").alias("k"))
-    g = b.table(spark, d, "lineitem").where("l_discount > 0.09").select(F.col("l_partkey").alias("k")).distinct()
+    """Customers against doubled numbers of those who order: names on either side only."""
+    a = b.table(spark, d, "customer").select(F.col("c_custkey").alias("k"))
+    g = b.table(spark, d, "orders").select((F.col("o_custkey") * 2).alias("k")).distinct()
     return validate.axis_report(a, g, "k")
 
 
@@ -230,10 +232,10 @@ def one_sided_names(spark, d):
 @register(
     "reconciled_counts",
     """SELECT coalesce(a.k, b.k) AS k, coalesce(a.n, 0) AS expected_n, coalesce(b.n, 0) AS observed_n, coalesce(a.n, 0) = coalesce(b.n, 0) AS matches
-    FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_acctbal > 9900 GROUP BY 1) a
-    FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1) b ON a.k = b.k""",
+    FROM (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1) a
+    FULL JOIN (SELECT user_id AS k, count(*) AS n FROM events GROUP BY 1) b ON a.k = b.k""",
 )
 def reconciled_counts(spark, d):
-    a = b.table(spark, d, "customer").where("c_acctbal > 9900").groupBy(F.col("c_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("e"))
-    s = b.table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("o"))
+    a = b.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("e"))
+    s = b.table(spark, d, "events").groupBy(F.col("user_id").alias("k")).agg(F.count(F.lit(1)).alias("o"))
     return validate.reconcile_counts(a, s, "k", "e", "o")

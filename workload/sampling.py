@@ -25,8 +25,7 @@ def fixed_sample(spark, d):
     (SELECT *, row_number() OVER (ORDER BY {md5_order('o_orderkey', 1)}) AS rn FROM orders) WHERE rn <= 3000) WHERE r2 <= 800""",
 )
 def nested_sample(spark, d):
-    first = sampling.fixed_sample(b.table(spark, d, "orders").select("o_orderkey"), 3000, ["o_orderkey"], 1)
-    return sampling.fixed_sample(first, 800, ["o_orderkey"], 2)
+    return sampling.nested_sample(b.table(spark, d, "orders").select("o_orderkey"), [(3000, 1), (800, 2)], ["o_orderkey"])
 
 
 @register(

@@ -59,20 +59,15 @@ def modules(spark, d):
     return scoring.find_modules(b.var(spark, d), PATTERNS, symbol="symbol")
 
 
-def totals(c):
-    return c.groupBy("cell_id").agg(F.sum("count").alias("total"))
-
-
 def means(spark, d):
-    c = materialize(b.counts(spark, d))
     n = b.table(spark, d, "orders").select(F.count(F.lit(1))).scalar()
-    return scoring.gene_means(c, totals(c), b.var(spark, d), n)
+    return scoring.gene_means(scoring.normalized_store(b.counts(spark, d)), b.var(spark, d), n)
 
 
 def scores(spark, d):
     cells = b.obs(spark, d).select("cell_id", "gse_id", "leiden", "tissue")
     return scoring.score_cells(
-        cells, materialize(b.counts(spark, d)), b.var(spark, d), modules(spark, d), bins=BINS, control_size=SIZE, seed=SEED, digits=DIGITS
+        cells, b.counts(spark, d), b.var(spark, d), modules(spark, d), bins=BINS, control_size=SIZE, seed=SEED, digits=DIGITS
     )
 
 
@@ -135,13 +130,6 @@ def score_summary(spark, d):
     return rounded(scoring.score_summary(materialize(scaled_scores(spark, d)), RAW + SCALED), *STATS)
 
 
-@register("score_summary_histogram_path", _summary_sql())
-def score_summary_histogram_path(spark, d):
-    """The same table by the way that large groups take."""
-    out = scoring.score_summary(materialize(scaled_scores(spark, d)), RAW + SCALED)
-    return rounded(out, *STATS)
-
-
 def _by_sql(by):
     cols = [f"{s6(f'avg({c})')} AS {c}_mean" for c in RAW + SCALED]
     cols += [f"{s6(f'quantile_cont({c}, 0.5)')} AS {c}_median" for c in ("trd_minus_trab", "trd_minus_trab_scaled")]
