@@ -10,7 +10,6 @@ from pyspark.sql import types as T
 
 from cytoquilt.constants import (
     ANNOTATION_HINTS,
-    COUNTS_LAYER_PRIORITY,
     DONOR_HINTS,
     LIBRARY_HINTS,
     SAMPLE_HINTS,
@@ -41,13 +40,6 @@ def metadata_fields(columns: Iterable[str]) -> dict[str, str]:
     }
 
 
-def counts_layer(layers: Sequence[str]) -> str:
-    """The layer most likely to hold raw counts, '' where there is none."""
-    by_lower = {c.lower(): c for c in layers}
-    ranked = [by_lower[k] for k in COUNTS_LAYER_PRIORITY if k in by_lower]
-    return next(iter(ranked + [c for c in layers if "count" in c.lower()]), "")
-
-
 def require_columns(df: DataFrame, needed: Iterable[str]) -> DataFrame:
     missing = [c for c in needed if c not in df.columns]
     if missing:

@@ -37,7 +37,7 @@ def first_pass_decisions(cells: DataFrame) -> DataFrame:
             "remove_off_target": obvious,
             "remove_doublet": doublet,
             "remove": obvious | doublet,
-            "remove_reason": F.when(obvious, "obvious_off_target").when(doublet, "high_conf_doublet").otherwise("kept"),
+            "remove_reason": F.when(obvious, "obvious_non_tnk").when(doublet, "high_conf_doublet").otherwise("kept"),
         }
     )
 

@@ -18,6 +18,7 @@ from cytoquilt.functions.numbers import number_or_zero
 from cytoquilt.functions.text import blank_to_null, clean_intake, first_nonblank, is_truthy
 from cytoquilt.operators.metadata import keep_first
 from cytoquilt.operators.validate import require_unique
+from cytoquilt.session import materialize
 
 KEY = ("sample_id", "barcode_core")
 
@@ -138,8 +139,9 @@ def merge_receptors(obs: DataFrame, tcr: DataFrame, chains: Sequence[str] = ("TR
     Fails where ``tcr`` is not unique on its key, so that no cell is multiplied.
     Old receptor columns of the cells are replaced, not mixed.
     """
-    require_unique(tcr, list(KEY), "receptors")
     texts, numbers = text_columns(chains), number_columns(chains)
+    # read by the check and by the join
+    tcr = require_unique(materialize(tcr.select(*KEY, *texts, *numbers)), list(KEY), "receptors")
     base = obs.drop(*[c for c in texts + numbers + ["TCRseq", "barcode_core"] if c in obs.columns])
     base = base.withColumns({"barcode_core": barcode_core("barcode"), "sample_id": clean_intake("sample_id")})
     out = base.join(tcr.select(*KEY, *texts, *numbers), list(KEY), "left")

@@ -15,6 +15,7 @@ from cytoquilt.operators import audit as audit_ops
 from cytoquilt.operators import cleanup as clean_ops
 from cytoquilt.operators import clusters as cluster_ops
 from cytoquilt.operators import extract as extract_ops
+from cytoquilt.operators import hvg as hvg_ops
 from cytoquilt.operators import metadata as meta_ops
 from cytoquilt.operators import rules as rule_ops
 from cytoquilt.operators import scoring as score_ops
@@ -24,10 +25,14 @@ from cytoquilt.operators.alignment import (
     drop_noncoding,
     integer_report,
     rescue_counts,
+    stack_cells,
+    stack_counts,
 )
-from cytoquilt.operators.matrix import resolve_panel
-from cytoquilt.operators.sampling import per_group_sample, systematic_sample
-from cytoquilt.operators.validate import axis_report, require_unique
+from cytoquilt.operators.joining import sized_join
+from cytoquilt.operators.matrix import best_name_column, choose_counts, inverse_log_counts, resolve_panel, select_counts
+from cytoquilt.operators.sampling import per_group_sample, strata_sample, systematic_sample
+from cytoquilt.operators.validate import axis_report
+from cytoquilt.plans.intake import Repair, prepare_cells
 from cytoquilt.session import materialize
 
 
@@ -78,7 +83,7 @@ def cleanup_first(
 ) -> dict[str, DataFrame]:
     """Conservative pass on extraction scores, then the gene detection filter."""
     decided = materialize(clean_ops.first_pass_decisions(cells))
-    return _finish_cleanup(counts, decided, var, min_gene_cells, by, ("obvious_off_target", "high_conf_doublet"))
+    return _finish_cleanup(counts, decided, var, min_gene_cells, by, ("obvious_non_tnk", "high_conf_doublet"))
 
 
 def cleanup_second(
@@ -210,6 +215,93 @@ def audit_rules(
     }
 
 
+@dataclass(frozen=True)
+class PrepareInput:
+    """One dataset to be put on the base genes.
+
+    ``counts`` holds (cell_id, gene, count, matrix), ``cells`` the cell table as it
+    came, ``var`` the gene keys in ``gene`` with further name columns and ``gene_pos``.
+    """
+
+    alias: str
+    counts: DataFrame
+    cells: DataFrame
+    var: DataFrame
+    name: str = "cell_id"
+    position: str = "cell_pos"
+    total_column: str | None = None
+    repair: Repair = Repair()
+
+
+def prepare_input(given: PrepareInput, base: DataFrame, name_columns: Sequence[str]) -> dict[str, DataFrame]:
+    """Counts of one dataset on the base genes, its cells in the fixed schema, and one row of statistics.
+
+    The gene-name column with the greatest overlap with the base is taken, the
+    first gene of each name; then the counts layer or the stored matrix, and where
+    that holds log-normalised values and cell totals are known, counts are taken
+    back from them. The counts are written once, on the base genes.
+    """
+    base = materialize(base.select("gene").distinct())
+    # one row: the column's name
+    names = best_name_column(given.var, name_columns, base, "gene").first()["name_column"]
+    renamed = meta_ops.unique_symbol_map(given.var.select("gene", "gene_pos", F.col(quote(names)).alias("_name")), "_name", "gene", "gene_pos")
+    renamed = renamed.select(F.col("target").alias("gene"), F.col("symbol").alias("base_gene"))
+    tagged = given.counts.withColumn("gse_id", F.lit(given.alias))
+    chosen = choose_counts(tagged)
+    values, source = select_counts(tagged, materialize(chosen)).drop("gse_id"), chosen.select("count_matrix_source").scalar()
+    if given.total_column is not None:
+        values, median = inverse_log_counts(values, given.cells, given.total_column, given.position)
+        source = F.when(F.lit(9500.0 <= median <= 10500.0), F.lit("inferred_from_log")).otherwise(source)
+    on_base = sized_join(values, renamed.join(base.withColumnRenamed("gene", "base_gene"), "base_gene"), ["gene"])
+    counts = materialize(on_base.select("cell_id", F.col("base_gene").alias("gene"), "count"))
+    cells = materialize(prepare_cells(given.cells, given.alias, given.name, given.position, repair=given.repair))
+    have = renamed.select(F.col("base_gene").alias("gene")).join(base, "gene", "left_semi").select(F.count(F.lit(1)).alias("n"))
+    stats = sum_ops.prep_stats(cells.withColumn("_in", F.lit(given.alias)), "_in", "sample_id", "has_TRA_TRB_paired", "has_TRG_TRD_paired", "Sorted_gdT")
+    stats = stats.withColumns(
+        {
+            "name_column": F.lit(names), "count_matrix_source": source, "n_genes_before_align": F.lit(given.var.count()).cast("long"),
+            "n_genes_after_align": base.select(F.count(F.lit(1))).scalar(), "n_missing_vs_base": base.select(F.count(F.lit(1))).scalar() - have.scalar(),
+        }
+    ).withColumnRenamed("_in", "alias")
+    return {"counts": counts, "cells": cells, "stats": stats}
+
+
+def prepare(inputs: Sequence[PrepareInput], base: DataFrame, name_columns: Sequence[str]) -> dict[str, DataFrame]:
+    """All inputs on the base genes, stacked, with one row of statistics each."""
+    done = [(given.alias, prepare_input(given, base, name_columns)) for given in inputs]
+    counts = stack_counts([d["counts"].withColumn("alias", F.lit(alias)) for alias, d in done])
+    cells = stack_cells([d["cells"].withColumn("alias", F.lit(alias)) for alias, d in done])
+    return {"counts": counts, "cells": cells, "stats": stack_cells([d["stats"] for _, d in done])}
+
+
+def integrate(
+    counts: DataFrame, obs: DataFrame, var: DataFrame, batch: str, strata: Sequence[str], n_genes: int, n_cells: int,
+    per_stratum: int = 2000, symbol: str = "gene", cell: str = "cell_id", trend: bool = True, seed: int = 0,
+) -> dict[str, DataFrame]:
+    """Data parts of an integration: variable genes, the training cells and their counts, and the run's figures.
+
+    Genes come from the mean-variance trend, or from the dispersion ranking where
+    there is none or ``trend`` is off. Training cells are drawn by strata. Only the
+    drawn cells' counts of the chosen genes are written.
+    """
+    counts = materialize(counts)
+    chosen = (
+        hvg_ops.select_variable_genes(counts, obs, var, batch, n_genes, (cell,), symbol)
+        if trend else hvg_ops.fallback_genes(hvg_ops.whole_moments(counts, obs, (cell,)), var, n_genes, symbol)
+    )
+    genes = materialize(chosen)
+    training = materialize(strata_sample(obs, strata, n_cells, [cell], seed, per_stratum))
+    slim = sized_join(counts, genes.select("gene"), ["gene"], "left_semi").join(training.select(cell), cell, "left_semi")
+    flags = hvg_ops.exclusion_table(var, symbol)
+    summary = hvg_ops.exclusion_summary(flags, n_genes).withColumns(
+        {
+            "cells_total": obs.select(F.count(F.lit(1))).scalar(), "cells_training": training.select(F.count(F.lit(1))).scalar(),
+            "batches": training.select(F.count_distinct(F.col(quote(batch)))).scalar(),
+        }
+    )
+    return {"genes": genes, "cells": training, "counts": materialize(slim), "summary": summary}
+
+
 @dataclass(frozen=True)
 class RescueSettings:
     min_genes_per_cell: int
@@ -247,6 +339,3 @@ def rescue_from_inputs(
         out["repaired"] = align_counts(keyed, current_cells, current_genes, key)
     return out
 
-
-def require_receptor_key(tcr: DataFrame) -> DataFrame:
-    return require_unique(tcr, ["sample_id", "barcode_core"], "receptor table")

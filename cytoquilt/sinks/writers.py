@@ -77,11 +77,6 @@ def dataset_commits(spark: SparkSession, path: str) -> DataFrame:
     return last.select("dataset", "_last.rows", "_last.write_id", "_last.written")
 
 
-def write_cell_bucketed(df: DataFrame, table: str, buckets: int, cell: str = "cell_id") -> None:
-    """Counts bucketed and sorted by cell: later cell joins and aggregates need no shuffle."""
-    df.write.mode("overwrite").bucketBy(buckets, cell).sortBy(cell).saveAsTable(table)
-
-
 def provenance(spark: SparkSession, method: str, parameters: dict, gene_sets: dict[str, Sequence[str]], ranges: dict) -> DataFrame:
     """One-row record of a run."""
     row = (

@@ -11,7 +11,7 @@ from workload.extraction import PROFILE_CTES, SHARED, candidates
 
 HITS = "(t_hits + gd_hits + nk_hits + nk_strong_hits)"
 FIRST_SQL = f"""SELECT *, CASE WHEN contam_score >= 1.5 AND selection_reason = 'annotation_only' AND {HITS} = 0 AND t_score = 0
-    AND gd_score = 0 AND nk_score = 0 THEN 'obvious_off_target' WHEN contam_score >= 2.0 AND t_score >= 1.5 AND nk_score >= 1.5
+    AND gd_score = 0 AND nk_score = 0 THEN 'obvious_non_tnk' WHEN contam_score >= 2.0 AND t_score >= 1.5 AND nk_score >= 1.5
     THEN 'high_conf_doublet' ELSE 'kept' END AS remove_reason FROM scaled"""
 # the stand-in scores are on another scale; both sides stretch them the same way
 STRETCH = {"contam_score": 3.0, "t_score": 2.0, "nk_score": 2.0}
@@ -26,7 +26,7 @@ def stretched(spark, d):
     "first_pass_cleanup",
     with_ctes(
         SHARED,
-        """SELECT cell_id, gse_id, remove_reason = 'obvious_off_target' AS remove_off_target, remove_reason <> 'kept' AS remove,
+        """SELECT cell_id, gse_id, remove_reason = 'obvious_non_tnk' AS remove_off_target, remove_reason <> 'kept' AS remove,
         remove_reason FROM first""",
         {**PROFILE_CTES, "scaled": SCALED_SQL, "first": FIRST_SQL},
     ),
