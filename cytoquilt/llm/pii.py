@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cytoquilt.llm.common import fresh, quoted, row_key
-from cytoquilt.llm.spans import Kind, add_spans, replaced
+from cytoquilt.llm.spans import Kind, add_spans, held
 from cytoquilt.session import materialize
 
 
@@ -152,7 +152,7 @@ def find_pii(
     ``significance``, which only matters among few texts (see ``evidence``). A null or empty text has no spans; every row and column stays,
     repeated rows come out alike; an empty table comes out empty.
     """
-    base, a, b, told, more, some = fresh(df, "_base", "_ka", "_kb", "_told", "_more", "_some")
+    base, a, b, told, some = fresh(df, "_base", "_ka", "_kb", "_told", "_some")
     own = [quoted(c) for c in df.columns]
     text = quoted(text_col)
     key = row_key(text)
@@ -162,22 +162,45 @@ def find_pii(
     held = held.select(*own_key, words(text).alias("_words"), F.array_distinct(entity).alias("_entities"))
     rows = df.select(*own_key, F.coalesce(text, F.lit("")).alias("_text"))
     flagged = materialize(disclosing(rows, held, generalise, remove, significance))
+    placed = materialize(term_spans(rows, flagged))
     # the base spans are found again rather than shuffled along with all texts; texts without terms are not shuffled
-    keyed = marked(df.select(*own, key["a"].alias(a), key["b"].alias(b)), a, flagged, some)
-    flagged = flagged.select(F.col("_a").alias(a), F.col("_b").alias(b), F.col("_terms").alias(told))
-    joined = keyed.where(quoted(some)).join(flagged, [a, b], "left").select(*own, quoted(told))
-    plain = keyed.where(~quoted(some)).select(*own, F.lit(None).cast(flagged.schema[told].dataType).alias(told))
-    keyed = add_spans(plain.union(joined), text_col, KINDS, base)
-    found = add_spans(keyed, text_col, [Kind("term", WORD)], more, lambda k: quoted(told).isNotNull())
-    names = F.transform(quoted(told), lambda x: x["term"])
-    inside = F.filter(
-        quoted(more),
-        lambda s: F.array_contains(names, F.lower(s["hit"])) & ~F.exists(quoted(base), lambda p: (p["start"] < s["end"]) & (s["start"] < p["end"])),
-    )
-    moved = F.transform(inside, lambda s: s.withField("kind_no", F.lit(len(KINDS))))
-    merged = F.when(quoted(told).isNull(), quoted(base)).otherwise(F.array_sort(F.concat(quoted(base), moved)))
+    keyed = marked(df.select(*own, key["a"].alias(a), key["b"].alias(b)), a, placed, some)
+    placed = placed.select(F.col("_a").alias(a), F.col("_b").alias(b), F.struct("_terms", "_spans").alias(told))
+    joined = keyed.where(quoted(some)).join(placed, [a, b], "left").select(*own, quoted(told))
+    plain = keyed.where(~quoted(some)).select(*own, F.lit(None).cast(placed.schema[told].dataType).alias(told))
+    found = add_spans(plain.union(joined), text_col, KINDS, base)
+    merged = F.when(quoted(told).isNull(), quoted(base)).otherwise(F.array_sort(F.concat(quoted(base), quoted(told)["_spans"])))
     empty = F.array().cast("array<struct<term:string,removed:boolean>>")
-    return found.select(*own, merged.alias(spans), F.coalesce(quoted(told), empty).alias(terms))
+    return found.select(*own, merged.alias(spans), F.coalesce(quoted(told)["_terms"], empty).alias(terms))
+
+
+SPAN = "struct<start:int,kind_no:int,end:int,kind:string,hit:string>"
+
+
+def term_spans(rows: DataFrame, flagged: DataFrame) -> DataFrame:
+    """(_a, _b, _terms, _spans) of each text with terms: where they occur outside base spans, as spans of kind "term".
+
+    Words, terms and base spans of a text meet by joins on word and place, so
+    a text with very many of all three stays linear.
+    """
+    texts = marked(rows, "_a", flagged, "_some").where("_some").groupBy("_a", "_b").agg(F.first("_text").alias("_text"))
+    texts = materialize(texts.join(flagged.select("_a", "_b"), ["_a", "_b"], "left_semi"))
+    words_in = add_spans(texts, "_text", [Kind("term", WORD)], "_words").select("_a", "_b", F.explode("_words").alias("_s"))
+    words_in = words_in.withColumn("_term", F.lower("_s.hit"))
+    asked = flagged.select("_a", "_b", F.explode("_terms.term").alias("_term"))
+    hits = words_in.join(asked, ["_a", "_b", "_term"], "left_semi").select("_a", "_b", "_s")
+
+    def cells(df: DataFrame) -> DataFrame:
+        """Each span once for every stretch of 64 characters it lies in."""
+        return df.withColumn("_cell", F.explode(F.sequence(F.expr("_s.start div 64"), F.expr("(_s.end - 1) div 64"))))
+
+    taken = add_spans(texts, "_text", KINDS, "_base").select("_a", "_b", F.explode("_base").alias("_s"))
+    taken = cells(taken).select("_a", "_b", "_cell", F.col("_s.start").alias("_from"), F.col("_s.end").alias("_to"))
+    over = cells(hits).join(taken, ["_a", "_b", "_cell"]).where("_from < _s.end and _s.start < _to").select("_a", "_b", "_s.start").distinct()
+    free = hits.withColumn("start", F.col("_s.start")).join(over, ["_a", "_b", "start"], "left_anti")
+    own = free.groupBy("_a", "_b").agg(F.collect_list(F.col("_s").withField("kind_no", F.lit(len(KINDS)))).alias("_spans"))
+    found = flagged.join(own, ["_a", "_b"], "left")
+    return found.select("_a", "_b", "_terms", F.coalesce("_spans", F.array().cast(f"array<{SPAN}>")).cast(f"array<{SPAN}>").alias("_spans"))
 
 
 def shape(word: Column) -> Column:
@@ -188,32 +211,46 @@ def shape(word: Column) -> Column:
 def sanitise(df: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
     """``df`` with personal data and disclosing terms taken out of ``text_col``; rows and columns stay.
 
-    Each kind's matches become its name in brackets, kind after kind in the order
-    email, ip, card, phone; disclosing terms become their shape or go. Null stays
+    Overlapping matches of several kinds are one stretch, which becomes, as a
+    whole, the name in brackets of its first kind (by start, then in the order
+    email, ip, card, phone); disclosing terms become their shape or go. Null stays
     null; other cases as in ``find_pii``.
     """
-    spans, terms = fresh(df, "_spans", "_terms")
+    spans, terms, gone, parts = fresh(df, "_spans", "_terms", "_gone", "_parts")
     out = find_pii(df, id_col, text_col, spans=spans, terms=terms, **options)
-    held = quoted(text_col)
-
-    def named(kind: Kind) -> Column:
-        label = F.lit(f"[{kind.name.upper()}]")
-        has = F.exists(quoted(spans), lambda s: s["kind"] == kind.name)
-        changed = replaced(held, kind.pattern, lambda h: label if kind.keep is None else F.when(kind.keep(h), label))
-        return F.when(has, changed).otherwise(held)
-
-    for kind in KINDS:
-        out = out.withColumn(text_col, named(kind))
-    gone = F.transform(F.filter(quoted(terms), lambda t: t["removed"]), lambda t: t["term"])
-    general = F.transform(F.filter(quoted(terms), lambda t: ~t["removed"]), lambda t: t["term"])
-    # the labels put in above are matched whole and put back as they are
-    labels = "|".join(kind.name.upper() for kind in KINDS)
-    word = rf"\[(?:{labels})\]|{WORD}"
-
-    def term(h: Column) -> Column:
-        low = F.lower(h)  # a label holds brackets, which no term does
-        return F.when(F.array_contains(gone, low), F.lit("")).when(F.array_contains(general, low), shape(h))
-
-    changed = replaced(held, word, term)
-    out = out.withColumn(text_col, F.when(F.size(terms) > 0, changed).otherwise(held))
-    return out.select(*[quoted(c) for c in df.columns])
+    own = [quoted(c) for c in df.columns]
+    text = quoted(text_col)
+    removed = F.transform(F.filter(quoted(terms), lambda t: t["removed"]), lambda t: t["term"])
+    out = held(out, [*own, quoted(spans)], gone, removed)
+
+    def label(s: Column) -> Column:
+        kept = F.when(F.array_contains(quoted(gone), F.lower(s["hit"])), F.lit("")).otherwise(shape(s["hit"]))
+        return F.when(s["kind"] == "term", kept).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+
+    def stretch(s: Column) -> Column:
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), label(s).alias("label"))
+
+    def joined(done: Column, s: Column) -> Column:
+        """Spans come by start: one that begins before the last stretch ends makes it longer."""
+        last = F.element_at(done, -1)
+        longer = last.withField("end", F.greatest(last["end"], s["end"]))
+        return F.when(
+            (F.size(done) > 0) & (s["start"] < F.coalesce(F.get(done, F.size(done) - 1)["end"], F.lit(-1))),
+            F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer)),
+        ).otherwise(F.concat(done, F.array(s)))
+
+    none = F.array().cast("array<struct<start:int,end:int,label:string>>")
+    whole = F.aggregate(F.transform(quoted(spans), stretch), none, joined)
+    some = F.size(quoted(spans)) > 0
+    # one pass over the letters, so that the work grows with the text and not with text times stretches
+    letters = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    out = held(out, own, parts, F.when(some, F.struct(whole.alias("cuts"), letters.alias("letters"))))
+    cuts, each = quoted(parts)["cuts"], quoted(parts)["letters"]
+
+    def piece(cut: Column, i: Column) -> Column:
+        start = F.when(i == 0, 0).otherwise(F.coalesce(F.get(cuts, i - 1)["end"], F.lit(0)))
+        return F.concat(F.array_join(F.slice(each, start + 1, cut["start"] - start), ""), cut["label"])
+
+    tail = F.element_at(cuts, -1)["end"]
+    clean = F.concat(F.array_join(F.transform(cuts, piece), ""), F.array_join(F.slice(each, tail + 1, F.size(each)), ""))
+    return out.select(*[F.coalesce(clean, text).alias(text_col) if c == text_col else quoted(c) for c in df.columns])
