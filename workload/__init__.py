@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = ("matrix", "extraction", "cleaning", "auditing", "scoring", "text", "metadata", "receptors",
-           "rules", "sampling", "clusters", "summaries", "genes", "jobs")
+           "rules", "sampling", "clusters", "summaries", "genes", "jobs", "files")
 
 
 def load_all():
