@@ -3,6 +3,11 @@
 Toxic documents go; boilerplate lines of each source go; one document of each
 near-duplicate class stays; personal data and the terms that give it away are
 taken out; what is left is packed into sequences of 1024 tokens.
+
+Every stage takes null, empty and very long texts, null and repeated ids, null
+sources, further columns of any name and an empty table. A null text stays null
+up to the last stage, where it is its end token alone; repeated rows fare alike,
+but for the near-duplicates, of which one row stays.
 """
 
 from __future__ import annotations
@@ -16,29 +21,32 @@ from cytoquilt.session import ensure_checkpoint_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the lexicon scores below 0.7. Labels are learned from the given documents, not from what is left of them."""
+    """Documents that the lexicon scores below 0.7, null and empty ones as texts without words.
+
+    Labels are learned from the given documents, not from what is left of them.
+    """
     source = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = toxicity.fit(source, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.drop_toxic(docs, "text", model)
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that too many documents of their source have."""
+    """All documents, without lines that too many documents of their source have; blank lines stay, and a null source is the empty one."""
     return line_dedup.drop_boilerplate(docs, "doc_id", "source", "text")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each near-duplicate class."""
+    """One document, that of the smallest id, of each near-duplicate class; documents without words are no duplicates of each other."""
     return near_dedup.keep_one(docs, "doc_id", "text")
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data and disclosing terms taken out."""
+    """All documents, personal data and disclosing terms taken out; null and empty texts stay as they are."""
     return pii.sanitise(docs, "doc_id", "text")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents, with their tokens, in sequences of 1024 tokens."""
+    """Pieces of the documents, with their tokens, in sequences of 1024 tokens; a null or empty text is one piece of its end token."""
     return packing.pack(docs, "doc_id", "text", keep_ids=True)
 
 
