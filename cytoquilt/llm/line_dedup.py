@@ -19,7 +19,7 @@ def lines_of(text: Column) -> Column:
 
 
 def counted(line: Column, min_chars: int) -> Column:
-    """Whether a line can be boilerplate at all; short and blank lines say nothing about a site."""
+    """Whether a line can be boilerplate at all; a blank line says nothing about a site."""
     return F.length(F.trim(line)) >= min_chars
 
 
@@ -45,15 +45,17 @@ def boilerplate(rows: DataFrame, ratio: float, min_pages: int, min_chars: int) -
 
 
 def drop_boilerplate(
-    df: DataFrame, id_col: str, host_col: str, text_col: str, ratio: float = 0.01, min_pages: int = 3, min_chars: int = 20
+    df: DataFrame, id_col: str, host_col: str, text_col: str, ratio: float = 0.01, min_pages: int = 3, min_chars: int = 1,
+    article: int = 500,
 ) -> DataFrame:
     """``df`` with boilerplate lines taken out of ``text_col``; every row and column stays.
 
-    A line is compared without outer spaces; one with under ``min_chars`` characters
-    never counts. It goes where more than ``ratio`` of the host's pages, and at
-    least ``min_pages`` of them, contain it. A page whose every non-blank line
-    would go is a copied page rather than a frame around one and stays whole. A
-    null host counts as the empty host; a null text stays null; repeated rows are
+    A line is compared without outer spaces; one with under ``min_chars`` characters,
+    by default only a blank one, never counts. It goes where more than ``ratio`` of
+    the host's pages, and at least ``min_pages`` of them, contain it. A page of
+    boilerplate alone, such as one to sign in, loses all its lines; with ``article``
+    characters and more it is an article that was copied often, rather than the
+    frame around one, and stays whole. A null host counts as the empty host; a null text stays null; repeated rows are
     pages of their own and come out alike; an empty table comes out empty.
     """
     a, b, gone = fresh(df, "_a", "_b", "_gone")
@@ -69,11 +71,12 @@ def drop_boilerplate(
     stays = F.filter(lines_of(text), lambda x: ~(counted(x, min_chars) & F.array_contains(quoted(gone), line_key(x))))
     # worked out once for the test and the result
     left = joined.withColumn(b, F.when(quoted(gone).isNotNull(), F.array_join(stays, "\n")))
-    kept = F.when(F.length(F.trim(F.regexp_replace(quoted(b), r"\s+", " "))) > 0, quoted(b)).otherwise(text)
+    article_copy = (F.length(F.trim(F.regexp_replace(quoted(b), r"\s+", " "))) == 0) & (F.length(text) >= article)
+    kept = F.when(quoted(b).isNotNull() & ~article_copy, quoted(b)).otherwise(text)
     return left.select(*[(kept.alias(text_col) if c == text_col else quoted(c)) for c in df.columns])
 
 
-def oracle(table: str = "documents", host: str = "source", ratio: float = 0.01, min_pages: int = 3, min_chars: int = 20) -> str:
+def oracle(table: str = "documents", host: str = "source", ratio: float = 0.01, min_pages: int = 3, min_chars: int = 1, article: int = 500) -> str:
     """The same rows in DuckDB's SQL, for the columns of ``documents``."""
     return f"""
 WITH pages AS (SELECT *, coalesce({host}, '') AS h, row_number() OVER () AS rn FROM {table}),
@@ -81,7 +84,7 @@ lines AS (SELECT rn, h, unnest(string_split(text, chr(10))) AS line, generate_su
 seen AS (SELECT h, trim(line, ' ') AS l, count(DISTINCT rn) AS n FROM lines WHERE length(trim(line, ' ')) >= {min_chars} GROUP BY ALL),
 totals AS (SELECT h, count(*) AS t FROM pages GROUP BY h),
 bad AS (SELECT h, l FROM seen JOIN totals USING (h) WHERE n >= {min_pages} AND n > t * {ratio}::DOUBLE),
-kept AS (SELECT rn, string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT gone) AS text, bool_or(NOT gone AND trim(regexp_replace(line, '\\s+', ' ', 'g')) <> '') AS anyleft
+kept AS (SELECT rn, string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT gone) AS text, bool_or(NOT gone AND trim(regexp_replace(line, '\\s+', ' ', 'g')) <> '') AS anyleft, bool_or(gone) AS anygone
   FROM (SELECT lines.*, bad.l IS NOT NULL AS gone FROM lines LEFT JOIN bad ON bad.h = lines.h AND bad.l = trim(line, ' ')) GROUP BY rn)
-SELECT doc_id, CASE WHEN anyleft THEN kept.text ELSE pages.text END AS text, lang, source, n_chars FROM pages LEFT JOIN kept USING (rn)
+SELECT doc_id, CASE WHEN anyleft THEN kept.text WHEN anygone AND length(pages.text) < {article} THEN coalesce(kept.text, '') ELSE pages.text END AS text, lang, source, n_chars FROM pages LEFT JOIN kept USING (rn)
 """

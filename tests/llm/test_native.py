@@ -15,7 +15,7 @@ from cytoquilt.llm.spans import Kind, add_spans, written
 
 
 # ---- line dedup
-def brute_lines(rows, ratio, min_pages, min_chars):
+def brute_lines(rows, ratio, min_pages, min_chars=1, article=500):
     """(host, text) rows in, texts out."""
     pages, seen = collections.Counter(), collections.Counter()
     for host, text in rows:
@@ -29,7 +29,7 @@ def brute_lines(rows, ratio, min_pages, min_chars):
         key = host or ""
         gone = {x for x in (y.strip(" ") for y in text.split("\n")) if seen[key, x] >= min_pages and seen[key, x] > pages[key] * ratio}
         left = "\n".join(x for x in text.split("\n") if x.strip(" ") not in gone)
-        out.append(left if left.strip() else text)
+        out.append(left if left.strip() or len(text) < article else text)
     return out
 
 
@@ -38,17 +38,23 @@ def test_line_dedup_against_brute_force(spark):
     lines = [f"line number {k} with some words" for k in range(30)] + ["short", "", "  ", "  line number 1 with some words "]
     rows = [(i, "\n".join(rnd.choice(lines) for _ in range(rnd.randint(0, 6))), rnd.choice(["a", "b", None, ""])) for i in range(300)]
     rows += [(500, None, "a"), rows[3], rows[3]] + [(600 + i, "line number 2 with some words\nline number 3 with some words", "c") for i in range(5)]
+    # short site furniture, pages to sign in, and an article that was copied often
+    rows += [(700 + i, f"Menu\nown words of page {i}\nSign in", "d") for i in range(50)] + [(800 + i, "Sign in\nForgot?", "d") for i in range(14)]
+    rows += [(900 + i, "a long article " * 50 + "\nwith an end", "d") for i in range(9)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
     got = line_dedup.drop_boilerplate(df, "doc_id", "source", "text", ratio=0.12, min_pages=3).collect()
-    wanted = brute_lines([(r[2], r[1]) for r in rows], 0.12, 3, 20)
+    wanted = brute_lines([(r[2], r[1]) for r in rows], 0.12, 3)
     assert sorted(map(str, ((r.doc_id, r.text) for r in got))) == sorted(str((r[0], t)) for r, t in zip(rows, wanted))
     assert any(a != r[1] for a, r in zip(wanted, rows))
+    texts = {r.doc_id: r.text for r in got}
+    assert texts[710] == "own words of page 10" and texts[803] == "" and texts[903] == rows[-1][1]
 
 
 def test_line_dedup_edges_and_sql(spark):
     df = spark.createDataFrame(edge_rows(), SCHEMA).repartition(3)
     out = line_dedup.drop_boilerplate(df, "doc_id", "source", "text")
-    assert out.columns == df.columns and sorted(map(str, out.collect())) == sorted(map(str, df.collect()))
+    wanted = brute_lines([(r[2], r[1]) for r in edge_rows()], 0.01, 3)
+    assert out.columns == df.columns and sorted(map(str, map(tuple, out.collect()))) == sorted(str((r[0], t, *r[2:])) for r, t in zip(edge_rows(), wanted))
     assert line_dedup.drop_boilerplate(df.limit(0), "doc_id", "source", "text").count() == 0
     rows = [(i, "frame of the whole site\nown words %d\n\nx" % i if i % 3 else "frame of the whole site", "en", "s%d" % (i % 2), 9) for i in range(40)]
     docs = spark.createDataFrame([*rows, (99, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
@@ -196,3 +202,78 @@ def test_luhn_agrees(spark):
     numbers = ["".join(map(str, t)) for t in itertools.product((0, 5, 9), repeat=4)]
     df = spark.createDataFrame([(n,) for n in numbers], "n string").select("n", pii.luhn(F.col("n")).alias("ok"))
     assert all(r.ok == (sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(r.n))) % 10 == 0) for r in df.collect())
+
+
+def test_overlapping_kinds_go_whole(spark):
+    rows = [(1, "call +1.2.3.44 555 0100 now"), (2, "é😀 mail me@4.5.6.7.de 4111 1111 1111 1111 end"), (3, "1.2.3.4"), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.sanitise(df, "doc_id", "text").collect()}
+    for i, t in rows:
+        taken = [(a, b, k) for a, _, b, k in personal(t)]
+        wanted, at = "", 0
+        for a, b, k in taken:
+            if a >= at:
+                wanted += t[at:a] + f"[{k.upper()}]"
+            at = max(at, b)
+        assert clean[i] == wanted + t[at:]
+    assert clean[1] == "call [PHONE] now"
+
+
+def brute_terms(rows, generalise=0.7, remove=0.9, significance=0.05):
+    """{text: {term: removed}} by counting all words with all entities over distinct texts."""
+    distinct = sorted({t or "" for _, t in rows})
+    n = len(distinct)
+    words = {t: {w for w in re.split(r"[^\w]|_", t.lower()) if len(w) >= 3} for t in distinct}
+    entities = {t: {(k, t[a:b]) for a, _, b, k in personal(t)} for t in distinct}
+    nt = collections.Counter(w for t in distinct for w in words[t])
+    ne = collections.Counter(e for t in distinct for e in entities[t])
+    both = collections.Counter((w, e) for t in distinct for e in entities[t] for w in words[t])
+    out = {}
+    for t in distinct:
+        found = {}
+        for e in entities[t]:
+            for w in words[t]:
+                k, q, p = both[w, e], both[w, e] / ne[e], nt[w] / n
+                rest = (ne[e] - k) * (math.log(1 - q) - math.log(1 - p)) if k < ne[e] else 0.0
+                if k * (math.log(q) - math.log(p)) + rest < -math.log(significance):
+                    continue
+                content = math.log2(n / ne[e])
+                share = math.log2(n * k / (nt[w] * ne[e])) / content if content > 0 else 0.0
+                if share >= generalise:
+                    found[w] = max(found.get(w, 0.0), share)
+        out[t] = {w: share >= remove for w, share in found.items()}
+    return out
+
+
+def test_terms_and_spans_by_brute_force(spark):
+    rnd = random.Random(4)
+    common, rare = [f"word{i}" for i in range(30)], [f"rare{i}" for i in range(40)]
+    rows = []
+    for i in range(260):
+        parts = rnd.choices(common, k=rnd.randrange(1, 12))
+        if i % 5 == 0:
+            parts += rnd.sample(rare, 2) + [f"p{i % 7}@x.org"] + ([f"+1 (212) 555-01{i % 10}0"] if i % 10 else [])
+        rnd.shuffle(parts)
+        rows.append((i, " ".join(parts)))
+    rows += [(900, rows[5][1]), (901, None), (902, "ééép0@x.org rare1")]
+    wanted = brute_terms(rows)
+    got = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), "doc_id", "text").collect()
+    assert any(wanted.values())
+    for r in got:
+        text = r.text or ""
+        terms = wanted[text]
+        assert {t.term: t.removed for t in r.terms} == terms
+        base = [(a, b) for a, _, b, _ in personal(text)]
+        words = [(m.start(), m.end()) for m in re.finditer(r"[^\W_]+", text) if m.group().lower() in terms]
+        free = [(a, b) for a, b in words if not any(x < b and a < y for x, y in base)]
+        assert [(s.start, s.end) for s in r.spans if s.kind == "term"] == free
+
+
+def test_text_of_very_many_addresses_and_words(spark):
+    import time
+
+    text = " ".join(f"name{i} user{i}@list{i}.example.org" for i in range(5000))
+    rows = [(0, text)] + [(i, f"plain words number{i}") for i in range(1, 200)]
+    started = time.time()
+    clean = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert clean[0].count("[EMAIL]") == 5000 and "name7 " not in clean[0] and time.time() - started < 120

@@ -111,3 +111,24 @@ def test_edges(spark):
     assert ids.count(6) == 1 and 7 not in ids and 8 not in ids and ids.count(1) == 1 and ids.count(None) == 1
     assert near_dedup.near_duplicates(df.limit(0), "doc_id", "text").count() == 0
     assert near_dedup.keep_one(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_links_between_components_are_joined(spark):
+    node = "struct<a:bigint,b:bigint>"
+    pair = lambda i: (i, 0)
+    labels = spark.createDataFrame([(pair(i), pair(0)) for i in (0, 1, 2)] + [(pair(i), pair(10)) for i in (10, 11)] + [(pair(i), pair(20)) for i in (20, 21)], f"node {node}, component {node}")
+    more = spark.createDataFrame([(pair(2), pair(11)), (pair(30), pair(21)), (pair(40), pair(41))], f"u {node}, v {node}")
+    got = {r.node.a: r.component.a for r in near_dedup.merged(labels, more).collect()}
+    assert got == {**dict.fromkeys((0, 1, 2, 10, 11), 0), **dict.fromkeys((20, 21, 30), 20), 40: 40, 41: 40}
+
+
+def test_bucket_of_many_that_no_leader_joins(spark):
+    """Pairs of near copies in one bucket: most have no leader near them, and the rest is compared in blocks."""
+    rnd = random.Random(8)
+    frame = [f"f{k}" for k in range(60)]
+    rows = []
+    for i in range(300):
+        own = [f"o{i}_{k}" for k in range(50)]
+        rows += [(2 * i, " ".join(frame + own)), (2 * i + 1, " ".join(frame + own[:-1] + [f"z{rnd.random()}"]))]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "doc_id", "text").collect()}
+    assert got == {i: i - i % 2 for i in range(600)}

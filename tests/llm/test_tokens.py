@@ -172,6 +172,14 @@ def test_shards_edges(spark, tmp_path):
         wanted.append(str((r[0], len(ids), zlib.crc32(ids.tobytes()))))
     assert sorted(str((r.doc_id, r.n_tokens, r.ids_crc32)) for r in got) == sorted(wanted)
     assert spark.read.parquet(folder).count() > 1
+    texts = {r[0]: r[1] for r in rows if r[0] is not None}
+    dot = lib.encode("a.b", add_special_tokens=False).ids[1]
+    for token in (1, dot):
+        asked = wavelet.read_shards(spark, folder, "doc_id", ask=token).collect()
+        for r in (r for r in asked if r.doc_id is not None):
+            ids = [*lib.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, 1]
+            assert r.asked_count == ids.count(token)
+            assert r.asked_last == (len(ids) - 1 - ids[::-1].index(token) if token in ids else None)
     empty = f"file://{tmp_path}/empty"
     wavelet.write_shards(df.limit(0), "doc_id", "text", empty)
     assert wavelet.read_shards(spark, empty, "doc_id").count() == 0

@@ -25,7 +25,10 @@ def labelled(n=1500):
 
 def test_fold():
     assert toxicity.fold("1D1OT! Sсum Clówn mоrоn tr@sh $$ 7rash") == ["idiot", "scum", "clown", "moron", "trash", "trash"]
-    assert toxicity.fold("") == [] and toxicity.fold("世界 ...") == []
+    assert toxicity.fold("") == [] and toxicity.fold("世界 ...") == ["世界"]
+    # other scripts keep their letters; words of mixed script, and look-alikes in Latin texts, are folded
+    assert toxicity.fold("идиотский плохой") == ["идиотскии", "плохои"] and toxicity.fold("Ηλίθιε") == ["ηλιθιε"]
+    assert toxicity.fold("such а mоron со") == ["such", "a", "moron", "co"] and toxicity.fold("cœur ﬁn") in (["coeur", "fin"], ["fin", "cœur"])
 
 
 def test_learned_lexicon_on_held_out_rows(spark):
