@@ -42,7 +42,7 @@ def one_to_one_faults(left: DataFrame, right: DataFrame, keys: Sequence[str]) ->
     for k in own:
         none = none | k.isNull()
     fault = (
-        F.when(F.col("left_n") > 1, "left repeated").when(F.col("right_n") > 1, "right repeated")
+        F.when(F.col("left_n") > 1, "left duplicate").when(F.col("right_n") > 1, "right duplicate")
         .when((F.col("left_n") > 0) & (none | (F.col("right_n") == 0)), "unmatched")
     )
     return seen.withColumn("fault", fault).where("fault is not null")

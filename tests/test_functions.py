@@ -71,9 +71,6 @@ def test_schema_helpers(spark):
     assert columns.annotation_columns(cols) == ["orig.ident", "cell_type", "cluster_x"]
     assert columns.first_hinted_column(cols, ("donor", "patient")) == "donor"
     assert columns.metadata_fields(cols) == {"donor": "Patient_ID;donor", "sample": "orig.ident;sample", "library": "Library"}
-    assert columns.counts_layer(["spliced", "UMI_counts", "Raw_Counts"]) == "Raw_Counts"
-    assert columns.counts_layer(["my_counts_x"]) == "my_counts_x"
-    assert columns.counts_layer(["spliced"]) == ""
     df = spark.createDataFrame([(" ", "b")], "a string, b string")
     assert df.select(columns.text_from(df, ["a", "b"])).first()[0] is None
     assert df.select(text.first_nonblank("a", "b")).first()[0] == "b"

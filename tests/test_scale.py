@@ -158,8 +158,8 @@ def test_one_to_one_faults(frame):
     left = frame([(1, "a"), (2, "b"), (2, "c"), (3, "d"), (None, "e")], "k int, s string")
     right = frame([(1, "x"), (2, "y"), (4, "z"), (4, "z"), (None, "n")], "k int, t string")
     got = {r.k: r.fault for r in validate.one_to_one_faults(left, right, ["k"]).collect()}
-    assert got == {2: "left repeated", 4: "right repeated", 3: "unmatched", None: "unmatched"}
-    with pytest.raises(ValueError, match="cells repeated"):
+    assert got == {2: "left duplicate", 4: "right duplicate", 3: "unmatched", None: "unmatched"}
+    with pytest.raises(ValueError, match="cells duplicate"):
         metadata.join_one_to_one(left.where("k = 2"), right, ["k"])
 
 
