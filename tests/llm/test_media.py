@@ -92,3 +92,29 @@ def test_pipeline_keeps_tokens(spark):
     docs = spark.createDataFrame([(1, "one two three"), (2, None)], "doc_id long, text string")
     rows = corpus_pipeline.pack(spark, docs, "").collect()
     assert all(len(r["ids"]) == r["length"] for r in rows) and len(rows) == 2
+
+
+def test_hash_by_plain_sums():
+    """The lowest frequencies of the shrunk grey picture, worked out sum by sum."""
+    import math
+
+    rng = np.random.default_rng(4)
+    for n in (1, 7, 32, 45):
+        samples = rng.integers(0, 256, (n, media.ROW), dtype=np.uint8)
+        side, step = media.SIDE, media.ROW // media.SIDE
+        columns = [[sum(int(v) for v in row[x * step : (x + 1) * step]) for x in range(side)] for row in samples]
+        grey = []
+        for y in range(side):
+            if n < side:
+                grey.append([float(v) for v in columns[y * n // side]])
+            else:
+                own = columns[y * n // side : (y + 1) * n // side]
+                grey.append([sum(r[x] for r in own) / len(own) for x in range(side)])
+        low = [
+            sum(grey[y][x] * math.cos(math.pi * u * (2 * y + 1) / (2 * side)) * math.cos(math.pi * v * (2 * x + 1) / (2 * side)) for y in range(side) for x in range(side))
+            for u in range(media.LOW) for v in range(media.LOW)
+        ]
+        rest = sorted(low[1:])
+        middle = rest[len(rest) // 2]
+        bits = np.unpackbits(np.frombuffer(media.picture_hash(samples), np.uint8))
+        assert all(bool(b) == (x > middle) for b, x in zip(bits, low) if abs(x - middle) > 1e-6 * max(map(abs, low)))

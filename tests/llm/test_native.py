@@ -277,3 +277,23 @@ def test_text_of_very_many_addresses_and_words(spark):
     started = time.time()
     clean = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
     assert clean[0].count("[EMAIL]") == 5000 and "name7 " not in clean[0] and time.time() - started < 120
+
+
+MORE_RULES = {
+    "github": r"gh[pousr]_[A-Za-z0-9]{36,}", "slack": r"xox[abprs]-[A-Za-z0-9-]{10,}", "google": r"AIza[A-Za-z0-9_-]{35}",
+    "jwt": r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "private_key": r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----",
+    "url_login": r"[a-z]{2,16}://[^\s/:@]{1,128}:[^\s/:@]{1,128}@",
+}
+
+
+def test_added_rules_against_brute_force(spark):
+    rnd = random.Random(12)
+    parts = ["ghp_", "a1B2" * 9, "xoxb-", "12345-abcde", "AIza", "k_-9" * 9, "eyJ", "abcdEFGH_-", ".", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "https", "://", "user", ":", "pa55", "@", " ", "\n", "é", "z"]
+    rows = [(i, "".join(rnd.choice(parts) for _ in range(rnd.randint(2, 12)))) for i in range(500)]
+    rows += [(900, "x ghs_" + "Q" * 40), (901, "eyJabcdefgh.eyJabcdefgh.abcdefghij"), (902, "-----BEGIN EC PRIVATE KEY-----"), (903, "ftp://me:secret@host"), (904, "AIza" + "x" * 35), (905, "xoxp-1234567890")]
+    got = secret_scan.find_secrets(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "doc_id", "text", name="found").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        found = sorted((s.start, s.end, s.kind) for s in r.found if s.kind in MORE_RULES)
+        assert found == sorted((m.start(), m.end(), k) for k, p in MORE_RULES.items() for m in re.finditer(p, r.text))
+    assert {s.kind for r in got for s in r.found} >= set(MORE_RULES)

@@ -68,3 +68,35 @@ def test_edges(spark):
         assert toxicity.score(df.limit(0), "doc_id", "text", m).count() == 0
         assert toxicity.drop_toxic(df, "text", m).columns == df.columns
     assert all(r.hits == 0 for r in toxicity.score(df, "doc_id", "text", model).collect())
+
+
+def test_matching_and_weights_by_brute_force():
+    import random
+
+    rnd = random.Random(6)
+    words = ["vile", "viler", "vilest", "fool", "foolish", "ox", "one", "two", "museum"]
+    lexicon = {" vile ": 2.0, " vile": 1.5, " fool": 1.2, " foolish ": 3.0, " two ": 0.5}
+    model = toxicity.Model(lexicon, {" museum vile ": 7, " one two ": 4}, (-1.0, 1.0, 1.0, 1.0))
+    automaton = model.automaton()
+    for _ in range(400):
+        own = [rnd.choice(words) for _ in range(rnd.randrange(0, 12))]
+        text, got = toxicity.matched(automaton, own)
+        wanted, at = {}, 0
+        for k, w in enumerate(own):
+            fits = [v for e, v in lexicon.items() if (e == f" {w} " if e.endswith(" ") else w.startswith(e[1:]))]
+            excused = (w == "vile" and k and own[k - 1] == "museum") or (w == "two" and k and own[k - 1] == "one")
+            if fits and not excused:
+                wanted[at] = max(fits)
+            at += len(w) + 1
+        assert text == f" {' '.join(own)} " and got == wanted
+        n, total = len(own), sum(wanted.values())
+        assert np.allclose(toxicity.features(got, n), (1.0, total / (n + 10) ** 0.5, 10 * total / (n + 20), max(wanted.values(), default=0.0)))
+
+
+def test_edge_rows_are_dropped_or_kept(spark):
+    df = spark.createDataFrame(edge_rows(), SCHEMA).repartition(3)
+    model = toxicity.Model({" one ": 9.0}, {}, (-2.0, 9.0, 9.0, 9.0))
+    kept = toxicity.drop_toxic(df, "text", model)
+    assert kept.columns == df.columns
+    wanted = [r for r in edge_rows() if "one" not in toxicity.fold(r[1] or "")]
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, wanted)) and len(wanted) < len(edge_rows())
