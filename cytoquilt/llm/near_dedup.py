@@ -8,13 +8,13 @@ and counts where the cell is below w. The earliest time in each slot is the
 signature, and two signatures agree in a slot with the probability of the
 weighted Jaccard similarity. Processes stop once all slots are filled.
 
-Bands of the signature propose pairs, the multisets decide. In each round a
-bucket's members meet one leader, drawn by hash so that buckets of one group have
-different ones, and every member is checked against the leader whose signature
-is nearest to its own. Where the links found leave a bucket in several
-components, the members outside the largest are compared with all others in
-blocks, and a block hands on only links that join components. Exact copies are
-one node throughout.
+Bands of the signature propose pairs, the multisets decide. A bucket's members
+meet one leader, drawn by hash so that the buckets of one group have a few
+different ones. Every member is checked against the leader whose signature is
+nearest to its own, leaders also against each other; members that find no link
+meet other leaders. Where the links leave a bucket in several components, the
+members outside the largest are compared with all others in blocks, and a block
+hands on only links that join components. Exact copies are one node throughout.
 """
 
 from __future__ import annotations
@@ -35,7 +35,8 @@ SLOTS = BANDS * ROWS
 #: Pairs whose signatures agree less than so many standard errors below the threshold are not looked at.
 SLACK = 4
 BLOCK = 256
-ROUNDS, DRAWS = 3, 4
+#: Orders in which the buckets draw leaders, for all members and for those still without a link.
+DRAWS, MORE_DRAWS = 4, 8
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -170,8 +171,14 @@ def least_agreement(threshold: float) -> float:
     return threshold - SLACK * (threshold * (1 - threshold) / SLOTS) ** 0.5
 
 
-def nearest_leaders(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
-    """Of the pairs (u, v), for each v the one whose signatures agree most, if they agree enough."""
+def leaders(members: DataFrame, first: int, draws: int) -> DataFrame:
+    """(bucket, u): one member of each bucket, the first in one of ``draws`` orders."""
+    order = F.xxhash64("node", F.pmod("bucket", F.lit(draws)) + first)
+    return members.groupBy("bucket").agg(F.min(F.struct(order.alias("order"), "node")).alias("leader")).select("bucket", F.col("leader.node").alias("u"))
+
+
+def agreeing(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+    """Those pairs (u, v) whose signatures agree enough, with their agreement."""
     floor = least_agreement(threshold)
     near = pairs.join(sketches.withColumnsRenamed({"node": "u", "sketch": "su"}), "u")
     near = near.join(sketches.withColumnsRenamed({"node": "v", "sketch": "sv"}), "v")
@@ -185,8 +192,12 @@ def nearest_leaders(pairs: DataFrame, sketches: DataFrame, threshold: float) ->
 
         return work
 
-    near = map_batches(near.select("u", "v", "su", "sv"), make, f"u {NODE}, v {NODE}, agree double", size=32 << 20)
-    return near.groupBy("v").agg(F.max(F.struct("agree", "u")).alias("best")).select("best.u", "v")
+    return map_batches(near.select("u", "v", "su", "sv"), make, f"u {NODE}, v {NODE}, agree double", size=32 << 20)
+
+
+def nearest(scored: DataFrame) -> DataFrame:
+    """For each v the u that agrees most."""
+    return scored.groupBy("v").agg(F.max(F.struct("agree", "u")).alias("best")).select("best.u", "v")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -269,11 +280,14 @@ def rest_links(members: DataFrame, labels: DataFrame, sketches: DataFrame, texts
         return group[keep]
 
     schema = f"bucket bigint, ub int, mb int, node {NODE}, component {NODE}, sketch binary, side int"
-    some = materialize(paired.groupBy("bucket", "ub", "mb").applyInPandas(hopeful, schema))
+    # few bytes, much work: as many tasks as the session has partitions, which adaptive execution leaves alone
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    block_of = ["bucket", "ub", "mb"]
+    some = materialize(paired.repartition(parts, *block_of).groupBy(*block_of).applyInPandas(hopeful, schema))
     if some.isEmpty():
         return None
-    full = some.join(texts, "node").withColumn("words", words_of(F.col("text"))).drop("text").groupBy("bucket", "ub", "mb")
-    return full.applyInPandas(lambda g: joining_links(g, threshold), f"u {NODE}, v {NODE}")
+    full = some.join(texts, "node").withColumn("words", words_of(F.col("text"))).drop("text")
+    return full.repartition(parts, *block_of).groupBy(*block_of).applyInPandas(lambda g: joining_links(g, threshold), f"u {NODE}, v {NODE}")
 
 
 SLOT_BITS = 22  # 512 KB of bitmap, however many ids there are
@@ -316,21 +330,35 @@ def near_classes(df: DataFrame, id_col: str, text_col: str, threshold: float = 0
     some = likely(plain, lows).join(lows, F.col("id").eqNullSafe(F.col("low")), "left_semi")
     some = some.select(node_of(words_of(F.col("text"))).alias("node"), "text").join(busy.select("node"), "node", "left_semi")
     texts = materialize(some.groupBy("node").agg(F.min("text").alias("text")))
-    links, labels = None, None
-    for k in range(ROUNDS):
-        known = members.withColumn("component", F.col("node")) if labels is None else labelled(members, labels)
-        order = F.xxhash64("node", F.pmod("bucket", F.lit(DRAWS)) + DRAWS * k)
-        led = known.groupBy("bucket").agg(
-            F.min(F.struct(order.alias("order"), "node", "component")).alias("leader"), F.min("component").alias("low"), F.max("component").alias("high")
-        )
-        led = led.where("low != high").select("bucket", F.col("leader.node").alias("u"), F.col("leader.component").alias("cu"))
-        pairs = known.join(led, "bucket").where("component != cu").select("u", F.col("node").alias("v")).distinct()
-        best = materialize(nearest_leaders(pairs, sketches, threshold))
-        found = verified(best, texts, threshold)
-        links = materialize(found if links is None else links.unionByName(found))
-        labels = components(links)
+    led = leaders(members, 0, DRAWS)
+    pairs = members.join(led, "bucket").select("u", F.col("node").alias("v")).where("u != v").distinct()
+    scored = materialize(agreeing(pairs, sketches, threshold))
+    # leaders of one group find each other, however many members each has; a pair may come from both sides
+    among = scored.join(led.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("u", "v")
+    first = nearest(scored).unionByName(among).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    links = materialize(verified(first, texts, threshold))
+    done = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node"))).distinct()
+    open_ = members.join(done, "node", "left_anti")
+    pairs = open_.join(leaders(members, DRAWS, MORE_DRAWS), "bucket").select("u", F.col("node").alias("v")).where("u != v").distinct()
+    links = links.unionByName(materialize(verified(nearest(agreeing(pairs, sketches, threshold)), texts, threshold)))
+    labels = components(links)
     more = rest_links(members, labels, sketches, texts, threshold)
-    return signed.select("id", "node"), labels if more is None else components(links.unionByName(more))
+    return signed.select("id", "node"), labels if more is None else merged(labels, materialize(more))
+
+
+def merged(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """``labels`` after further links, which are links between components: those alone are joined anew."""
+
+    def component(side: str) -> DataFrame:
+        return labels.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+
+    joined = more.join(component("u"), "u", "left").join(component("v"), "v", "left")
+    joined = joined.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
+    roots = components(joined)
+    kept = labels.join(roots.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left")
+    kept = kept.select("node", F.coalesce("root", "component").alias("component"))
+    # a node without a link so far is its own component
+    return kept.unionByName(roots.join(labels.select("node"), "node", "left_anti"))
 
 
 def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
