@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import json
 import re
 import unicodedata
@@ -22,8 +23,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from cytoquilt.llm.common import map_batches, quoted
+from cytoquilt.llm.common import fresh, map_batches, quoted, tick
 
 #: Pre-token patterns of the two files, which must be these for the ids to be right.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -53,36 +55,66 @@ def byte_letters() -> list[str]:
     return letters
 
 
+#: Pieces of more characters are not kept, and what an entry takes besides its own bytes.
+KEPT_PIECE, ENTRY = 64, 190
+
+
 class PieceCache(dict):
-    """Keeps the entries of the last two generations: at most ``2 * limit`` of them."""
+    """Keeps the entries of the last two generations, each of about ``limit`` bytes."""
 
     def __init__(self, limit: int):
         super().__init__()
-        self.limit, self.old = limit, {}
+        self.limit, self.held, self.old = limit, 0, {}
+
+    def add(self, items: dict) -> bool:
+        """Keeps the items if there is room; says whether all are kept."""
+        if self.held >= self.limit or not items:
+            return not items
+        short = items if max(map(len, items)) <= KEPT_PIECE else {p: ids for p, ids in items.items() if len(p) <= KEPT_PIECE}
+        self.update(short)
+        self.held += sum(map(len, short)) + sum(map(len, short.values())) + ENTRY * len(short)
+        return len(short) == len(items)
 
     def missing(self, pieces: set) -> list:
         """Pieces to compute; those of the older generation are brought over."""
-        if len(self) >= self.limit:
+        if self.held >= self.limit:
             self.old = dict(self)
             self.clear()
+            self.held = 0
         if not self.old:
             return list(pieces.difference(self))
-        todo = []
+        todo, kept = [], {}
         for p in pieces.difference(self):
             value = self.old.get(p)
             if value is None:
                 todo.append(p)
             else:
-                self[p] = value
-        return todo
+                kept[p] = value
+        # what finds no room is worked out once more
+        return todo if self.add(kept) else todo + [p for p in kept if p not in self]
+
+
+def require_format(spec: dict) -> None:
+    """Fails on a file whose normaliser or splitter is not one of the two that the patterns above stand for."""
+    steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [spec["pre_tokenizer"]])
+    split = [s["pattern"].get("Regex") for s in steps if s and s["type"] == "Split"]
+    level = [(s["add_prefix_space"], s["use_regex"]) for s in steps if s and s["type"] == "ByteLevel"]
+    normal = spec["normalizer"] or {}
+    forms = [(n["type"], n.get("pattern", {}).get("Regex"), n.get("content")) for n in normal.get("normalizers", [])]
+    model = spec["model"]
+    words = split == [WORDS.pattern] and level == [(False, False)] and forms == [("NFC", None, None), ("Replace", r"\s+", " "), ("Lowercase", None, None)]
+    plain = not split and level == [(False, True)] and not normal and not model.get("end_of_word_suffix")
+    if model["type"] != "BPE" or model.get("byte_fallback") or model.get("ignore_merges") or model.get("dropout") or not (words or plain):
+        raise ValueError("a tokenizer file of another normaliser, splitter or model than the two known")
 
 
 class BpeEncoder:
     """Ids of whole texts, as the library gives them without added special tokens."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 64 << 20):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        require_format(spec)
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix = model.get("end_of_word_suffix") or ""
@@ -99,6 +131,7 @@ class BpeEncoder:
         self.last = np.array([self.vocab[c + self.suffix] for c in letters], np.int64)
         self._table(model["merges"])
         self._inside({c: b for b, c in enumerate(letters)})
+        self.mark_ids = {m: np.array([self.last[ord(m)]], "<u4").tobytes() for m in MARKS} | {"": b""}
         self.cache = PieceCache(limit)
 
     def _table(self, merges: Sequence) -> None:
@@ -151,11 +184,13 @@ class BpeEncoder:
     def merge(self, pretokens: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pre-tokens, one behind the other, and how many each has."""
         raw = [p.encode() for p in pretokens]
-        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-        data = np.frombuffer(b"".join(raw), np.uint8)
+        return self.merge_bytes(np.frombuffer(b"".join(raw), np.uint8), np.fromiter(map(len, raw), np.int64, len(raw)))
+
+    def merge_bytes(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``merge``, of pre-tokens given as bytes one behind the other, with the bytes of each."""
         n = data.size
         if not n:
-            return np.zeros(0, np.int64), np.zeros(len(raw), np.int64)
+            return np.zeros(0, np.int64), np.zeros(len(sizes), np.int64)
         ends = np.cumsum(sizes)
         starts = np.zeros(n, bool)
         starts[(ends - sizes)[sizes > 0]] = True
@@ -270,6 +305,28 @@ class BpeEncoder:
             return [piece[:-1], piece[-1]]
         return (WORDS if self.lowers else BYTES).findall(piece)
 
+    def _plain(self, todo: list[str]) -> tuple[np.ndarray, list[bytes]]:
+        """(which pieces are ASCII letters with at most one mark behind them, ids of these), the letters all merged together in arrays."""
+        body = pa.array(todo, pa.string())
+        if not self.lowers:
+            bare = pc.starts_with(body, "\x01")
+            body = pc.if_else(bare, pc.utf8_slice_codeunits(body, 1), body)
+        last = pc.utf8_slice_codeunits(body, -1)
+        marked = pc.is_in(last, value_set=pa.array(MARKS))
+        stem = pc.if_else(marked, pc.utf8_slice_codeunits(body, 0, -1), body)
+        ok = pc.ascii_is_alpha(stem)
+        if self.lowers:
+            text = pc.ascii_lower(stem)
+        else:
+            text = pc.if_else(bare, stem, pc.binary_join_element_wise(pa.scalar(" "), stem, pa.scalar("")))
+        text = text.filter(ok)
+        sizes = pc.binary_length(text).to_numpy().astype(np.int64)
+        data = np.frombuffer(text.buffers()[2] or b"", np.uint8)[: int(sizes.sum())]
+        ids, counts = self.merge_bytes(data, sizes)
+        cut = np.concatenate(([0], np.cumsum(counts) * 4)).tolist()
+        raw, ends = ids.astype("<u4").tobytes(), pc.if_else(marked, last, "").filter(ok).to_pylist()
+        return ok.to_numpy(zero_copy_only=False), [raw[a:b] + self.mark_ids[m] for a, b, m in zip(cut, cut[1:], ends)]
+
     def _library_cut(self, text: str) -> list[str]:
         """Where newer letters may be classed otherwise, the library's own normaliser and splitter decide."""
         from tokenizers import Regex, normalizers, pre_tokenizers
@@ -317,6 +374,9 @@ class BpeEncoder:
         index = flat.indices.to_numpy()
         pieces = flat.dictionary.to_pylist()
         todo = self.cache.missing(set(pieces))
+        plain, done = self._plain(todo)
+        new = dict(zip(itertools.compress(todo, plain), done))
+        todo = list(itertools.compress(todo, ~plain))
         pre = [self._pretokens(p) if p or not self.lowers else [] for p in todo]
         loose = [[x for x in parts if isinstance(x, str)] for parts in odd]
         counts = np.fromiter(map(len, [*pre, *loose]), np.int64, len(pre) + len(loose))
@@ -324,15 +384,20 @@ class BpeEncoder:
         pretoken_at = np.concatenate(([0], np.cumsum(sizes)))
         piece_at = np.concatenate(([0], np.cumsum(counts)))
         data, cut = ids.astype("<u4").tobytes(), (pretoken_at[piece_at] * 4).tolist()
-        self.cache.update((p, data[cut[i] : cut[i + 1]]) for i, p in enumerate(todo))
-        found = list(map(self.cache.__getitem__, pieces))
+        new.update((p, data[cut[i] : cut[i + 1]]) for i, p in enumerate(todo))
+        if self.cache.add(new):
+            found = list(map(self.cache.__getitem__, pieces))
+        else:
+            found = [new[p] if p in new else self.cache[p] for p in pieces]
         unique = np.frombuffer(b"".join(found), "<u4")
-        length = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        begin = np.cumsum(length) - length
-        # every occurrence of a piece takes that piece's run of ids
-        per = length[index] if index.size else np.zeros(0, np.int64)
-        upto = np.concatenate(([0], np.cumsum(per)))
-        take = np.repeat(begin[index] - upto[:-1], per) + np.arange(upto[-1]) if index.size else np.zeros(0, np.int64)
+        length = np.fromiter(map(len, found), np.int32, len(found)) // np.int32(4)
+        begin = np.cumsum(length, dtype=np.int32) - length
+        # every occurrence of a piece takes that piece's run of ids; a slice has far fewer than 2**31
+        per = length[index] if index.size else np.zeros(0, np.int32)
+        upto = np.zeros(per.size + 1, np.int64)
+        np.cumsum(per, out=upto[1:])
+        take = np.repeat(begin[index] - upto[:-1].astype(np.int32), per) if index.size else np.zeros(0, np.int32)
+        take += np.arange(take.size, dtype=np.int32)
         out = unique[take]
         offsets = upto[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
         if not odd:
@@ -381,7 +446,8 @@ def encode_decode(df: DataFrame, id_col: str, text_col: str, name: str = "word_b
     """Ids and decoded text of every row.
 
     Returns (id, ids array<int>, decoded string, n_tokens, ids_sha256,
-    decoded_sha256); without ``keep_ids`` the two large columns are left out. A
+    decoded_sha256); without ``keep_ids`` the two large columns are left out, and
+    a column named as the id column gets its name with ``_`` behind. A
     null or empty text has no ids and decodes to the empty string; repeated rows
     give repeated results. ``name`` is looked up on each worker.
     """
@@ -406,24 +472,39 @@ def encode_decode(df: DataFrame, id_col: str, text_col: str, name: str = "word_b
         return work
 
     kind = df.select(quoted(id_col)).schema[0].dataType.simpleString()
-    large = "ids array<int>, decoded string, " if keep_ids else ""
-    schema = f"`{id_col}` {kind}, {large}n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    names = fresh(df.select(quoted(id_col)), "ids", "decoded", "n_tokens", "ids_sha256", "decoded_sha256")
+    kinds = ["array<int>", "string", "bigint", "string", "string"]
+    columns = ", ".join(f"{n} {k}" for n, k in list(zip(names, kinds))[0 if keep_ids else 2 :])
+    schema = f"{tick(id_col)} {kind}, {columns}"
     return map_batches(df.select(quoted(id_col), quoted(text_col)), make, schema)
 
 
-def digests(df: DataFrame, id_col: str) -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) from the ``ids`` and ``decoded`` columns of ``encode_decode``."""
+def packed(df: DataFrame, id_col: str, text_col: str, name: str = "word_bpe_49k.json") -> DataFrame:
+    """(id, ids binary, decoded string): the ids of every row as little-endian unsigned 32-bit integers, and the text they decode to.
+
+    Edge cases as in ``encode_decode``.
+    """
+    ids_name, text_name = fresh(df.select(quoted(id_col)), "ids", "decoded")
 
     def make():
+        bpe = encoder(vocabulary(name))
+
         def work(batch: pa.RecordBatch) -> list:
-            ids, decoded = batch.column(1), batch.column(2)
-            offsets = ids.offsets.to_numpy()  # of a slice, into the values of the whole batch
-            flat = ids.values.slice(int(offsets[0]), int(offsets[-1] - offsets[0])).to_numpy(zero_copy_only=False).astype(np.int32, copy=False)
-            raw, cut = memoryview(flat.tobytes()), ((offsets - offsets[0]).astype(np.int64) * 4).tolist()
-            return [batch.column(0), np.diff(offsets), [sha256_of(raw[a:b]) for a, b in zip(cut, cut[1:])], [sha256_of(x.encode()) for x in decoded.to_pylist()]]
+            ids, offsets = bpe.encode(batch.column(1))
+            cut = pa.py_buffer((offsets * 4).astype("<i4"))
+            return [batch.column(0), pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, cut, pa.py_buffer(ids.astype("<u4"))]), bpe.decode(ids, offsets)]
 
         return work
 
     kind = df.select(quoted(id_col)).schema[0].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return map_batches(df.select(quoted(id_col), "ids", "decoded"), make, schema)
+    return map_batches(df.select(quoted(id_col), quoted(text_col)), make, f"{tick(id_col)} {kind}, {ids_name} binary, {text_name} string", size=3 << 20)
+
+
+def digests(df: DataFrame, id_col: str) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256) from the two columns that ``packed`` adds."""
+    ids, decoded = (c for c in df.columns if c != id_col)
+    n_tokens, ids_hash, text_hash = fresh(df.select(quoted(id_col)), "n_tokens", "ids_sha256", "decoded_sha256")
+    return df.select(
+        quoted(id_col), (F.octet_length(ids) / 4).cast("long").alias(n_tokens), F.sha2(quoted(ids), 256).alias(ids_hash),
+        F.sha2(quoted(decoded), 256).alias(text_hash),
+    )

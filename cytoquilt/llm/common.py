@@ -26,9 +26,14 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def tick(name: str) -> str:
+    """A name in back ticks, for schemas and expressions."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def quoted(name: str) -> Column:
     """Column of that exact name, dots and spaces included."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(tick(name))
 
 
 def row_key(*values: Column) -> Column:
@@ -37,12 +42,13 @@ def row_key(*values: Column) -> Column:
     return F.struct(F.xxhash64(*marked).alias("a"), F.xxhash64(F.lit(17), *marked).alias("b"))
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable], schema: str, rows: int = 4096, size: int = 6 << 20) -> DataFrame:
+def map_batches(df: DataFrame, make: Callable[[], Callable], schema: str, rows: int = 4096, size: int = 4 << 20) -> DataFrame:
     """``mapInArrow`` in slices of at most ``rows`` rows and about ``size`` bytes.
 
     ``make()`` runs once a task; what it returns takes a record batch and gives
     the columns of the result (Arrow or numpy arrays, or lists), of any length.
-    Spark's own batches are counted in rows and may hold many long texts.
+    Spark's own batches are counted in rows and may hold many long texts. What
+    Arrow has set aside goes back when the task ends, as workers are used again.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -61,5 +67,6 @@ def map_batches(df: DataFrame, make: Callable[[], Callable], schema: str, rows:
                         (c if isinstance(c, pa.Array) else pa.array(c, f.type)).cast(f.type) for c, f in zip(columns, out_schema, strict=True)
                     ]
                     yield pa.RecordBatch.from_arrays(arrays, schema=out_schema)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytoquilt.llm.bpe import encoder, vocabulary
-from cytoquilt.llm.common import fresh, map_batches, quoted
+from cytoquilt.llm.common import fresh, map_batches, quoted, tick
 from cytoquilt.session import materialize
 
 
@@ -132,7 +132,7 @@ def cut_pieces(df: DataFrame, id_col: str, text_col: str, size: int, name: str,
         return work
 
     kind = df.select(quoted(id_col)).schema[0].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * keep_ids
+    schema = f"{tick(id_col)} {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * keep_ids
     return map_batches(df.select(quoted(id_col), quoted(text_col)), make, schema)
 
 
@@ -171,5 +171,5 @@ def pack(
 
         return work
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
+    schema = ", ".join(f"{tick(f.name)} {f.dataType.simpleString()}" for f in pieces.schema)
     return map_batches(ranked, make, f"{schema}, sequence_id bigint, offset bigint", rows=65_536)
