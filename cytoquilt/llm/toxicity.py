@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cytoquilt.llm.common import map_batches, quoted
+from cytoquilt.llm.common import fresh, map_batches, quoted, tick
 from cytoquilt.session import materialize
 
 #: Cyrillic and Greek letters that look like Latin ones, and digits read as letters.
@@ -47,13 +47,51 @@ def fold_table() -> bytes:
 TABLE = fold_table()
 
 
+WORD = re.compile(r"\w+")
+LATIN = re.compile("[A-Za-z]")
+
+
+def is_foreign(word: str) -> bool:
+    """Whether letters beyond Latin-1 outweigh its own."""
+    letters = [c for c in word if c.isalpha()]
+    return sum(c > "\xff" for c in letters) * 2 > len(letters)
+
+
+def fold_scripts(text: str) -> list[str]:
+    """Folded words of a text with letters beyond Latin-1.
+
+    Look-alikes are folded in words that have Latin letters, and in words of
+    nothing but look-alikes where the text is mostly Latin. Words of another
+    script keep their letters, without case and marks.
+    """
+    plain = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    latin = not is_foreign(plain)
+    out: list[str] = []
+
+    def word(m: re.Match) -> str:
+        own = m.group()
+        if own.isascii():
+            return own
+        changed = own.translate(LOOK_ALIKE)
+        letters = "".join(c for c in changed if c.isalpha())
+        if (LATIN.search(own) or latin) and max(letters, default="") <= "\xff":
+            return changed
+        out.append(own.casefold())
+        return " "
+
+    rest = WORD.sub(word, plain)
+    return fold_latin(rest.encode("latin-1", "replace").replace(b"?", b" ")) + out
+
+
 def fold(text: str) -> list[str]:
-    """Folded words of a text."""
+    """Folded words of a text; words of other scripts come last."""
     try:
-        raw = text.encode("latin-1")
+        return fold_latin(text.encode("latin-1"))
     except UnicodeEncodeError:
-        plain = unicodedata.normalize("NFKD", text.translate(LOOK_ALIKE))
-        raw = "".join(c for c in plain if not unicodedata.combining(c)).encode("latin-1", "replace")
+        return fold_scripts(text)
+
+
+def fold_latin(raw: bytes) -> list[str]:
     low = raw.translate(TABLE)
     if b"$" in low or b"@" in low:
         low = SIGN.sub(lambda m: b"s" if m.group() == b"$" else b"a", low).replace(b"$", b" ").replace(b"@", b" ")
@@ -213,7 +251,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
 
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 8_000,
-    lexicon_size: int = 5_000, support: int = 4, exceptions: dict[str, int] | None = None,
+    lexicon_size: int = 5_000, support: int = 4, exceptions: dict[str, int] | None = None, most_exceptions: int = 1_000,
 ) -> Model:
     """Learn lexicon, exception phrases and curve from labelled rows outside the held-out third.
 
@@ -232,7 +270,7 @@ def fit(
     first = Model(weighted(counts.where("half = 0").select("entry", "pos", "neg"), sizes.get((0, 1), 0), sizes.get((0, 0), 0), max(2, support // 2), lexicon_size))
     whole = counts.groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     full = Model(weighted(whole, pos, neg, support, lexicon_size))
-    excused = exception_phrases(sample, full, support, 1_000) if full.lexicon else {}
+    excused = exception_phrases(sample, full, support, most_exceptions) if full.lexicon else {}
     rows = sample_features(sample.where("half = 1"), first).toPandas().to_numpy(float)
     curve = logistic(rows[:, 1:], rows[:, 0]) if len(rows) else ()
     return Model(full.lexicon, {**excused, **(exceptions or {})}, curve)
@@ -263,11 +301,16 @@ def score(df: DataFrame, id_col: str, text_col: str, model: Model, threshold: fl
 
     kind = df.select(quoted(id_col)).schema[0].dataType.simpleString()
     rows = df.select(quoted(id_col), held_out(quoted(id_col)).alias("held_out"), quoted(text_col))
-    return map_batches(rows, make, f"`{id_col}` {kind}, held_out boolean, score double, predicted int, hits int")
+    held, *names = fresh(df.select(quoted(id_col)), "held_out", "score", "predicted", "hits")
+    schema = ", ".join(f"{n} {k}" for n, k in zip([held, *names], ("boolean", "double", "int", "int")))
+    return map_batches(rows, make, f"{tick(id_col)} {kind}, {schema}")
 
 
 def drop_toxic(df: DataFrame, text_col: str, model: Model, threshold: float = 0.7) -> DataFrame:
-    """Rows of ``df`` that score below ``threshold``; columns stay as they are."""
+    """Rows of ``df`` that score below ``threshold``; columns stay as they are.
+
+    A null or empty text counts as one without words; repeated rows fare alike; an empty table stays empty.
+    """
     lexicon, curve, at = model.lexicon, np.array(model.curve or (0.0, 0.0, 0.0, 0.0)), df.columns.index(text_col)
     if not lexicon:
         return df
@@ -285,5 +328,5 @@ def drop_toxic(df: DataFrame, text_col: str, model: Model, threshold: float = 0.
 
         return work
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    schema = ", ".join(f"{tick(f.name)} {f.dataType.simpleString()}" for f in df.schema)
     return map_batches(df, make, schema)
