@@ -91,7 +91,7 @@ def test_negative_in_another_column_still_counts(frame):
 @pytest.mark.parametrize(
     "kw, reason",
     [
-        (dict(contam_score=1.5, selection_reason="annotation_only"), "obvious_off_target"),
+        (dict(contam_score=1.5, selection_reason="annotation_only"), "obvious_non_tnk"),
         (dict(contam_score=1.4999, selection_reason="annotation_only"), "kept"),
         (dict(contam_score=1.5, selection_reason="marker_only"), "kept"),
         (dict(contam_score=2.0, t_score=1.5, nk_score=1.5), "high_conf_doublet"),
