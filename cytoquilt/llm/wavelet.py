@@ -23,14 +23,15 @@ from cytoquilt.llm.common import quoted
 
 MAGIC = b"WMX1"
 BLOCK = 512  # bits between two stored ranks
+PART_BYTES = 32 << 20  # text bytes a range partition is planned for
 
 
 def build(ids: np.ndarray, sizes: np.ndarray) -> bytes:
     """File image of ``ids``, the documents' ids one behind the other."""
     width = max(1, int(ids.max()).bit_length()) if ids.size else 1
-    planes, ranks, zeros, x = [], [], [], ids.astype(np.uint32)
+    planes, ranks, zeros, x = [], [], [], ids.astype(np.uint16 if width <= 16 else np.uint32)
     for level in range(width - 1, -1, -1):
-        bit = (x >> np.uint32(level)) & np.uint32(1) != 0
+        bit = (x & x.dtype.type(1 << level)).astype(bool)
         plane = np.packbits(bit, bitorder="little")
         plane = np.concatenate((plane, np.zeros(-plane.size % (BLOCK // 8), np.uint8)))
         planes.append(plane.tobytes())
@@ -70,17 +71,14 @@ class WaveletMatrix:
         upto = np.arange(BLOCK) < (at - block * BLOCK)[..., None]
         return self.ranks[level][block] + (bits & upto).sum(-1, dtype=np.int64)
 
-    def select(self, level: int, nth: int, one: bool) -> int:
-        """Position of the nth (from 0) set or clear bit of a plane."""
-        low, high = 0, self.n
-        while low < high:
-            mid = (low + high) // 2
-            ones = int(self.rank1(level, np.array([mid + 1]))[0])
-            if (ones if one else mid + 1 - ones) > nth:
-                high = mid
-            else:
-                low = mid + 1
-        return low
+    def select(self, level: int, nth: np.ndarray, one: bool) -> np.ndarray:
+        """Positions of the nth (from 0) set or clear bits of a plane: the block by its stored rank, then the bit in it."""
+        nth, ranks = np.asarray(nth, np.int64), self.ranks[level]
+        before = ranks if one else np.arange(len(ranks)) * BLOCK - ranks
+        block = np.searchsorted(before, nth, "right") - 1
+        bits = np.unpackbits(self.planes[level].reshape(-1, BLOCK // 8)[block], axis=-1, bitorder="little")
+        upto = np.cumsum(bits if one else 1 - bits, axis=-1, dtype=np.int16)
+        return block * BLOCK + (upto > (nth - before[block])[..., None]).argmax(-1)
 
     def access(self, at: np.ndarray) -> np.ndarray:
         """Ids at given positions."""
@@ -94,43 +92,48 @@ class WaveletMatrix:
 
     def all(self) -> np.ndarray:
         """All ids in order: the planes are undone from the lowest up."""
-        order = None
-        value = np.zeros(self.n, np.uint32)
+        value = np.zeros(self.n, np.uint16 if self.width <= 16 else np.uint32)
         for level in range(self.width - 1, -1, -1):
             bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").astype(bool)
-            below = np.empty(self.n, np.uint32)
+            below = np.empty_like(value)
             z = int(self.zeros[level])
             below[~bit] = value[:z]
-            below[bit] = value[z:]
-            value = below | (bit.astype(np.uint32) << np.uint32(self.width - 1 - level))
-        del order
+            below[bit] = value[z:] | value.dtype.type(1 << (self.width - 1 - level))
+            value = below
         return value
 
-    def _range(self, token: int, start: int, end: int) -> tuple[int, int, list[tuple[int, int]]]:
-        path = []
+    def _path(self, token: int) -> list[tuple[int, int]]:
+        return [(level, token >> (self.width - 1 - level) & 1) for level in range(self.width)]
+
+    def before(self, token: int, at: np.ndarray) -> np.ndarray:
+        """How often ``token`` occurs before each position, by rank from the highest plane down."""
+        at = np.append(np.asarray(at, np.int64), 0)
         if token >> self.width:
-            return 0, 0, path
-        for level in range(self.width):
-            one = token >> (self.width - 1 - level) & 1
-            ones = self.rank1(level, np.array([start, end]))
-            start, end = (ones + self.zeros[level]).tolist() if one else (np.array([start, end]) - ones).tolist()
-            path.append((level, one))
-        return start, end, path
+            return np.zeros(len(at) - 1, np.int64)
+        for level, one in self._path(token):
+            ones = self.rank1(level, at)
+            at = ones + self.zeros[level] if one else at - ones
+        return at[:-1] - at[-1]
 
     def count(self, token: int, start: int = 0, end: int | None = None) -> int:
         """How often ``token`` occurs in [start, end)."""
-        a, b, _ = self._range(token, start, self.n if end is None else end)
+        a, b = self.before(token, np.array([start, self.n if end is None else end])).tolist()
         return b - a
 
+    def nth(self, token: int, number: np.ndarray) -> np.ndarray:
+        """Positions of the given occurrences (from 0) of ``token``, by select from the lowest plane up."""
+        at = np.array([0])
+        for level, one in self._path(token):
+            ones = self.rank1(level, at)
+            at = ones + self.zeros[level] if one else at - ones
+        at = at[0] + np.asarray(number, np.int64)
+        for level, one in reversed(self._path(token)):
+            at = self.select(level, at - self.zeros[level] if one else at, bool(one))
+        return at
+
     def occurrences(self, token: int) -> list[int]:
-        """All positions of ``token``, by select from the lowest plane up."""
-        a, b, path = self._range(token, 0, self.n)
-        found = []
-        for at in range(a, b):
-            for level, one in reversed(path):
-                at = self.select(level, at - int(self.zeros[level]) if one else at, bool(one))
-            found.append(at)
-        return sorted(found)
+        """All positions of ``token``."""
+        return self.nth(token, np.arange(self.count(token))).tolist()
 
 
 def write_shards(
@@ -146,7 +149,9 @@ def write_shards(
     kind = df.select(quoted(id_col)).schema[0].dataType.simpleString()
     rows = df.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"))
     tie = F.xxhash64("text")
-    n = max(1, df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # as many ranges as the texts have bytes for, however many partitions the session has
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, df.sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES))
     ordered = rows.repartitionByRange(n, "id", tie).sortWithinPartitions("id", tie)
     ordered = ordered.select("id", "text", F.spark_partition_id().alias("part"))
 
@@ -187,17 +192,24 @@ def write_shards(
     ordered.mapInArrow(shards, schema).write.mode("overwrite").parquet(folder)
 
 
-def read_shards(spark: SparkSession, folder: str, id_col: str) -> DataFrame:
-    """Per document, from the images: (id, start, n_tokens, ids_crc32, part, shard, place in the shard)."""
+def read_shards(spark: SparkSession, folder: str, id_col: str, ask: int | None = None) -> DataFrame:
+    """Per document, from the images: (id, start, n_tokens, ids_crc32, part, shard, place in the shard).
+
+    With ``ask``, a token id, also ``asked_count``, how often the document has it,
+    by rank, and ``asked_last``, the place of its last occurrence in the document,
+    by select (null where there is none). Images stay where they are read: only the
+    documents' rows meet the shards' starts.
+    """
     table = spark.read.parquet(folder)
     kind = table.schema["doc_ids"].dataType.elementType.simpleString()
+    id_name = "_id"
     # one row per shard: the running sums see shard counts only
     per_part = table.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     parts = per_part.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
     within = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = table.select("part", "shard", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)).alias("inner")).join(parts, "part")
     starts = starts.select("part", "shard", (F.col("ahead") + F.col("inner")).alias("base"))
-    placed = table.select("part", "shard", "doc_ids", "image").join(starts, ["part", "shard"]).select("doc_ids", "image", "base", "part", "shard")
+    placed = table.select("doc_ids", "image", "part", "shard")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,14 +220,22 @@ def read_shards(spark: SparkSession, folder: str, id_col: str) -> DataFrame:
                 begins = ends - matrix.sizes
                 crc = [zlib.crc32(ids[a * 4 : b * 4]) for a, b in zip(begins.tolist(), ends.tolist())]
                 n = len(crc)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0)[i].values, pa.array(begins + batch.column(2)[i].as_py()), pa.array(matrix.sizes), pa.array(crc, pa.int64()),
-                        pa.array(np.full(n, batch.column(3)[i].as_py(), np.int32)), pa.array(np.full(n, batch.column(4)[i].as_py(), np.int32)),
-                        pa.array(np.arange(n, dtype=np.int32)),
-                    ],
-                    names=[id_col, "start", "n_tokens", "ids_crc32", "part", "shard", "place"],
-                )
-
-    schema = f"`{id_col}` {kind}, start bigint, n_tokens bigint, ids_crc32 bigint, part int, shard int, place int"
-    return placed.mapInArrow(rows, schema)
+                columns = [
+                    batch.column(0)[i].values, pa.array(begins), pa.array(matrix.sizes), pa.array(crc, pa.int64()),
+                    pa.array(np.full(n, batch.column(2)[i].as_py(), np.int32)), pa.array(np.full(n, batch.column(3)[i].as_py(), np.int32)),
+                    pa.array(np.arange(n, dtype=np.int32)),
+                ]
+                if ask is not None:
+                    upto = matrix.before(ask, ends)
+                    count = upto - matrix.before(ask, begins)
+                    last = np.zeros(n, np.int64)
+                    last[count > 0] = matrix.nth(ask, upto[count > 0] - 1) - begins[count > 0]
+                    columns += [pa.array(count), pa.array(last, mask=count == 0)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    asked = ["asked_count", "asked_last"] if ask is not None else []
+    names = [id_name, "start", "n_tokens", "ids_crc32", "part", "shard", "place", *asked]
+    schema = f"{id_name} {kind}, start bigint, n_tokens bigint, ids_crc32 bigint, part int, shard int, place int" + "".join(f", {c} bigint" for c in asked)
+    out = placed.mapInArrow(rows, schema).join(starts, ["part", "shard"])
+    columns = [F.col(id_name).alias(id_col), (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32", *asked, "part", "shard", "place"]
+    return out.select(*columns)
