@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from cytoquilt.llm.common import map_batches, quoted
+from cytoquilt.llm.common import fresh, map_batches, quoted, tick
 
 ROW = 192
 PIXEL = 3
@@ -185,25 +185,44 @@ def to_media(df: DataFrame, id_col: str, text_col: str, keep_media: bool = True)
     return map_batches(df.select(quoted(id_col), quoted(text_col)), make, schema)
 
 
+def store_media(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, media binary, n_bytes) to be stored: each text as a picture. Edge cases as in ``to_media``."""
+    media, n_bytes = fresh(df.select(quoted(id_col)), "media", "n_bytes")
+
+    def make():
+        def work(batch: pa.RecordBatch) -> list:
+            raw = [x.as_py() for x in pc.fill_null(batch.column(1).cast(pa.large_binary()), b"")]
+            return [batch.column(0), [encode_png(pad(x)) for x in raw], [len(x) for x in raw]]
+
+        return work
+
+    kind = df.select(quoted(id_col)).schema[0].dataType.simpleString()
+    return map_batches(df.select(quoted(id_col), quoted(text_col)), make, f"{tick(id_col)} {kind}, {media} binary, {n_bytes} bigint")
+
+
 def read_media(df: DataFrame, id_col: str) -> DataFrame:
-    """Digests and hash of stored pictures, from their binary columns alone.
+    """Digests and hash of stored pictures, all from the bytes read back.
 
-    ``df`` holds (id, media, feature_bits, n_bytes) as ``to_media`` gives them;
-    the result has its columns without the two binary ones. A damaged picture
-    fails the task.
+    ``df`` holds what ``store_media`` gives. The result has the digests that
+    ``to_media`` gives, ``feature_bits`` first, worked out from the decoded
+    samples. A damaged picture fails the task.
     """
+    media, n_bytes = (c for c in df.columns if c != id_col)
+    names = fresh(df.select(quoted(id_col)), "feature_bits", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
     def make():
-        def one(media: bytes, bits: bytes) -> tuple:
-            back = decode_png(media).tobytes()
-            return len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), bits.hex()
+        def one(media: bytes) -> tuple:
+            samples = decode_png(media)
+            back, bits = samples.tobytes(), picture_hash(samples)
+            return bits, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), bits.hex()
 
         def work(batch: pa.RecordBatch) -> list:
-            rows = [one(m.as_py(), b.as_py()) for m, b in zip(batch.column(1), batch.column(2), strict=True)]
-            return [batch.column(0), batch.column(3), *map(list, zip(*rows))]
+            bits, *rows = map(list, zip(*[one(m.as_py()) for m in batch.column(1)]))
+            return [batch.column(0), bits, batch.column(2), *rows]
 
         return work
 
     kind = df.select(quoted(id_col)).schema[0].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-    return map_batches(df.select(quoted(id_col), "media", "feature_bits", "n_bytes"), make, schema)
+    kinds = ["binary", "bigint", "bigint", "string", "bigint", "bigint", "string", "string"]
+    schema = f"{tick(id_col)} {kind}, " + ", ".join(f"{n} {k}" for n, k in zip(names, kinds))
+    return map_batches(df.select(quoted(id_col), quoted(media), quoted(n_bytes)), make, schema)

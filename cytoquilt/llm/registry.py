@@ -21,7 +21,8 @@ def digest(spans: Column, base: tuple[str, ...]) -> list[Column]:
     def count(kind: str) -> Column:
         return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return [*map(count, base), F.sha2(written(own), 256).alias("base_sha256"), written(spans).alias("spans")]
+    every = F.size(spans).cast("long").alias("n_spans")
+    return [*map(count, base), F.sha2(written(own), 256).alias("base_sha256"), written(spans).alias("spans"), every]
 
 
 def op1_sharded_small_world(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +45,7 @@ def op5_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(bpe.encode_decode(read_table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
+    return bpe.digests(bpe.packed(read_table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
 
 
 def op6_bagminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +59,7 @@ def op7_minimum_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/wavelet/{uuid.uuid4().hex}"
     wavelet.write_shards(read_table(spark, sf_dir, "documents"), "doc_id", "text", folder)
-    return wavelet.read_shards(spark, folder, "doc_id").drop("part", "shard", "place")
+    return wavelet.read_shards(spark, folder, "doc_id", ask=1).drop("part", "shard", "place")
 
 
 def op9_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,9 +70,9 @@ def op9_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/media/{uuid.uuid4().hex}"
-    stored = media.to_media(read_table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "media", "feature_bits", "n_bytes")
+    stored = media.store_media(read_table(spark, sf_dir, "documents"), "doc_id", "text")
     stored.write.parquet(folder)
-    return media.read_media(spark.read.schema(stored.schema).parquet(folder), "doc_id")
+    return media.read_media(spark.read.schema(stored.schema).parquet(folder), "doc_id").drop("feature_bits")
 
 
 def op11_cuckoo_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
