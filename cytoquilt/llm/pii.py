@@ -188,7 +188,8 @@ def term_spans(rows: DataFrame, flagged: DataFrame) -> DataFrame:
     words_in = add_spans(texts, "_text", [Kind("term", WORD)], "_words").select("_a", "_b", F.explode("_words").alias("_s"))
     words_in = words_in.withColumn("_term", F.lower("_s.hit"))
     asked = flagged.select("_a", "_b", F.explode("_terms.term").alias("_term"))
-    hits = words_in.join(asked, ["_a", "_b", "_term"], "left_semi").select("_a", "_b", "_s")
+    # all words are laid out once; few of them are terms
+    hits = materialize(words_in.join(asked, ["_a", "_b", "_term"], "left_semi").select("_a", "_b", "_s"))
 
     def cells(df: DataFrame) -> DataFrame:
         """Each span once for every stretch of 64 characters it lies in."""
