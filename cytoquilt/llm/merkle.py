@@ -92,6 +92,9 @@ class Manifest:
                 step = F.array(siblings(F.col("_pos") % self.fanout, wide))
                 tops = tops.unionByName(below.withColumn("_path", F.concat(step, F.col("_above"))).select("_tree", *own, "_path", *extra))
             found = tops
+            # small levels only: the plan stays short, and the levels below have their own
+            if k and k % 3 == 0:
+                found = materialize(found)
         return found
 
 
@@ -124,7 +127,8 @@ def build(leaves: DataFrame, fanout: int = 3) -> tuple[Manifest, Manifest, DataF
     """
     if fanout < 2:
         raise ValueError("the fanout must be 2 at least")
-    inner = trees(placed(leaves, ["_id", "_digest"]), fanout)
+    # ranges are sampled first: the texts are hashed once
+    inner = trees(placed(materialize(leaves), ["_id", "_digest"]), fanout)
     tops = materialize(inner.roots())
     above = placed(tops.select(F.lit("").alias("_tree"), F.col("_tree").alias("_group"), "_digest"), ["_group"])
     outer = trees(above, fanout)
