@@ -159,3 +159,15 @@ Q_SQL = "SELECT l_returnflag, " + ", ".join(f"{s6(f'quantile_cont(l_extendedpric
 @register("grouped_quantiles", Q_SQL)
 def grouped_quantiles(spark, d):
     return rounded(quantiles.grouped_quantiles(b.table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", QS), *QS)
+
+
+WEIGHTED_SQL = "SELECT l_returnflag, " + ", ".join(f"{s6(f'quantile_cont(l_extendedprice, {p})')} AS {n}" for n, p in QS.items()) + (
+    " FROM (SELECT l_returnflag, l_extendedprice, unnest(range(l_quantity::BIGINT)) AS _i FROM lineitem) GROUP BY 1"
+)
+
+
+@register("grouped_quantiles_histogram_path", WEIGHTED_SQL)
+def grouped_quantiles_histogram_path(spark, d):
+    """Every order line counts as often as its quantity, by its weight on one side and by rows on the other."""
+    out = quantiles.grouped_quantiles(b.table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", QS, weight="l_quantity")
+    return rounded(out, *QS)

@@ -130,6 +130,24 @@ def score_summary(spark, d):
     return rounded(scoring.score_summary(materialize(scaled_scores(spark, d)), RAW + SCALED), *STATS)
 
 
+TAILS = {"p10": 0.10, "p25": 0.25, "p75": 0.75, "p90": 0.90, "p999": 0.999}
+
+
+@register(
+    "score_summary_histogram_path",
+    with_ctes(
+        SHARED,
+        f"SELECT score_name, count(*) AS n_cells, {s6('avg(v)')} AS mean, {s6('stddev_pop(v)')} AS std, {s6('min(v)')} AS min, {s6('max(v)')} AS max, "
+        + ", ".join(f"{s6(f'quantile_cont(v, {p})')} AS {n}" for n, p in TAILS.items()) + " FROM long GROUP BY 1",
+        {**SCORE_CTES, "long": " UNION ALL ".join(f"SELECT '{c}' AS score_name, {c} AS v FROM sc" for c in RAW)},
+    ),
+)
+def score_summary_histogram_path(spark, d):
+    """Unscaled scores with quantiles of the caller's own."""
+    out = scoring.score_summary(scores(spark, d), RAW, TAILS)
+    return rounded(out, "mean", "std", "min", "max", *TAILS)
+
+
 def _by_sql(by):
     cols = [f"{s6(f'avg({c})')} AS {c}_mean" for c in RAW + SCALED]
     cols += [f"{s6(f'quantile_cont({c}, 0.5)')} AS {c}_median" for c in ("trd_minus_trab", "trd_minus_trab_scaled")]
