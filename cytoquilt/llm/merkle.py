@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cytoquilt.llm.common import fresh, quoted
-from cytoquilt.operators.ordering import bucket_offsets, grouped_row_number, ranged
+from cytoquilt.operators.ordering import grouped_row_number, ranged
 from cytoquilt.session import materialize
 
 
