@@ -119,3 +119,12 @@ def test_gene_vectors_and_clusters(spark, frame):
     pts = spark.range(40).select("id", F.array(F.when(F.col("id") < 20, 0.0).otherwise(50.0), F.col("id") / 100).alias("v"))
     out = embedding.embedding_clusters(pts, "v", 2).toPandas().sort_values("id")["leiden"].tolist()
     assert len(set(out[:20])) == 1 and len(set(out[20:])) == 1 and out[0] != out[-1]
+
+
+def test_summary_with_own_quantiles_covers_every_score(spark):
+    from workload import scoring as queries
+
+    sf = "/root/testdata/sf0.001"
+    out = queries.score_summary_histogram_path(spark, sf)
+    assert {*queries.STATS, "p10", "p25", "p75", "p90", "p999"} <= set(out.columns)
+    assert sorted(r["score_name"] for r in out.collect()) == sorted([*queries.RAW, *queries.SCALED])

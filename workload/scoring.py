@@ -130,7 +130,8 @@ def score_summary(spark, d):
     return rounded(scoring.score_summary(materialize(scaled_scores(spark, d)), RAW + SCALED), *STATS)
 
 
-TAILS = {"p10": 0.10, "p25": 0.25, "p75": 0.75, "p90": 0.90, "p999": 0.999}
+# the usual quantiles and others of the caller's choice
+MORE = {"p01": 0.01, "p05": 0.05, "p10": 0.10, "p25": 0.25, "median": 0.50, "p75": 0.75, "p90": 0.90, "p95": 0.95, "p99": 0.99, "p999": 0.999}
 
 
 @register(
@@ -138,14 +139,14 @@ TAILS = {"p10": 0.10, "p25": 0.25, "p75": 0.75, "p90": 0.90, "p999": 0.999}
     with_ctes(
         SHARED,
         f"SELECT score_name, count(*) AS n_cells, {s6('avg(v)')} AS mean, {s6('stddev_pop(v)')} AS std, {s6('min(v)')} AS min, {s6('max(v)')} AS max, "
-        + ", ".join(f"{s6(f'quantile_cont(v, {p})')} AS {n}" for n, p in TAILS.items()) + " FROM long GROUP BY 1",
-        {**SCORE_CTES, "long": " UNION ALL ".join(f"SELECT '{c}' AS score_name, {c} AS v FROM sc" for c in RAW)},
+        + ", ".join(f"{s6(f'quantile_cont(v, {p})')} AS {n}" for n, p in MORE.items()) + " FROM long GROUP BY 1",
+        {**SCORE_CTES, "long": " UNION ALL ".join(f"SELECT '{c}' AS score_name, {c} AS v FROM ss" for c in RAW + SCALED)},
     ),
 )
 def score_summary_histogram_path(spark, d):
-    """Unscaled scores with quantiles of the caller's own."""
-    out = scoring.score_summary(scores(spark, d), RAW, TAILS)
-    return rounded(out, "mean", "std", "min", "max", *TAILS)
+    """All scores, scaled ones too, with quantiles of the caller's own beside the usual ones."""
+    out = scoring.score_summary(materialize(scaled_scores(spark, d)), RAW + SCALED, MORE)
+    return rounded(out, "mean", "std", "min", "max", *MORE)
 
 
 def _by_sql(by):
