@@ -128,6 +128,24 @@ def test_neighbours_and_communities(frame):
     assert all(label[i] // 30 == i // 30 for i in range(90)) and all(label[c] == c or label[label[i]] == label[i] for i, c in label.items())
 
 
+def test_neighbours_cost_nothing_for_copies_and_no_pair_of_groups_is_lost(frame, monkeypatch):
+    rng = np.random.default_rng(8)
+    points = np.round(rng.normal(size=(150, 4)), 1)
+    points = np.concatenate([points, points[:40], np.repeat(points[:1], 60, axis=0)])
+    monkeypatch.setattr(clusters, "SIDE_BYTES", 2000)
+    measured, inner = [], clusters.materialize
+    monkeypatch.setattr(clusters, "materialize", lambda df: measured.append(inner(df)) or measured[-1])
+    got = clusters.nearest_neighbours(frame([(1000 - i, p.tolist()) for i, p in enumerate(points)], "id long, v array<double>", 5), "id", "v", 7).collect()
+    assert measured[1].count() == len(np.unique(points, axis=0))  # the classes that meet
+    by = collections.defaultdict(list)
+    for r in sorted(got, key=lambda r: (r.id, r["rank"])):
+        by[r.id].append((r["rank"], round(r.distance, 9), r.neighbour))
+    for i, p in enumerate(points):
+        d = np.sqrt(((points - p) ** 2).sum(axis=1))
+        want = sorted((round(float(x), 9), 1000 - j) for j, x in enumerate(d) if j != i)[:7]
+        assert by[1000 - i] == [(n + 1, *w) for n, w in enumerate(want)]
+
+
 def test_dispersion_in_bins_by_numpy(frame):
     rng = np.random.default_rng(2)
     mean, var = rng.gamma(1.0, 2.0, 300), rng.gamma(2.0, 3.0, 300)
