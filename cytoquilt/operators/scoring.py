@@ -13,7 +13,7 @@ from cytoquilt.operators.joining import sized_join
 from cytoquilt.operators.matrix import CELL
 from cytoquilt.operators.ordering import distributed_min_rank, seeded_hash
 from cytoquilt.operators.quantiles import grouped_quantiles
-from cytoquilt.session import materialize, materialize_bucketed
+from cytoquilt.session import materialize, materialize_bucketed, partitions_for
 
 SCORES = ("tra", "trb", "trab", "trd")
 
@@ -45,10 +45,11 @@ def normalized_store(counts: DataFrame, cell: Sequence[str] = CELL, buckets: int
     """(cell, gene, value): normalised counts, written once and bucketed by cell.
 
     The one shuffle of the count rows: totals come from a window on the way, and
-    means and scores read the table without another exchange of its rows.
+    means and scores read the table without another exchange of its rows. Buckets follow the number
+    of rows; without ``buckets`` they are counted first, which a table in files answers from its footers.
     """
     total = F.sum("count").over(Window.partitionBy(*cell))
-    n = buckets or int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets or partitions_for(counts.sparkSession, counts.count())
     rows = counts.repartition(n, *cell).withColumn("_total", total)
     return materialize_bucketed(rows.select(*cell, "gene", log1p_norm("count", "_total", TARGET_SUM).alias("value")), cell, n)
 
@@ -167,9 +168,10 @@ def score_cells(
     control_size: int = CONTROL_SIZE,
     seed: int = 1,
     digits: int | None = None,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Gene means, control draw and module scores in sequence, scaled scores last."""
-    store = normalized_store(counts, cell)
+    store = normalized_store(counts, cell, buckets)
     n_cells = obs.select(F.count(F.lit(1))).scalar()
     binned = materialize(expression_bins(gene_means(store, var, n_cells), bins, digits))
     modules = modules.where(F.col("module").isin(*names))

@@ -193,3 +193,15 @@ def test_one_dataset_is_written_again(spark, tmp_path):
 
 def test_session_is_reused():
     assert build_session() is build_session()
+
+
+def test_tasks_of_counts_follow_the_rows(spark, frame, monkeypatch):
+    from cytoquilt import session
+    from workload import base
+
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 20)
+    store = scoring.normalized_store(frame([(c, c % 7, 1.0) for c in range(160)], "cell_id long, gene long, count double"))
+    assert len(store.inputFiles()) == 8  # one file a bucket, where the session has 4 partitions
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 500)
+    rows = base.table(spark, "/root/testdata/sf0.001", "lineitem").count()
+    assert base.counts(spark, "/root/testdata/sf0.001").select(F.spark_partition_id()).distinct().count() == -(-rows // 500)

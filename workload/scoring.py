@@ -61,13 +61,13 @@ def modules(spark, d):
 
 def means(spark, d):
     n = b.table(spark, d, "orders").select(F.count(F.lit(1))).scalar()
-    return scoring.gene_means(scoring.normalized_store(b.counts(spark, d)), b.var(spark, d), n)
+    return scoring.gene_means(scoring.normalized_store(b.counts(spark, d), buckets=b.count_parts(spark, d)), b.var(spark, d), n)
 
 
 def scores(spark, d):
     cells = b.obs(spark, d).select("cell_id", "gse_id", "leiden", "tissue")
     return scoring.score_cells(
-        cells, b.counts(spark, d), b.var(spark, d), modules(spark, d), bins=BINS, control_size=SIZE, seed=SEED, digits=DIGITS
+        cells, b.counts(spark, d), b.var(spark, d), modules(spark, d), bins=BINS, control_size=SIZE, seed=SEED, digits=DIGITS, buckets=b.count_parts(spark, d)
     )
 
 
