@@ -18,7 +18,7 @@ from cytoquilt.functions.genes import is_mitochondrial
 from cytoquilt.functions.numbers import is_finite
 from cytoquilt.operators.joining import sized_join
 from cytoquilt.operators.matrix import CELL, resolve_panel, with_every_cell, with_group_flags
-from cytoquilt.session import materialize
+from cytoquilt.session import materialize, partitions_for
 
 
 def total_hits() -> Column:
@@ -186,12 +186,17 @@ def count_space_filter(
     counts: DataFrame, min_genes: int, min_cells: int, max_mito_pct: float,
     cell: Sequence[str] = CELL, mito: Column | None = None,
 ) -> DataFrame:
-    """Cells by detected genes, then genes by cells, then cells by mito percent."""
-    stored = counts.where("count <> 0")
+    """Cells by detected genes, then genes by cells, then cells by mito percent.
+
+    The counts are written once, and so is what the first two filters leave; the tasks of the joins by gene follow its rows.
+    """
+    stored = materialize(counts.where("count <> 0"))
+    n = partitions_for(counts.sparkSession, stored.count())
+    stored = stored.repartition(n, *cell)
     rich = stored.groupBy(*cell).agg(F.count(F.lit(1)).alias("_g")).where(F.col("_g") >= min_genes).select(*cell)
-    step1 = stored.join(rich, list(cell), "left_semi")
+    step1 = materialize(stored.join(rich, list(cell), "left_semi")).repartition(n, "gene")
     common = step1.groupBy("gene").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") >= min_cells).select("gene")
-    step2 = step1.join(common, "gene", "left_semi")
+    step2 = materialize(step1.join(common, "gene", "left_semi")).repartition(n, *cell)
     is_mt = is_mitochondrial("gene", ignore_case=True) if mito is None else mito
     share = step2.groupBy(*cell).agg(
         (F.lit(100.0) * F.sum(F.when(is_mt, F.col("count")).otherwise(0.0)) / F.nullif(F.sum("count"), F.lit(0.0))).alias("_pct")

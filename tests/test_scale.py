@@ -205,3 +205,14 @@ def test_tasks_of_counts_follow_the_rows(spark, frame, monkeypatch):
     monkeypatch.setattr(session, "ROWS_PER_TASK", 500)
     rows = base.table(spark, "/root/testdata/sf0.001", "lineitem").count()
     assert base.counts(spark, "/root/testdata/sf0.001").select(F.spark_partition_id()).distinct().count() == -(-rows // 500)
+
+
+def test_filter_in_count_space_keeps_its_partitions(frame, monkeypatch):
+    from cytoquilt.operators import cleanup
+
+    monkeypatch.setattr(cleanup, "partitions_for", lambda spark, rows: 9)
+    rows = [(c, g, 1.0) for c in range(90) for g in range(c % 5 + 1)]
+    out = cleanup.count_space_filter(frame(rows, "cell_id long, gene long, count double"), 3, 20, 50.0, mito=F.col("gene") == 2)
+    assert out.select(F.spark_partition_id()).distinct().count() == 9
+    kept = {(r.cell_id, r.gene) for r in out.collect()}
+    assert kept == {(c, g) for c, g, _ in rows if c % 5 >= 2 and g < 4 and 100 / min(c % 5 + 1, 4) < 50.0}
