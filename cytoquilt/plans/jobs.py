@@ -252,7 +252,7 @@ def prepare_input(given: PrepareInput, base: DataFrame, name_columns: Sequence[s
     if given.total_column is not None:
         values, median = inverse_log_counts(values, given.cells, given.total_column, given.position)
         source = F.when(F.lit(9500.0 <= median <= 10500.0), F.lit("inferred_from_log")).otherwise(source)
-    on_base = sized_join(values, renamed.join(base.withColumnRenamed("gene", "base_gene"), "base_gene"), ["gene"])
+    on_base = sized_join(values, renamed.join(base.withColumnRenamed("gene", "base_gene"), "base_gene"), ["gene"], computed=True)
     counts = materialize(on_base.select("cell_id", F.col("base_gene").alias("gene"), "count"))
     cells = materialize(prepare_cells(given.cells, given.alias, given.name, given.position, repair=given.repair))
     have = renamed.select(F.col("base_gene").alias("gene")).join(base, "gene", "left_semi").select(F.count(F.lit(1)).alias("n"))

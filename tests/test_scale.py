@@ -216,3 +216,13 @@ def test_filter_in_count_space_keeps_its_partitions(frame, monkeypatch):
     assert out.select(F.spark_partition_id()).distinct().count() == 9
     kept = {(r.cell_id, r.gene) for r in out.collect()}
     assert kept == {(c, g) for c, g, _ in rows if c % 5 >= 2 and g < 4 and 100 / min(c % 5 + 1, 4) < 50.0}
+
+
+def test_gene_map_of_a_prepared_input_is_sized_before_its_join(spark, monkeypatch):
+    from cytoquilt.plans import jobs
+    from workload import jobs as queries
+
+    asked, inner = [], jobs.sized_join
+    monkeypatch.setattr(jobs, "sized_join", lambda *a, **k: asked.append((a[2], k.get("computed", False))) or inner(*a, **k))
+    assert queries.prepared_counts(spark, "/root/testdata/sf0.001").count() > 0
+    assert asked == [(["gene"], True)] * 2
