@@ -421,14 +421,14 @@ class BpeEncoder:
         return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), tokens), " ")
 
 
-_ENCODERS: dict[str, BpeEncoder] = {}
+_ENCODERS: dict[tuple[str, int], BpeEncoder] = {}
 
 
-def encoder(path: str) -> BpeEncoder:
-    """One encoder a worker process and file; the next task of the worker finds its cache warm."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = BpeEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, limit: int = 64 << 20) -> BpeEncoder:
+    """One encoder a worker process, file and size of cache; the next task of the worker finds its cache warm."""
+    if (path, limit) not in _ENCODERS:
+        _ENCODERS[path, limit] = BpeEncoder(path, limit)
+    return _ENCODERS[path, limit]
 
 
 def vocabulary(name: str) -> str:

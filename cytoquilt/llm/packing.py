@@ -102,10 +102,14 @@ class Placing:
 
 
 def cut_pieces(df: DataFrame, id_col: str, text_col: str, size: int, name: str, end_id: int, keep_ids: bool) -> DataFrame:
-    """One row per piece: (id, piece, start, length, ids_crc32[, ids]); the first piece of a long document takes the odd rest."""
+    """One row per piece: (id, piece, start, length, ids_crc32[, ids]); the first piece of a long document takes the odd rest.
+
+    Where the ids go out too, their copies in the worker and the writer need the room: slices and the encoder's cache are smaller then.
+    """
+    cache, slices = (16 << 20, 1 << 20) if keep_ids else (64 << 20, 4 << 20)
 
     def make():
-        bpe = encoder(vocabulary(name))
+        bpe = encoder(vocabulary(name), cache)
 
         def work(batch: pa.RecordBatch) -> list:
             ids, offsets = bpe.encode(batch.column(1))
@@ -133,7 +137,7 @@ def cut_pieces(df: DataFrame, id_col: str, text_col: str, size: int, name: str,
 
     kind = df.select(quoted(id_col)).schema[0].dataType.simpleString()
     schema = f"{tick(id_col)} {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * keep_ids
-    return map_batches(df.select(quoted(id_col), quoted(text_col)), make, schema)
+    return map_batches(df.select(quoted(id_col), quoted(text_col)), make, schema, size=slices)
 
 
 def pack(

@@ -183,3 +183,17 @@ def test_shards_edges(spark, tmp_path):
     empty = f"file://{tmp_path}/empty"
     wavelet.write_shards(df.limit(0), "doc_id", "text", empty)
     assert wavelet.read_shards(spark, empty, "doc_id").count() == 0
+
+
+def test_a_small_cache_gives_the_same_ids():
+    """An encoder may be asked for with a cache of its own size, which bounds what it holds and changes no ids."""
+    from cytoquilt.llm.bpe import encoder, vocabulary
+
+    path = vocabulary("byte_bpe_50k.json")
+    small, usual = encoder(path, 1 << 16), encoder(path)
+    assert small is not usual and small is encoder(path, 1 << 16)
+    for k in range(5):
+        texts = pa.array([f"word{i * 7919 + k} and x{i}y{k}\nline" for i in range(3000)])
+        for a, b in zip(small.encode(texts), usual.encode(texts)):
+            assert (a == b).all()
+    assert small.cache.limit == 1 << 16 and len(small.cache) < len(usual.cache)
