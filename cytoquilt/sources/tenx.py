@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cytoquilt.functions.columns import quote
+from cytoquilt.operators.joining import sized_join
 from cytoquilt.operators.metadata import keep_first
-from cytoquilt.operators.ordering import grouped_row_number
 from cytoquilt.session import materialize
 from cytoquilt.sources.files import exists, plain_path
 
@@ -17,19 +17,22 @@ from cytoquilt.sources.files import exists, plain_path
 def numbered_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """(file, number, line) of list files (barcodes or features), numbered from 1 in each file.
 
-    All files are one plain text scan. Lines are numbered inside the split that
-    they were read in, and the sizes of a file's splits give each its offset.
+    All files are one plain text scan, whose lines are written once. Lines of a split have
+    consecutive places, and the sizes of a file's splits give each its offset, so no line is shuffled.
     """
-    lines = text_lines(spark, paths)
-    numbered = grouped_row_number(lines, ["file"], [F.col("block"), F.col("at")], F.col("block"), "number")
-    return numbered.where("value <> ''").select("file", F.col("number").cast("long").alias("number"), F.col("value").alias("line"))
+    lines = materialize(text_lines(spark, paths))
+    splits = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("_n"), F.min("at").alias("_first"))
+    upto = F.sum("_n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    shifts = splits.select("file", "block", plain_path(F.col("file")).alias("_path"), (upto - F.col("_n") - F.col("_first") + 1).alias("_shift"))
+    numbered = sized_join(lines.where("value <> ''"), shifts, ["file", "block"], computed=True)
+    return numbered.select(F.col("_path").alias("file"), (F.col("at") + F.col("_shift")).cast("long").alias("number"), F.col("value").alias("line"))
 
 
 def text_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """(file, block, at, value): lines in one scan, with their order inside each file."""
+    """(file, block, at, value): lines in one scan, with their order inside each file, which is spelled as the scan does."""
     lines = spark.read.text(paths if isinstance(paths, str) else list(paths))
     return lines.select(
-        plain_path(F.col("_metadata.file_path")).alias("file"),
+        F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("at"),
         "value",
@@ -68,21 +71,28 @@ def matrix_entries(spark: SparkSession, paths: str | Sequence[str]) -> tuple[Dat
     """((file, row, col, count), (file, n_rows, n_cols)) of coordinate files.
 
     The size line is a file's first line that is not a comment. Entries have no
-    order, so a plain text scan with as many tasks as splits is enough.
+    order, so a plain text scan with as many tasks as splits is enough. It is the only one:
+    the parsed numbers are written with their places, by which the size line is told from the entries.
     """
     lines = text_lines(spark, paths).where(~F.startswith("value", F.lit("%")) & (F.btrim("value") != ""))
-    sizes = materialize(lines.groupBy("file").agg(F.min_by("value", F.struct("block", "at")).alias("size_line")))
-    marked = lines.select("file", "value").join(sizes, "file")
-    body = marked.where("value <> size_line").select("file", "value")
-    # an entry that happens to read like the size line is still an entry
-    twins = marked.where("value = size_line").groupBy("file", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    twins = twins.select("file", "value", F.explode(F.sequence(F.lit(2), F.col("n").cast("int"))).alias("_i")).drop("_i")
-    parts = F.split(F.btrim("value"), "\\s+")
-    entries = body.unionByName(twins).select(
-        "file", parts[0].cast("long").alias("row"), parts[1].cast("long").alias("col"), parts[2].cast("double").alias("count")
-    )
-    numbers = F.split(F.btrim("size_line"), "\\s+")
-    return entries, sizes.select("file", numbers[0].cast("long").alias("n_rows"), numbers[1].cast("long").alias("n_cols"))
+    # single blanks need no pattern, which would be compiled for every line
+    odd = F.lit(False)
+    for gap in ("  ", "\t", "\x0b", "\f"):
+        odd = odd | F.contains("value", F.lit(gap))
+    parts = F.split(F.btrim(F.when(odd, F.regexp_replace("value", r"\s+", " ")).otherwise(F.col("value"))), " ")
+    lines = materialize(lines.select(
+        "file", "block", "at", parts[0].cast("long").alias("row"), parts[1].cast("long").alias("col"), parts[2].cast("double").alias("count")
+    ))
+    firsts = lines.groupBy("file", "block").agg(F.min("at").alias("at"))
+    firsts = firsts.groupBy("file").agg(F.min_by("at", "block").alias("at"), F.min("block").alias("block"))
+    sizes = lines.join(F.broadcast(firsts), ["file", "block", "at"])
+    sizes = materialize(sizes.select(
+        F.col("file").alias("_file"), F.col("block").alias("_block"), F.col("at").alias("_at"),
+        plain_path(F.col("file")).alias("file"), F.col("row").alias("n_rows"), F.col("col").alias("n_cols"),
+    ))
+    heads = sizes.select(F.col("_file"), "_block", "_at", F.col("file").alias("_path"))
+    body = lines.join(heads, lines["file"] == heads["_file"]).where("block <> _block or at <> _at")
+    return body.select(F.col("_path").alias("file"), "row", "col", "count"), sizes.select("file", "n_rows", "n_cols")
 
 
 def read_libraries(
@@ -103,8 +113,8 @@ def read_libraries(
         return df.join(named.select("sample", F.col(kind).alias("file")), "file").drop("file")
 
     entries, sizes = matrix_entries(spark, sorted({r[1] for r in rows}))
-    barcodes = materialize(tagged(numbered_lines(spark, sorted({r[2] for r in rows})), "barcodes"))
-    features = materialize(numbered_lines(spark, sorted({r[3] for r in rows})))
+    barcodes = tagged(numbered_lines(spark, sorted({r[2] for r in rows})), "barcodes")
+    features = numbered_lines(spark, sorted({r[3] for r in rows}))
     n = lambda df, name: df.groupBy("sample").agg(F.count(F.lit(1)).alias(name))
     shape = tagged(sizes, "matrix").join(n(barcodes, "n_cells"), "sample", "left").join(n(tagged(features, "features"), "n_features"), "sample", "left")
     gene_rows = (F.col("n_rows") == F.col("n_features")) & (F.col("n_cols") == F.col("n_cells"))
@@ -115,7 +125,8 @@ def read_libraries(
         raise ValueError("matrices that fit neither way: " + "; ".join(
             f"{r['sample']} is {r['n_rows']} x {r['n_cols']} with {r['n_features']} features and {r['n_cells']} barcodes" for r in bad
         ))
-    genes = tagged(features_of(features, only_expression), "features")
+    # names are numbered by library, whose name is shorter than its path
+    genes = features_of(tagged(features, "features").withColumnRenamed("sample", "file"), only_expression).withColumnRenamed("file", "sample")
     cells = barcodes.select("sample", "number", F.get(F.split("line", "\t"), F.lit(0)).alias("barcode"))
     placed = tagged(entries, "matrix").where("count <> 0").join(shape.select("sample", "axis"), "sample")
     by_row = F.col("axis") == "row"
@@ -123,8 +134,8 @@ def read_libraries(
         "sample", "count", F.when(by_row, F.col("row")).otherwise(F.col("col")).alias("_g"),
         F.when(by_row, F.col("col")).otherwise(F.col("row")).alias("_c"),
     )
-    counts = placed.join(genes.select("sample", F.col("number").alias("_g"), "gene"), ["sample", "_g"])
-    counts = counts.join(cells.select("sample", F.col("number").alias("_c"), F.col("barcode").alias("cell_id")), ["sample", "_c"])
+    counts = placed.join(genes.select("sample", F.col("number").alias("_g"), "gene"), ["_g", "sample"])
+    counts = counts.join(cells.select("sample", F.col("number").alias("_c"), F.col("barcode").alias("cell_id")), ["_c", "sample"])
     return (
         counts.select("sample", "cell_id", "gene", "count"),
         cells.select("sample", F.col("barcode").alias("cell_id"), "barcode"),

@@ -43,6 +43,25 @@ def test_entry_that_reads_like_the_size_line(spark, tmp_path):
     assert [tuple(x)[1:] for x in entries.collect()] == [(1, 1, 1.0)]
 
 
+def test_files_in_many_splits_are_scanned_once(spark, tmp_path):
+    """Lines are numbered over splits and entries parsed without a second text scan, and no line is moved for its number."""
+    listed = write(tmp_path / "b.tsv", "".join(f"cell{i}\n" if i % 7 else "\n" for i in range(300)))
+    matrix = write(tmp_path / "m.mtx", "%c\n" * 40 + "  3\t2  300\n" + "".join(f"{1 + i % 3} {1 + i % 2}{' ' * (1 + i % 3)}{i + 1}\n" for i in range(299)) + "3 2 300\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    try:
+        lines = tenx.numbered_lines(spark, listed)
+        entries, sizes = tenx.matrix_entries(spark, matrix)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted((r.number, r.line) for r in lines.collect()) == [(i + 1, f"cell{i}") for i in range(300) if i % 7]
+    assert [tuple(r)[1:] for r in sizes.collect()] == [(3, 2)]
+    assert sorted(r["count"] for r in entries.collect()) == [float(i + 1) for i in range(300)]
+    for df in (lines, entries):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "FileScan text" not in plan and "Exchange hashpartitioning" not in plan
+
+
 def test_exported_payload(spark, tmp_path):
     write(tmp_path / "P_counts.mtx", "%\n2 1 2\n1 1 3\n2 1 4\n")
     write(tmp_path / "P_genes.tsv", "E1\tA\nE2\tB\n")

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from cytoquilt.operators import rules as R
 from cytoquilt.operators.metadata import keep_first
+from cytoquilt.operators.ordering import grouped_row_number, ranged
 from cytoquilt.plans import jobs
+from cytoquilt.session import materialize
 from cytoquilt.sinks import writers
 from cytoquilt.sources import series_matrix, tables, tenx
 from cytoquilt.sources.files import glob_paths, rename
@@ -93,19 +95,22 @@ def library_manifest(spark, d):
 
     path = folder(spark, "libraries")
     obs = b.obs(spark, d).select("cell_id", "gse_id")
-    numbered = obs.withColumn("n", F.row_number().over(Window.partitionBy("gse_id").orderBy("cell_id")))
-    genes = b.var(spark, d).withColumn("n", F.row_number().over(Window.orderBy("gene")))
+    numbered = materialize(obs.withColumn("n", F.row_number().over(Window.partitionBy("gse_id").orderBy("cell_id"))))
+    genes = ranged(b.var(spark, d).select("gene", "symbol"), ["gene"], "_part")
+    genes = materialize(grouped_row_number(genes, [], [F.col("gene")], F.col("_part"), "n").drop("_part"))
     barcodes = text_files(numbered.select("gse_id", F.col("n").alias("ord"), F.concat(F.lit("C"), "cell_id", F.lit("-1")).alias("value")), f"{path}/barcodes")
-    datasets = obs.select("gse_id").distinct()
+    sizes = materialize(numbered.groupBy("gse_id").agg(F.count(F.lit(1)).alias("nc")))
+    datasets = sizes.select("gse_id")
     features = genes.select(F.col("n").alias("ord"), F.concat_ws("\t", F.concat(F.lit("E"), "gene"), "symbol", F.lit("Gene Expression")).alias("value"))
     every = F.explode(F.array(*[F.lit(r[0]) for r in datasets.collect()]))
     features = text_files(features.withColumn("gse_id", every), f"{path}/features")
-    counts = b.counts(spark, d).join(numbered, "cell_id").join(genes.select("gene", F.col("n").alias("g")), "gene")
+    # the matrices and their sizes are both made of it
+    counts = materialize(b.counts(spark, d).join(numbered, "cell_id").join(genes.select("gene", F.col("n").alias("g")), "gene").select("gse_id", "n", "g", "count"))
     turned = F.crc32(F.col("gse_id").cast("binary")) % 2 == 0
     pair = F.when(turned, F.concat_ws(" ", "n", "g")).otherwise(F.concat_ws(" ", "g", "n"))
     entries = counts.select("gse_id", F.lit(2).alias("ord"), F.concat_ws(" ", pair, "count").alias("value"))
-    sizes = numbered.groupBy("gse_id").agg(F.count(F.lit(1)).alias("nc")).join(counts.groupBy("gse_id").agg(F.count(F.lit(1)).alias("nnz")), "gse_id")
-    ng = genes.select(F.count(F.lit(1))).scalar()
+    sizes = sizes.join(counts.groupBy("gse_id").agg(F.count(F.lit(1)).alias("nnz")), "gse_id")
+    ng = F.lit(genes.count())
     size = F.when(turned, F.concat_ws(" ", "nc", ng, "nnz")).otherwise(F.concat_ws(" ", ng, "nc", "nnz"))
     heads = sizes.select("gse_id", F.lit(1).alias("ord"), size.alias("value")).unionByName(datasets.select("gse_id", F.lit(0).alias("ord"), F.lit("%%MatrixMarket matrix coordinate real general").alias("value")))
     matrices = text_files(heads.unionByName(entries), f"{path}/matrices")
