@@ -89,12 +89,13 @@ def control_genes(
     """Up to ``size`` genes of every bin a module touches, then less its own genes.
 
     The draw comes before the subtraction, so fewer than ``size`` may stay. Fails
-    where a module is left without any.
+    where a module is left without any. All modules draw alike from a bin, so every bin
+    is drawn from once, where its rows are: a few bins of a few modules are sent to the genes.
     """
     touched = modules.join(binned.select("gene", "bin"), "gene").select("module", "bin").distinct()
-    pool = binned.select("gene", "bin").join(touched, "bin")
-    w = Window.partitionBy("module", "bin").orderBy(seeded_hash(["gene"], seed), "gene")
-    drawn = pool.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= size)
+    pool = binned.select("gene", "bin").join(F.broadcast(touched.select("bin").distinct()), "bin", "left_semi")
+    w = Window.partitionBy("bin").orderBy(seeded_hash(["gene"], seed), "gene")
+    drawn = pool.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= size).join(F.broadcast(touched), "bin")
     found = drawn.join(modules, ["module", "gene"], "left_anti").select("module", "gene").distinct()
     # one row per module
     without = modules.select("module").distinct().join(found, "module", "left_anti").collect()

@@ -82,6 +82,20 @@ def test_no_exchange_of_stored_count_rows(spark):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("cytoquilt_bucketed_")]
 
 
+def test_control_genes_are_drawn_once_a_bin(spark):
+    binned = spark.range(20_000).selectExpr("id as gene", "id % 10 as bin")
+    modules = spark.createDataFrame([("a", 1), ("a", 2), ("a", 2), ("b", 2), ("b", 12), ("c", 3)], "module string, gene long").distinct()
+    out = scoring.control_genes(binned, modules, 20, 1)
+    wanted = set()
+    for m, bins, own in (("a", (1, 2), {1, 2}), ("b", (2,), {2, 12}), ("c", (3,), {3})):
+        for bin_ in bins:
+            drawn = sorted(range(bin_, 20_000, 10), key=lambda g: hashlib.md5(f"{g}|1".encode()).hexdigest())[:20]
+            wanted |= {(m, g) for g in drawn if g not in own}
+    assert sorted((r.module, r.gene) for r in out.collect()) == sorted(wanted)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(bin#" in plan and "windowspecdefinition(module#" not in plan
+
+
 def test_bucketed_tables_are_equal(spark):
     df = spark.range(50).selectExpr("id % 7 as k", "id as v")
     assert sorted(map(tuple, materialize_bucketed(df, ["k"], 3).collect())) == sorted(map(tuple, df.collect()))
