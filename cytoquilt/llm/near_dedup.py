@@ -286,11 +286,12 @@ def rest_links(members: DataFrame, labels: DataFrame, sketches: DataFrame, texts
     some = materialize(paired.repartition(parts, *block_of).groupBy(*block_of).applyInPandas(hopeful, schema))
     if some.isEmpty():
         return None
-    full = some.join(texts, "node").withColumn("words", words_of(F.col("text"))).drop("text")
-    return full.repartition(parts, *block_of).groupBy(*block_of).applyInPandas(lambda g: joining_links(g, threshold), f"u {NODE}, v {NODE}")
+    # a text is shorter than its words' hashes, so those are made behind the shuffle
+    full = some.join(texts, "node").repartition(parts, *block_of).withColumn("words", words_of(F.col("text"))).drop("text")
+    return full.groupBy(*block_of).applyInPandas(lambda g: joining_links(g, threshold), f"u {NODE}, v {NODE}")
 
 
-SLOT_BITS = 22  # 512 KB of bitmap, however many ids there are
+SLOT_BITS = 24  # 2 MB of bitmap, however many ids there are
 
 
 def likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -310,6 +311,16 @@ def likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return placed.join(F.broadcast(marks), "part").where(bit == 1).select(*rows.columns)
 
 
+def texts_of(rows: DataFrame, busy: DataFrame) -> DataFrame:
+    """(node, text) of each node of ``busy`` (node, id), from ``rows`` (id, text); an id may come with several texts.
+
+    The node decides: another text of the same words serves as well. It is an inner join on
+    unique nodes, since the planner moves a semi join below :func:`likely` and shuffles every text.
+    """
+    some = likely(rows, busy.select(F.col("id").alias("low"))).select(node_of(words_of(F.col("text"))).cast(NODE).alias("node"), "text")
+    return some.join(busy.select("node"), "node").groupBy("node").agg(F.min("text").alias("text"))
+
+
 def near_classes(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(id, node) of every row, node null where there are no words, and (node, component) of nodes that have a near-duplicate."""
     plain = df.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"))
@@ -325,11 +336,7 @@ def near_classes(df: DataFrame, id_col: str, text_col: str, threshold: float = 0
     busy = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "id", "sketch")
     busy = materialize(busy)
     sketches = busy.select("node", "sketch")
-    # texts by id, then by node: an id may come with several texts
-    lows = busy.select(F.col("id").alias("low")).distinct()
-    some = likely(plain, lows).join(lows, F.col("id").eqNullSafe(F.col("low")), "left_semi")
-    some = some.select(node_of(words_of(F.col("text"))).alias("node"), "text").join(busy.select("node"), "node", "left_semi")
-    texts = materialize(some.groupBy("node").agg(F.min("text").alias("text")))
+    texts = materialize(texts_of(plain, busy))
     led = leaders(members, 0, DRAWS)
     pairs = members.join(led, "bucket").select("u", F.col("node").alias("v")).where("u != v").distinct()
     scored = materialize(agreeing(pairs, sketches, threshold))

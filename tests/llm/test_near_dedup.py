@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -132,3 +133,25 @@ def test_bucket_of_many_that_no_leader_joins(spark):
         rows += [(2 * i, " ".join(frame + own)), (2 * i + 1, " ".join(frame + own[:-1] + [f"z{rnd.random()}"]))]
     got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "doc_id", "text").collect()}
     assert got == {i: i - i % 2 for i in range(600)}
+
+
+def test_texts_pass_the_bitmap_before_they_are_shuffled(spark):
+    rows = spark.range(4000).selectExpr("id", "concat('one two three four five six ', id) as text")
+    rows = rows.unionByName(spark.sql("select 7L as id, 'again the same id' as text union all select null, 'no id'"))
+    nodes = rows.select("id", near_dedup.node_of(near_dedup.words_of(F.col("text"))).alias("node"))
+    busy = nodes.where("id in (3, 7, 2001) or id is null")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = near_dedup.texts_of(rows, near_dedup.materialize(busy))
+        plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
+        got = sorted(r.text for r in found.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    # the join with the bitmap stands below the shuffle of texts, which is one for join and grouping
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    at = next(i for i, line in enumerate(plan) if "BroadcastHashJoin" in line)
+    below = list(itertools.takewhile(lambda line: depth(line) > depth(plan[at]), plan[at + 1 :]))
+    assert below and not any("hashpartitioning" in line for line in below)
+    assert sum("hashpartitioning" in line for line in plan) == 2
+    assert got == ["again the same id", "no id"] + [f"one two three four five six {i}" for i in (2001, 3, 7)]
