@@ -183,7 +183,10 @@ def score_cells(
 def score_summary(
     df: DataFrame, columns: Sequence[str], probs: dict[str, float] | None = None
 ) -> DataFrame:
-    """Size, mean, population deviation, range and exact quantiles of each score."""
+    """Size, mean, population deviation, range and exact quantiles of each score.
+
+    ``df`` should be materialised: its rows are counted first, by which the quantiles are cut into ranges.
+    """
     probs = probs or {"p01": 0.01, "p05": 0.05, "median": 0.50, "p95": 0.95, "p99": 0.99}
     long = df.select(*columns).unpivot([], list(columns), "score_name", "v")
     basic = long.groupBy("score_name").agg(
@@ -193,7 +196,7 @@ def score_summary(
         F.min("v").alias("min"),
         F.max("v").alias("max"),
     )
-    return basic.join(grouped_quantiles(long, ["score_name"], "v", probs), "score_name")
+    return basic.join(grouped_quantiles(long, ["score_name"], "v", probs, rows=df.count() * len(columns)), "score_name")
 
 
 def grouped_score_table(
@@ -205,7 +208,7 @@ def grouped_score_table(
         F.count(F.lit(1)).alias("n_cells"), *[F.avg(c).alias(f"{c}_mean") for c in means]
     )
     long = base.select(by, *medians).unpivot([by], list(medians), "_score", "_v")
-    med = grouped_quantiles(long, [by, "_score"], "_v", {"_m": 0.5})
+    med = grouped_quantiles(long, [by, "_score"], "_v", {"_m": 0.5}, rows=df.count() * len(medians))
     wide = med.groupBy(by).agg(
         *[F.max(F.when(F.col("_score") == c, F.col("_m"))).alias(f"{c}_median") for c in medians]
     )

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cytoquilt.operators import embedding, hvg, scoring
+from cytoquilt.operators import embedding, hvg, quantiles, scoring
 from cytoquilt.operators.ordering import seeded_hash
 
 N_CELLS, GENES = 40, [f"TRAV{i}" for i in range(3)] + ["TRBC1", "TRDC", "TRDV2"] + [f"G{i}" for i in range(60)]
@@ -128,3 +128,19 @@ def test_summary_with_own_quantiles_covers_every_score(spark):
     out = queries.score_summary_histogram_path(spark, sf)
     assert {*queries.STATS, "p10", "p25", "p75", "p90", "p999"} <= set(out.columns)
     assert sorted(r["score_name"] for r in out.collect()) == sorted([*queries.RAW, *queries.SCALED])
+
+
+def test_distinct_scores_are_ranged_by_their_number(spark, monkeypatch):
+    """Twelve times the rows of a task are laid out in as many ranges, not in the session's partitions."""
+    monkeypatch.setattr("cytoquilt.session.ROWS_PER_TASK", 1000)
+    seen = []
+    offsets = quantiles.bucket_offsets
+    monkeypatch.setattr(quantiles, "bucket_offsets", lambda df, *rest: seen.append(df) or offsets(df, *rest))
+    keys = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = [spark.conf.get(k) for k in keys]
+    df = spark.range(6001).select((F.col("id") / 10).alias("a"), (F.col("id") % 2).cast("double").alias("b"))
+    got = {r["score_name"]: r for r in scoring.score_summary(df, ["a", "b"]).collect()}
+    assert seen[0].where("score_name = 'a'").groupBy("_part").count().agg(F.max("count")).first()[0] <= 1500
+    assert [spark.conf.get(k) for k in keys] == before
+    assert [got["a"][k] for k in ("n_cells", "p05", "median", "max")] == pytest.approx([6001, 30, 300, 600])
+    assert [got["b"][k] for k in ("n_cells", "p05", "median", "max")] == [6001, 0, 0, 1]
